@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxfield.plans.staging import shared_dir, sized, stored  # noqa: F401
+
 #: White space between words, as a regular expression that Java, RE2 and Python read alike.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Rows up to which a side may be broadcast; beyond it the join shuffles instead.
-BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fluxfield-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a join hint: broadcast if its counted rows are at most limit, else a shuffled join."""
-    few = small.limit(limit + 1).count() <= limit
-    return F.broadcast(small) if few else small.hint("merge")
-
-
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
