@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash, token_files, toxicity
-from .common import table
+from . import chat_tools, decontamination, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, token_files, toxicity
+from .common import shared_dir, stored, table
 
 #: The tokenizer of token files, by the name its package knows.
 WORD_VOCABULARY = "word_bpe_49k.json"
+#: Vocabularies of the secret scan and of token counts, the latter before and after a change of tokenizer.
+BYTE_VOCABULARY, MULTI_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,10 +24,41 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: every document comes in under the first tokenizer; all but the first of equal
+    texts go; those left that are not English are revised to a tokenizer for many languages. A batch is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    docs = docs.withColumn("text_hash", F.sha2("text", 256))
+    first, second = (public_tokenizers.path(v) for v in (BYTE_VOCABULARY, MULTI_VOCABULARY))
+    keep = ["doc_id", "text_hash", "lang", "source", "n_chars"]
+    counted = stored(token_counts.with_tokens(docs, first, public_tokenizers.PATTERN, keep), "counts")
+    other = stored(token_counts.with_tokens(docs.where("lang <> 'en'"), second, public_tokenizers.PATTERN, keep), "counts2")
+    firsts = stored(counted.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "firsts")
+    copies = lambda rows: rows.join(firsts.hint("merge"), "text_hash").where(F.col("doc_id") != F.col("first_id"))
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/fluxfield-rollup-{uuid.uuid4().hex}")
+    v1, v2 = BYTE_VOCABULARY, MULTI_VOCABULARY
+    rollup.commit("1-insert", token_counts.delta(counted, 1, v1))
+    gone = token_counts.delta(copies(counted), -1, v1)
+    rollup.commit("2-copies", gone)
+    foreign = counted.where("lang <> 'en'")
+    revised = [token_counts.delta(foreign, -1, v1), token_counts.delta(copies(foreign), 1, v1), token_counts.delta(other, 1, v2), token_counts.delta(copies(other), -1, v2)]
+    rollup.commit("3-revise", *revised)
+    rollup.commit("2-copies", gone)
+    return rollup.totals()
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op5_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.link_tool_calls(*chat_tools.calls_of_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +84,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_token_counts": op2_token_counts,
         "op3_sharding": op3_sharding,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_chat_tools": op5_chat_tools,
         "op6_toxicity": op6_toxicity,
         "op7_simhash": op7_simhash,
         "op8_mixing": op8_mixing,
@@ -60,6 +98,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_tools": chat_tools.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
     }
