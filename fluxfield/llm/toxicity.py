@@ -32,10 +32,10 @@ SAMPLE_ROWS = 20_000
 HASH_BITS = 20
 MAX_FEATURES = 3_000
 MIN_DOCUMENTS = 3
-L2 = 3e-4
+L2 = 5e-5
 COUNTERFACTUAL = 1.0
-STEPS = 400
-RATE = 1.0
+STEPS = 800
+RATE = 3.0
 FOLDS = 5
 MEMO_WORDS = 300_000
 
