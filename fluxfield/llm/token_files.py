@@ -17,9 +17,11 @@ by a hash of the text. Null ids come first. An empty table writes no file. Other
 from __future__ import annotations
 
 import os
+import re
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +38,11 @@ SEQUENCE = 1024
 BATCH_ROWS = 64
 #: Bytes of text for a task: the total over TASKS, within these bounds.
 TASKS, LEAST_BYTES, MOST_BYTES = 2_000, 8 << 20, 1 << 30
-#: Words whose ids a Python worker keeps; it starts anew when full.
-MEMO_WORDS = 400_000
+#: Pieces whose ids a Python worker keeps.
+MEMO_WORDS = 800_000
+#: Letters from A to Latin Extended-B, which lower-casing keeps single letters, then signs that start no contraction
+#: and no special token.
+SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:;=?@\[-`{}~]*)")
 
 
 def worker_memo(name: str) -> dict:
@@ -45,29 +50,67 @@ def worker_memo(name: str) -> dict:
     return sys.__dict__.setdefault("_fluxfield_memo", {}).setdefault(name, {})
 
 
-def encoder(vocabulary: str, end_id: int) -> Callable[[list[bytes]], list[bytes]]:
-    """A function that encodes texts (UTF-8) to ids (little-endian, with the end id).
+class Pieces(dict):
+    """Ids (bytes) of white-space separated pieces of texts, worked out when first asked for.
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are those of its
-    white-space separated pieces one after another, and each distinct piece is encoded once.
+    The tokenizer drops white space and never joins what it separates, so the ids of a text are those of its pieces one
+    after another. A piece of Latin letters, with signs after them perhaps, is one lower-cased word for the model,
+    which is asked directly; all other pieces go through the whole tokenizer. When a generation is full the next
+    begins, and takes over from the last what is still asked for.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    kind = id_type(tokenizer.get_vocab_size(with_added_tokens=True))
-    memo, end = worker_memo(vocabulary), np.array([end_id], kind).tobytes()
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model, self.kind = self.tokenizer.model, id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.letters = byte_letters()
+        self.last: dict = {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS // 2:
+            self.last = dict(self)
+            self.clear()
+        ids = self.last.get(piece)
+        if ids is None:
+            text = piece.decode()
+            if m := SIMPLE.fullmatch(text):
+                word = m[1].lower()
+                if word == text:
+                    if not word.isascii():
+                        word = piece.decode("latin-1").translate(self.letters)
+                    ids = self.coded([t.id for t in self.model.tokenize(word)])
+                else:
+                    ids = self[word.encode()] + (self[m[2].encode()] if m[2] else b"")
+            else:
+                ids = self.plain(text)
+        self[piece] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        return self.coded(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def coded(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary, where it is another one."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + k for k, b in enumerate(others)}
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]  # bytes split at ASCII white space
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = [p for p in set().union(*pieces) if p not in memo]
-        for p, e in zip(new, tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, kind).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) + end for p in pieces]
 
-    return encode
+def encoder(vocabulary: str, end_id: int) -> Callable[[list[bytes]], list[bytes]]:
+    """A function that encodes texts (UTF-8) to ids (little-endian, with the end id)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    memo = worker_memo("pieces")
+    if vocabulary not in memo:
+        memo[vocabulary] = Pieces(vocabulary)
+    pieces = memo[vocabulary]
+    ids, end = pieces.__getitem__, np.array([end_id], pieces.kind).tobytes()
+    return lambda texts: [b"".join(map(ids, t.split())) + end for t in texts]  # bytes split at ASCII white space
 
 
 def id_type(vocabulary_size: int) -> str:
