@@ -2,8 +2,8 @@
 
 Calls are (conv_id, call_id, turn, name, arguments, depends_on), results (conv_id, call_id, turn, content), schemas
 (name, field, type, required). Calls and results meet in a join on both ids; calls are ordered so that each comes after
-those it depends on: its level is one more than the highest level of these, found in rounds, and calls of one level go
-by turn and id. Arguments are parsed once and compared with the schema of the call's name. The JSON has sorted keys at
+those it depends on: its level is one more than the highest level of these, found by halving chains and then in
+rounds, and calls of one level go by turn and id. Arguments are parsed once and compared with the schema of the call's name. The JSON has sorted keys at
 every depth and no white space.
 
 Nothing gathers a conversation in one task: positions come from counts by conversation, level and block of turns, and
@@ -28,35 +28,61 @@ SCHEMA_COLUMNS = "name string, field string, type string, required boolean"
 KEY = ["conv_id", "call_id"]
 
 
-def call_levels(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(conv_id, call_id, level) of every call that depends on no cycle; calls have distinct ids."""
+def chain_anchors(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, steps): for calls with one need, the first call up the chain that has none or several.
+
+    Each round doubles the reach of every pointer, so rounds grow with the logarithm of the longest chain; calls that
+    still point into a chain after all rounds run in a circle and are left out.
+    """
+    moving = stored(single.select(*KEY, F.col("needs").alias("anchor"), F.lit(1).cast("bigint").alias("steps")), "chain")
+    settled, rounds = [], moving.count().bit_length() + 1
+    for _ in range(rounds):
+        ahead = moving.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_next"), F.col("steps").alias("_more"))
+        joined = stored(moving.join(ahead.hint("merge"), ["conv_id", "anchor"], "left"), "chain")
+        # A pointer to a call that is no longer moving has either arrived, or joins one that has.
+        arrived = joined.where("_next is null").select(*KEY, "anchor", "steps")
+        for found in settled:
+            past = found.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_to"), F.col("steps").alias("_far"))
+            arrived = arrived.join(past.hint("merge"), ["conv_id", "anchor"], "left")
+            arrived = arrived.select(*KEY, F.coalesce("_to", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_far", F.lit(0))).alias("steps"))
+        arrived = stored(arrived, "arrived")
+        settled = [stored(settled[0].unionByName(arrived), "settled")] if settled else [arrived]
+        moving = joined.where("_next is not null").select(*KEY, F.col("_next").alias("anchor"), (F.col("steps") + F.col("_more")).alias("steps"))
+        if moving.isEmpty():
+            break
+    return settled[0]
+
+
+def call_levels(calls: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """(conv_id, call_id, level) of every call that depends on no cycle; calls have distinct ids.
+
+    Chains of calls with one need each, however long, are first cut down to their ends. Among the rest a call becomes
+    ready in the round after the last of its needs; rounds are as many as calls with several needs follow one another.
+    """
     ids = calls.select(*KEY)
     asked = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    deps = stored(asked.join(ids.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "deps")
-    ready = stored(ids.join(deps.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0)), "level")
-    found = [ready]
-    open_deps = deps.join(deps.groupBy(*KEY).agg(F.count("*").alias("n_needs")), KEY)
+    deps = asked.join(ids.select("conv_id", F.col("call_id").alias("needs")).hint("merge"), ["conv_id", "needs"])
+    grouped = stored(deps.groupBy(*KEY).agg(F.min("needs").alias("needs"), F.count("*").alias("n_needs"), F.collect_set("needs").alias("all_needs")), "deps")
+    anchors = chain_anchors(grouped.where("n_needs = 1"))
+    anchor_of = anchors.select("conv_id", F.col("call_id").alias("needs"), "anchor", "steps")
+    joins = stored(grouped.where("n_needs > 1").select(*KEY, "n_needs", F.explode("all_needs").alias("needs")), "joins")
+    # Needs in the middle of chains are replaced by the chains' ends; needs in circles never become ready.
+    joins = joins.join(anchor_of.hint("merge"), ["conv_id", "needs"], "left").select(*KEY, "n_needs", F.coalesce("anchor", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    joins = stored(joins, "joins")
+    levels = stored(ids.join(grouped.select(*KEY).hint("merge"), KEY, "left_anti").withColumn("level", F.lit(0).cast("bigint")), "levels")
     for _ in range(max_rounds):
-        # A call becomes ready in the round after the last of its needs.
-        done = found[0]
-        for level in found[1:]:
-            done = done.unionByName(level)
-        reached = open_deps.join(found[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*KEY).distinct()
-        levels = done.select("conv_id", F.col("call_id").alias("needs"), "level")
-        new = (
-            open_deps.join(reached, KEY, "left_semi")
-            .join(levels, ["conv_id", "needs"])
-            .groupBy(*KEY, "n_needs")
-            .agg(F.count("*").alias("n"), (F.max("level") + 1).cast("int").alias("level"))
-            .where("n = n_needs")
-            .select(*KEY, "level")
-        )
-        new = stored(new, "level")
+        known = levels.select("conv_id", F.col("call_id").alias("needs"), "level")
+        ready = joins.join(known.hint("merge"), ["conv_id", "needs"]).groupBy(*KEY, "n_needs")
+        ready = ready.agg(F.count("*").alias("n"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).where("n = n_needs").select(*KEY, "level")
+        new = stored(ready.join(levels.select(*KEY).hint("merge"), KEY, "left_anti"), "ready")
         if new.isEmpty():
-            return done
-        # Many levels are kept as one table, so plans stay small.
-        found = [stored(done, "levels"), new] if len(found) > 8 else [*found, new]
-    raise RuntimeError(f"calls are more than {max_rounds} levels deep")
+            break
+        levels = stored(levels.unionByName(new), "levels")
+    else:
+        raise RuntimeError(f"more than {max_rounds} calls with several needs follow one another")
+    ends = levels.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    chained = anchors.join(ends.hint("merge"), ["conv_id", "anchor"]).select(*KEY, (F.col("level") + F.col("steps")).alias("level"))
+    return levels.unionByName(chained).select(*KEY, F.col("level").cast("int").alias("level"))
 
 
 def argument_errors(parsed: Column, fields: Column) -> Column:
