@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import UNKNOWN, primary_region, voxel_label, with_side
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import counted, stored
 
 from .graph import dense_index, nodes_of, prune_zeros, symmetric, total_strength
 
@@ -54,13 +54,13 @@ def radius_blocks(edges: DataFrame, radius: int, nodes: DataFrame | None = None,
         least = left.select("node", F.col("node").alias("value"))
         for _ in range(2 * radius):
             least = spread(least, near)
-        owner = stored(least.where("node = value"), "seeds")
+        owner = least.where("node = value")
         for _ in range(radius):
             owner = spread(owner, near)
         owner = stored(owner, "owner")
         taken.append(owner)
-        left = stored(left.join(owner, "node", "left_anti"), "left")
-        if left.isEmpty():
+        left, n = counted(left.join(owner, "node", "left_anti"), "left")
+        if not n:
             break
         gone = owner.select("node")
         near = near.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")

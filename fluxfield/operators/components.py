@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import observed, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops = given.where("u = v").select("u").distinct()
     stars, before = stored(given.where("u <> v").distinct(), "edges"), None
     for _ in range(max_rounds):
-        stars = stored(_small_star(_large_star(stars)).distinct(), "stars")
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        row = F.xxhash64("u", "v")
+        marks = {"n": F.count(F.lit(1)), "x": F.bit_xor(row), "s": F.sum(row.cast("decimal(38,0)"))}
+        stars, now = observed(_small_star(_large_star(stars)).distinct(), "stars", **marks)
         if now == before:
             break
         before = now

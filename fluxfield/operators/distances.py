@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import counted, stored
 
 from .components import connected_components
 from .graph import induced, symmetric
@@ -42,8 +42,8 @@ def hop_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000)
         # Neighbours of a frontier are in it, in the one before, or new: nothing older can be next to it.
         for seen in (frontier, *older[-1:]):
             step = step.join(seen.select("node"), "node", "left_anti")
-        new = stored(step.select("node", F.lit(hop).alias("distance"), "component"), "reached")
-        if new.isEmpty():
+        new, n = counted(step.select("node", F.lit(hop).alias("distance"), "component"), "reached")
+        if not n:
             break
         older.append(frontier)
         reached.append(new)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import sgn_deadzone
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import observed, stored
 
 EPS = 0.0
 
@@ -87,9 +86,16 @@ class Flow:
     state: DataFrame
 
 
-def _prints(state: DataFrame, keys: list[str]) -> list[Column]:
+def _marks(runs: list[str], keys: list[str], with_defect: bool = True) -> dict[str, Column]:
+    """For each run, by its place: the number of changed cells, and a fingerprint of its state."""
     row = F.xxhash64("node", *[k for k in keys if k != "run_id"], "value")
-    return [F.sum(row.cast("decimal(38,0)")).alias("p1"), F.bit_xor(row).alias("p2"), F.count("*").alias("p3")]
+    marks: dict[str, Column] = {}
+    for i, run in enumerate(runs):
+        own = F.col("run_id") == run
+        marks |= {f"s{i}": F.sum(F.when(own, row.cast("decimal(38,0)"))), f"x{i}": F.bit_xor(F.when(own, row)), f"n{i}": F.count_if(own)}
+        if with_defect:
+            marks[f"d{i}"] = F.count_if(own & (F.col("prev") != F.col("value")))
+    return marks
 
 
 def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams(), steps: int = 20, cycle_check: bool = True) -> Flow:
@@ -105,22 +111,22 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     state = stored(state.withColumn("value", F.col("value").cast("tinyint")), "state")
     edges = stored(edges.select(*[c for c in ("run_id", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
     keys, rows = _keys(state), lambda df: df.select(*state.columns)
-    first = state.groupBy("run_id").agg(*_prints(state, keys)).collect()
-    active = {r["run_id"] for r in first}
-    seen = defaultdict(dict, {r["run_id"]: {(r["p1"], r["p2"], r["p3"]): [0]} for r in first})
+    runs = sorted(r["run_id"] for r in state.select("run_id").distinct().collect())
+    first = state.agg(*[c.alias(k) for k, c in _marks(runs, keys, False).items()]).first() if runs else {}
+    active, seen = set(runs), {run: {(first[f"s{i}"], first[f"x{i}"], first[f"n{i}"]): [0]} for i, run in enumerate(runs)}
     tables, ended, curve, finals = [state], {}, [], []
     for step in range(1, steps + 1):
         if not active:
             break
-        now = tables[-1].where(F.col("run_id").isin(*active)) if len(active) < len(first) else tables[-1]
+        now = tables[-1].where(F.col("run_id").isin(*active)) if len(active) < len(runs) else tables[-1]
         prev = rows(now).withColumn("prev", F.col("value"))
-        table = stored(kernel_step(edges, prev, params), f"step{step}")
+        names = sorted(active)
+        table, got = observed(kernel_step(edges, prev, params), f"step{step}", **_marks(names, keys))
         tables.append(table)
-        defect = F.count_if(F.col("prev") != F.col("value")).alias("defect")
-        for r in table.groupBy("run_id").agg(defect, *_prints(table, keys)).collect():
-            run, mark = r["run_id"], (r["p1"], r["p2"], r["p3"])
-            curve.append((run, step, r["defect"]))
-            if r["defect"] == 0:
+        for i, run in enumerate(names):
+            mark, defect = (got[f"s{i}"], got[f"x{i}"], got[f"n{i}"]), got[f"d{i}"]
+            curve.append((run, step, defect))
+            if defect == 0:
                 ended[run] = ("converged", step, None)
             elif cycle_check:
                 for start in seen[run].get(mark, []):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; beyond it the join shuffles instead.
@@ -30,6 +30,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """stored(df), and aggregates over its rows that are worked out as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stored(df) and the number of its rows."""
+    out, seen = observed(df, name, n=F.count(F.lit(1)))
+    return out, seen["n"]
+
+
 def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small with a join hint: broadcast if its counted rows are at most limit, else a shuffled join."""
     few = small.limit(limit + 1).count() <= limit
