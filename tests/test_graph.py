@@ -1,5 +1,6 @@
 """Operators on toy graphs with known results."""
 
+import hashlib
 import random
 
 import pytest
@@ -204,3 +205,41 @@ def test_report_and_jobs(spark):
     eps = jobs.degree_deadzone(e, 10.0)
     first = out["state"].join(eps, "node", "left").fillna(0.0, ["eps"])
     assert {v for _, v in got(kernel.kernel_step(e, first, KernelParams(deadzone=F.col("eps"))), "node", "value")} == {0}
+
+
+def brute_level(rows):
+    """(nodes, zeros, first defect, components) of the flow over plain (src, dst, weight) rows."""
+    nodes = sorted({x for a, b, _ in rows for x in (a, b)})
+    total, k_in = sum(w for *_, w in rows), dict.fromkeys(nodes, 0.0)
+    for _, b, w in rows:
+        k_in[b] += w
+    out = {n: sum(w for a, _, w in rows if a == n) for n in nodes}
+    value = {n: int(out[n] * (total - sum(k_in[b] for a, b, _ in rows if a == n)) > 1e-9) for n in nodes}
+    first = None
+    while True:
+        new = {n: int(sum(w * value[b] for a, b, w in rows if a == n) > 1e-9) for n in nodes}
+        defect = sum(new[n] != value[n] for n in nodes)
+        first, value = defect if first is None else first, new
+        if not defect:
+            break
+    top = {n: n for n in nodes if value[n] == 1}
+    for _ in nodes:
+        for a, b, w in rows:
+            if w and a in top and b in top:
+                top[a] = top[b] = min(top[a], top[b])
+    return len(nodes), sum(v == 0 for v in value.values()), first, len(set(top.values()))
+
+
+def test_persistence(spark):
+    rnd = random.Random(8)
+    rows = sorted({(a, b): float(rnd.randrange(1, 5)) for a, b in (rnd.sample(range(16), 2) for _ in range(20))}.items())
+    rows = [(a, b, w) for (a, b), w in rows]
+    want, level = [], rows
+    for k in range(3):
+        want.append((k, *brute_level(level)))
+        nodes = sorted({x for a, b, _ in level for x in (a, b)}, key=lambda n: (hashlib.md5(f"0:{n}".encode()).hexdigest(), n))
+        block, sums = {n: i // 2 for i, n in enumerate(nodes)}, {}
+        for a, b, w in level:
+            sums[block[a], block[b]] = sums.get((block[a], block[b]), 0.0) + w
+        level = [(a, b, w) for (a, b), w in sums.items() if w]
+    assert got(jobs.persistence(edges(spark, rows), 2, 2), "level", "n_nodes", "n_zero", "first_defect", "n_components") == want
