@@ -7,7 +7,7 @@ documents with such a block, and compares every window of theirs, as text, with
 benchmark's blocks and windows are broadcast if their counted rows are few enough, else the joins shuffle.
 
 Null and empty texts have no words. Rows that repeat an id with another text are judged apart; a row repeated whole is
-returned once. Items without words have no window. Empty tables give empty results or no hits; other columns are
+judged once and returned as often as it is there. Items without words have no window. Empty tables give empty results or no hits; other columns are
 ignored.
 """
 
@@ -76,12 +76,16 @@ def find_benchmark_windows(
     read = docs.select("_id", "_text_hash", normal_words(F.col("_text")).alias("words"))
     hashes = F.concat(no_hashes, *[block_hashes(F.col("words"), k, block_of(k)[1]) for k in widths])
     seen = (
-        read.select("_id", "_text_hash", F.size("words").alias("n_words"), F.explode_outer(hashes).alias("block"))
+        read.select("_id", "_text_hash", F.size("words").alias("n_words"), F.posexplode_outer(hashes).alias("nth", "block"))
         .join(sized(blocks), "block", "left")
         .groupBy("_id", "_text_hash")
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.max(F.coalesce("found", F.lit(False))).alias("found"))
+        .agg(
+            F.max("n_words").cast("long").alias("n_words"),
+            F.max(F.coalesce("found", F.lit(False))).alias("found"),
+            F.count_if(F.coalesce("nth", F.lit(0)) == 0).cast("int").alias("rows"),
+        )
     )
-    seen = stored(seen, "seen")
+    seen = stored(seen.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "row"), "seen")
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
     maybe = sized(seen.where("found").select("_id", "_text_hash"))
     some = docs.join(maybe, same(docs, maybe), "left_semi")

@@ -158,7 +158,7 @@ def test_decontamination(spark, docs):
         for k in range(max(1, len(w) - 9) if w else 0):
             wins.setdefault(tuple(w[k : k + 10]), set()).add(i)
     seen = Counter()
-    for r in table.select("doc_id", "text").distinct().collect():
+    for r in table.select("doc_id", "text").collect():
         w, hit, found = item_words(r.text), set(), set()
         for g, ids in wins.items():
             for k in range(len(w) - len(g) + 1):
