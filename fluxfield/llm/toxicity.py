@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,7 +38,9 @@ COUNTERFACTUAL = 1.0
 STEPS = 800
 RATE = 3.0
 FOLDS = 5
-MEMO_WORDS = 300_000
+#: Words whose features a task keeps, and rows it turns to features at once.
+MEMO_WORDS = 200_000
+FIT_ROWS = 256
 
 #: Words that name groups, by kind; swaps stay within a kind. The last column is neutral.
 IDENTITY_TERMS = {
@@ -80,7 +83,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             found = set()
             for w in words_in(text):
                 if w not in memo:
-                    memo[w] = word_features(w)
+                    memo[w] = array("i", word_features(w))
                 found.update(memo[w])
             if found:
                 counts[label, np.fromiter(found, np.int64, len(found))] += 1
@@ -114,7 +117,8 @@ class Features:
 def _rows_to_fit(chosen: list[int]) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, (after, neutral) = Features(chosen), swaps()
-        for batch in batches:
+        # A bounded number of rows at once, as each has many features.
+        for batch in (b.slice(k, FIT_ROWS) for b in batches for k in range(0, b.num_rows, FIT_ROWS)):
             out: list[tuple] = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_in(text)
