@@ -8,8 +8,9 @@ ranges. A source's budget is met to the word: whole epochs of all its documents,
 one in part.
 
 Nulls and empty texts have size 0 and nothing is taken of them. A null source is a source of its own, ordered last.
-Rows with the same id share a key; ties go by size, and rows alike in both are interchangeable. An empty table gives an
-empty result. Other columns are ignored.
+Rows with the same id share a key; ties go by size, and rows alike in both are interchangeable in the decisions. The mix
+itself orders these by a hash of the text and then by a written row number, so its cut falls on one row. An empty table
+gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,28 +55,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return df.select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    cap: int = CAP,
-    seed: str = SEED,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """How many words the mix takes of each document.
+def decided(rows: DataFrame, weights: tuple[int, ...], cap: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Written rows with source, size and random_key -> with source_size, target, epochs, taken.
 
-    Returns id, size, source_size, target, taken, source, random_key, epochs (whole epochs of its source).
+    Rows of one source are taken by random_key, then size, then the columns of ties.
     """
-    rows = stored(
-        docs.select(
-            F.col(id_col),
-            F.col(source_col).alias("source"),
-            F.size(words_of(F.col(text_col))).cast("long").alias("size"),
-            random_key(F.col(id_col), seed).alias("random_key"),
-        ),
-        "mix",
-    ).withColumn("range", F.shiftright("random_key", KEY_BITS - RANGE_BITS))
+    rows = rows.withColumn("range", F.shiftright("random_key", KEY_BITS - RANGE_BITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,23 +68,37 @@ def mix_sources(
     ranges = ranges.join(sized(targets), ranges["source"].eqNullSafe(targets["source"])).select(
         ranges["source"].alias("_source"), F.col("range").alias("_range"), "offset", "source_size", "target", "budget"
     )
-    inside = Window.partitionBy("source", "range").orderBy("random_key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("random_key", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     df = rows.withColumn("upto", F.sum("size").over(inside))
     # The ranges are many and their number has no useful bound: both sides are shuffled on source and range.
     df = df.join(ranges.hint("merge"), df["source"].eqNullSafe(F.col("_source")) & (df["range"] == F.col("_range")))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.least(F.col("size"), rest - (F.col("offset") + F.col("upto") - F.col("size")))
-    return df.withColumn("epochs", epochs).select(
-        id_col,
-        "size",
-        "source_size",
-        "target",
-        (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), part)).cast("long").alias("taken"),
-        "source",
-        "random_key",
-        "epochs",
+    taken = (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), part)).cast("long")
+    return df.withColumn("epochs", epochs).withColumn("taken", taken)
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    cap: int = CAP,
+    seed: str = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """How many words the mix takes of each document.
+
+    Returns id, size, source_size, target, taken, source, random_key, epochs (whole epochs of its source).
+    """
+    rows = docs.select(
+        F.col(id_col),
+        F.col(source_col).alias("source"),
+        F.size(words_of(F.col(text_col))).cast("long").alias("size"),
+        random_key(F.col(id_col), seed).alias("random_key"),
     )
+    return decided(stored(rows, "mix"), weights, cap).select(id_col, "size", "source_size", "target", "taken", "source", "random_key", "epochs")
 
 
 def mixed_documents(
@@ -113,22 +112,30 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of each document.
 
-    A source's cut is one key, so texts are not shuffled: documents below it are taken once more, the one at it in
-    part (its first words, joined by single spaces). Documents of which nothing is taken are absent.
+    The documents are written once with a number for each row, so every row has its own place in its source's order and
+    the cut is one row: rows before it are taken once more, that row in part (its first words, joined by single spaces).
+    So each row gets what mix_sources takes of it, also where ids are null or repeated, and texts are not shuffled.
+    Documents of which nothing is taken are absent.
     """
-    decided = stored(mix_sources(docs, weights, cap, seed, id_col, text_col, source_col), "mixed")
+    own = {
+        "_size": F.size(words_of(F.col(text_col))).cast("long"),
+        "_key": random_key(F.col(id_col), seed),
+        "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        "_row": F.monotonically_increasing_id(),
+    }
+    df = stored(docs.withColumns(own), "to-mix")
+    place = ("_key", "_size", "_hash", "_row")
+    rows = df.select(F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("random_key"), "_hash", "_row")
+    rows = decided(rows, weights, cap, ("_hash", "_row"))
     part = F.col("taken") - F.col("epochs") * F.col("size")
-    last = F.when(part > 0, F.struct("random_key", "size", part.alias("part")))
-    cuts = decided.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(last).alias("_last"))
-    df = docs.withColumn("_key", random_key(F.col(id_col), seed))
-    df = df.join(sized(cuts), df[source_col].eqNullSafe(F.col("_source")))
-    key, cut = F.col("_key"), F.col("_last.random_key")
-    df = df.withColumn("_words", F.when(key == cut, words_of(F.col(text_col))))
-    is_part = (key == cut) & (F.size("_words") > F.col("_last.part"))
-    copies = F.col("_epochs") + F.when(key <= cut, 1).otherwise(0)
-    whole = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    df = df.where(whole & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    cut_text = F.array_join(F.slice("_words", F.lit(1), F.col("_last.part").cast("int")), " ")
+    last = F.when(part > 0, F.struct(F.struct(F.col("random_key").alias("_key"), F.col("size").alias("_size"), "_hash", "_row").alias("place"), part.alias("part")))
+    cuts = rows.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(last).alias("_last"))
+    df = df.join(sized(stored(cuts, "cuts")), df[source_col].eqNullSafe(F.col("_source")))
+    at, cut = F.struct(*place), F.col("_last.place")
+    is_part = (at == cut) & (F.col("_size") > F.col("_last.part"))
+    copies = F.col("_epochs") + F.when(at <= cut, 1).otherwise(0)
+    df = df.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    cut_text = F.array_join(F.slice(words_of(F.col(text_col)), F.lit(1), F.col("_last.part").cast("int")), " ")
     text = F.when(is_part & (F.col("_copy") > F.col("_epochs")), cut_text).otherwise(F.col(text_col))
     out = {c: F.col(c) for c in docs.columns} | {text_col: text}
     if "n_chars" in out:

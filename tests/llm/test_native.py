@@ -135,6 +135,29 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_with_null_and_repeated_ids(spark, docs):
+    """Each row gets the words that mix_sources takes of it, wherever the cut falls."""
+    body = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(k, body(f"p{k}_", 5 + k % 7), "a", k) for k in range(30)] + [(None, body(f"n{k}_", 3 + k), "a", k) for k in range(40)]
+    rows += [(None, body("same", 9), "b", k) for k in range(40)] + [(7, body(f"r{k}_", 4 + k % 3), "b", k) for k in range(20)]
+    rows += [(1000 + k, body("c", 40), "c", k) for k in range(20)] + [(7, body(f"z{k}_", 6), None, k) for k in range(12)] + [(None, None, "a", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for df in (docs, table):
+        for seed in ("mix-0", "1", "2"):
+            want, got = Counter(), Counter()
+            for r in mixing.mix_sources(df, seed=seed).collect():
+                want[r.doc_id, r.source] += r.taken
+            for r in mixing.mixed_documents(df, seed=seed).collect():
+                got[r.doc_id, r.source] += len(WORD.findall(r.text))
+                assert r.n_chars == len(r.text)
+            assert got == Counter({k: v for k, v in want.items() if v})
+    # No more than one row of a source is cut, so all other texts are whole.
+    texts, cut = {r[1] for r in rows}, Counter()
+    for r in mixing.mixed_documents(table).collect():
+        cut[r.source] += r.text not in texts
+    assert max(cut.values()) <= 1
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
