@@ -59,6 +59,16 @@ def find_benchmark_windows(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Returns id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges hit, end exclusive)."""
+    return judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col).drop("_text_hash")
+
+
+def text_hash(text: Column) -> Column:
+    """With the id, what tells judged documents apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """find_benchmark_windows with the hash of each row's text as _text_hash."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), normal_words(F.col(item_text_col)).alias("words"))
     items = items.where(F.size("words") > 0).withColumn("width", F.least(F.lit(width), F.size("words")))
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
@@ -71,8 +81,7 @@ def find_benchmark_windows(
         grams, blocks = items.select("item", F.lit("").alias("gram")), items.select(F.lit(0).cast("long").alias("block"))
     grams, blocks = stored(grams.distinct(), "grams"), stored(blocks.distinct().withColumn("found", F.lit(True)), "blocks")
 
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash")
-    docs = docs.select(F.col(id_col).alias("_id"), mark, F.col(text_col).alias("_text"))
+    docs = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
     read = docs.select("_id", "_text_hash", normal_words(F.col("_text")).alias("words"))
     hashes = F.concat(no_hashes, *[block_hashes(F.col("words"), k, block_of(k)[1]) for k in widths])
     seen = (
@@ -107,6 +116,7 @@ def find_benchmark_windows(
     # The documents with hits have no bound: a shuffled join of narrow rows.
     return seen.join(found.hint("merge"), both, "left").select(
         F.col("_id").alias(id_col),
+        "_text_hash",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -116,11 +126,19 @@ def find_benchmark_windows(
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that hold a benchmark window; all rows of such an id go."""
-    judged = find_benchmark_windows(docs, benchmark, id_col=id_col, **how)
-    bad = stored(judged.where("contaminated").select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
-    return docs.join(sized(bad), docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    width: int = WIDTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """docs without the rows that hold a benchmark window; other rows of such an id, or without an id, stay."""
+    found = judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col).where("contaminated")
+    bad = stored(found.select(F.col(id_col).alias("_bad"), F.col("_text_hash").alias("_bad_hash")).distinct(), "contaminated")
+    return docs.join(sized(bad), docs[id_col].eqNullSafe(F.col("_bad")) & (text_hash(docs[text_col]) == F.col("_bad_hash")), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -198,6 +198,16 @@ def test_decontamination(spark, docs):
     assert not any(r.contaminated for r in decontamination.find_benchmark_windows(docs, bench.limit(0)).collect())
 
 
+def test_clean_documents_judges_rows_not_ids(spark):
+    passage = "this passage of the benchmark has more than ten words to be found"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    clean = [(None, "clean without an id"), (None, None), (1, "clean with a repeated id"), (1, "clean with a repeated id"), (2, "clean alone")]
+    bad = [(None, f"noise {passage}"), (1, f"{passage} noise"), (1, f"{passage} noise"), (3, passage)]
+    table = spark.createDataFrame(clean + bad, "doc_id long, text string")
+    left = decontamination.clean_documents(table, bench)
+    assert left.columns == table.columns and Counter(map(tuple, left.collect())) == Counter(clean)
+
+
 def test_chat_tools(spark):
     calls = [
         ("c1", "a", 0, "f", '{"y":1,"x":"é\\"q"}', None),
