@@ -10,10 +10,10 @@ is looked up by the nearest codewords of its three pairs of segments, in a table
 codewords within 4 of either segment: 1 or 6 each, and so 84 keys of 24 bits per fingerprint on average. Candidates are
 verified by their differing bits inside the join, so only true links come out of it.
 
-Equal fingerprints are one class from the start, whatever their number, and components are found among the least ids of
-classes. Null, empty and word-free texts have fingerprint zero and are linked like any other. Rows with the same id are
-each returned. A class whose ids are all null has a null component. Empty tables give empty results; other columns are
-ignored.
+Equal fingerprints are one class from the start, whatever their number, and components are found among the fingerprints,
+so null and repeated ids link like any other. Null, empty and word-free texts have fingerprint zero and are linked too.
+Rows with the same id are each returned. A component whose ids are all null has a null label. Empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,9 +63,10 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, row) -> (id, print, row)."""
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["id", "print", "row"])
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -110,32 +111,43 @@ def _keys(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), key], ["print", "rep", "key"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id, fingerprint (16 hex digits), component_id (the least id of the component)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = stored(prints.mapInArrow(_fingerprints, f"id {id_type}, print bigint"), "prints")
-    classes = stored(prints.groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    known = classes.where("rep is not null")
-    schema = f"print bigint, rep {id_type}, key int"
-    table = known.mapInArrow(lambda it: _keys(it, False), schema)
-    probes = known.mapInArrow(lambda it: _keys(it, True), schema)
-    probes = probes.select(F.col("print").alias("print2"), F.col("rep").alias("rep2"), "key")
+def print_components(rows: DataFrame) -> DataFrame:
+    """Rows (id, text, row) -> id, print, row, best: the least of (id is null, id, row) in the row's component."""
+    id_type = rows.schema["id"].dataType.simpleString()
+    prints = stored(rows.select("id", "text", "row").mapInArrow(_fingerprints, f"id {id_type}, print bigint, row bigint"), "prints")
+    best = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    classes = stored(prints.groupBy("print").agg(F.min(best).alias("best")), "classes")
+    own = classes.select("print", F.col("print").alias("rep"))
+    table = own.mapInArrow(lambda it: _keys(it, False), "print bigint, rep bigint, key int").select("print", "key")
+    probes = own.mapInArrow(lambda it: _keys(it, True), "print bigint, rep bigint, key int")
+    probes = probes.select(F.col("print").alias("print2"), "key")
     # Prints are distinct here, so no key gathers copies; the probes, three a print, are the smaller side to hash.
     links = table.join(probes.hint("shuffle_hash"), "key").where(
-        (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= MAX_BITS) & (F.col("rep") < F.col("rep2"))
+        (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= MAX_BITS) & (F.col("print") < F.col("print2"))
     )
-    joined = connected_components(links.select("rep", "rep2"), "rep", "rep2")
-    joined = joined.withColumnRenamed("node", "rep")
-    labels = classes.join(sized(joined), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
+    joined = connected_components(links.select("print", "print2"), "print", "print2").withColumnRenamed("node", "print")
+    linked = stored(classes.join(sized(joined), "print"), "linked")
+    least = linked.groupBy("component").agg(F.min("best").alias("least"))
+    linked = stored(linked.join(sized(stored(least, "least")), "component").select("print", "least"), "labels")
+    labels = classes.join(sized(linked), "print", "left").select("print", F.coalesce("least", "best").alias("best"))
     # A print may hold a third of all rows: a sort-merge join, whose large partitions are split at run time.
-    return prints.join(labels.hint("merge"), "print").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    return prints.join(labels.hint("merge"), "print")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns id, fingerprint (16 hex digits), component_id (the least id of the component)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("row"))
+    return print_components(rows).select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that are not the least id of their component; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct(), "copies")
-    return docs.join(sized(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
+    """One row of each component: one with its least id; without an id only if no row of the component has one.
+
+    The documents are written once with a number for each row, by which copies are dropped.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = print_components(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row")))
+    dropped = stored(found.where(F.col("row") != F.col("best.row")).select(F.col("row").alias("_row")), "copies")
+    return rows.join(sized(dropped), "_row", "left_anti").select(docs.columns)

@@ -72,6 +72,31 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_with_null_and_repeated_ids(spark, monkeypatch):
+    """Texts name their prints in binary digits, so that links are as wanted."""
+    rows = [
+        (1, "0", "a"), (None, "111", "b"), (2, "111111", "c"),  # 1 and 2 are linked through a row without an id only
+        (None, "1" * 30, "d"), (None, "1" * 30, "e"), (None, "1" * 31, "f"),  # ids are all null
+        (7, "1" * 50, "g"), (7, "1" * 50, "h"), (3, "1" * 51, "i"), (7, "10" * 20, "j"), (8, "10" * 20, "k"),  # one text of 7 is a copy of 3's, one is not
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _tag string")
+
+    def prints(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            values = [int(t, 2) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.int64()), *b.columns[2:]], ["id", "print", "row"][: b.num_columns])
+
+    monkeypatch.setattr(simhash, "_fingerprints", prints)
+    found = {(r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(df).collect()}
+    component = {"0": 1, "111": 1, "111111": 1, "1" * 30: None, "1" * 31: None, "1" * 50: 3, "1" * 51: 3, "10" * 20: 7}
+    assert found == {(i, int(t, 2), component[t]) for i, t, _ in rows}
+    kept = simhash.drop_near_duplicates(df)
+    tags = sorted(r._tag for r in kept.collect())
+    assert kept.columns == df.columns and len(tags) == 4 and {"a", "i", "j"} < set(tags) and set(tags) & {"d", "e", "f"}
+
+
 def test_golay_keys_find_every_near_print():
     """Of any two prints at 3 or fewer bits, the keys of one hold a key that the other looks up."""
     rng = np.random.default_rng(7)
