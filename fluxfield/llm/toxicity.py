@@ -10,7 +10,8 @@ named, or on naming one. The fit is full-batch gradient descent from zero, so re
 Scores use whole texts, one scan, no shuffle. Words are memorised per task. Null and empty texts get the score of no
 evidence (the intercept), far below one half when toxic labels are the minority; with no labelled rows every score is
 0. Repeated rows are each scored. Labels that are null, or for unknown documents, are not learnt from; a document with
-several labels counts as toxic if one says so. Other columns are ignored.
+several labels counts as toxic if one says so; of several rows with a labelled id, one is learnt from, that whose text
+has the least hash. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: At most this many labelled rows are learnt from: those whose ids have the least hashes.
+#: At most this many labelled rows are learnt from, one for each id: the ids with the least hashes.
 SAMPLE_ROWS = 20_000
 HASH_BITS = 20
 MAX_FEATURES = 3_000
@@ -177,12 +178,15 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, strength: float = COUNTERFACTUAL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from at most SAMPLE_ROWS labelled documents outside the held-out fold."""
+    """Learn from at most SAMPLE_ROWS rows, one for each labelled id outside the held-out fold."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "label")
-    rows = stored(rows, "labelled")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
+    rows = stored(rows.withColumn("_place", F.struct(F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))), "labelled")
+    # One row for each id, so that SAMPLE_ROWS bounds the rows too, however often an id is repeated.
+    first = rows.groupBy("_id").agg(F.min("_place").alias("_place")).select("_place")
+    rows = stored(rows.join(F.broadcast(first), "_place").select("text", "label"), "learnt")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic + clean:

@@ -262,6 +262,21 @@ def test_toxicity(spark, docs):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.predicted}
 
 
+def test_toxicity_learns_one_row_of_an_id(spark, monkeypatch):
+    rows = clean_and_toxic(120)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    one = next(i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    texts = [(i, t) for i, t, _ in rows]
+    plain = spark.createDataFrame(texts, "doc_id long, text string")
+    often = spark.createDataFrame(texts + [(one, rows[one][1])] * 200, "doc_id long, text string").repartition(5)
+    a, b = toxicity.train(plain, labels), toxicity.train(often, labels)
+    assert a.rows == b.rows == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _, _ in rows)
+    assert a.features == b.features and np.allclose(a.weights, b.weights)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    more = spark.createDataFrame([(i, f"{t} {k}") for i, t in texts for k in "abc"], "doc_id long, text string")
+    assert toxicity.train(more, labels).rows == 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
