@@ -94,6 +94,19 @@ def test_residuals(spark):
         baseline.dense_expectation(e, limit=2)
 
 
+def test_dense_residual_has_no_limit(spark):
+    # More nodes than a dense expectation may have.
+    ring = spark.range(baseline.DENSE_NODES + 10).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(baseline.DENSE_NODES + 10)).alias("dst"), F.lit(2.0).alias("weight"))
+    r = baseline.residuals(ring, "dense_dc")
+    n = baseline.DENSE_NODES + 10
+    assert r.count() == n and r.where(F.abs(F.col("expected") - 2.0 / n) > 1e-12).count() == 0
+    for rows in (BASE, [(0, 1, 0), (1, 2, 0)], [(0, 1, 2), (1, 2, -2)], [(0, 1, -2), (1, 2, -3)]):
+        e = edges(spark, rows)
+        want = baseline.residual_against(e, baseline.dense_expectation(e))
+        cols = ("src", "dst", "weight", "expected", "residual")
+        assert got(baseline.residuals(e, "dense_dc"), *cols) == got(want, *cols)
+
+
 def test_k_hop_and_matrix_free(spark):
     e = edges(spark, CHAIN)
     assert got(graph.k_hop(e, 2), "src", "dst", "weight") == [(0, 0, 1.0), (0, 1, 1.0), (0, 2, 1.0), (1, 0, 1.0), (1, 1, 2.0), (1, 2, 1.0), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
