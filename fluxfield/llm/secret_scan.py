@@ -3,8 +3,10 @@
 A byte-pair vocabulary spends few tokens on language and many on random characters. Runs of at least MIN_CHARS letters,
 digits and the signs of encodings are random if they have fewer than MAX_RATIO characters a token, unless they are
 known digests or identifiers: numbers, UUIDs, hexadecimal digests that the text before them names as such, members of
-a given list, or runs of one character. Spans of the fixed patterns are always reported; a random string is added
-unless it lies inside one of them.
+a given list, or runs of one character. A run that passes as a whole is tested in parts: outside known parts and fixed
+patterns, every window of tokens of just MIN_CHARS characters or more, so that a path or a name around a secret cannot
+hide it; rows of numbers, as in dates, and windows without letters do not count. Random windows that overlap are one span. Spans of the fixed
+patterns are always reported; a random string is added unless it lies inside one of them.
 
 One scan without a shuffle; plain searches of bytes skip the texts that cannot match, so the expressions and the
 tokenizer see few. Null texts count as empty: no spans, and the digest of an empty string. Repeated rows are each
@@ -34,6 +36,9 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
+SEPARATORS = "/=_-"
+LETTER = re.compile("[A-Za-z]")
+NUMBERS = re.compile("(?<![A-Za-z0-9+])[0-9]+([/=_-]+[0-9]+)+(?![A-Za-z0-9+])")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_NAME = re.compile(r"""(md5|sha-?1|sha-?256|sha-?512|commit|checksum|digest|integrity)["']?[\s:=-]*$""", re.IGNORECASE)
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}")
@@ -63,7 +68,44 @@ def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, data: bytes, base: list, n_tokens: Callable[[str], int], known: frozenset[str]) -> list[tuple[int, int, int]]:
+def known_parts(text: str, start: int, run: str, base: list, known: frozenset[str]) -> list[tuple[int, int]]:
+    """Ranges of a run at start that are no unknown random strings: fixed patterns, UUIDs, numbers and dates, named digests, known members."""
+    whole = lambda a, b: (a == 0 or run[a - 1] in SEPARATORS) and (b == len(run) or run[b] in SEPARATORS)
+    parts = [(max(0, a - start), min(len(run), b - start)) for a, _, b in base if a < start + len(run) and b > start]
+    parts += [m.span() for m in UUID.finditer(run) if whole(*m.span())]
+    parts += [m.span() for m in NUMBERS.finditer(run)]
+    for m in re.finditer("[0-9a-fA-F]+", run):
+        if DIGEST.fullmatch(m[0]) and whole(*m.span()) and DIGEST_NAME.search(text[max(0, start + m.start() - 20) : start + m.start()]):
+            parts.append(m.span())
+    if known:
+        lengths = {len(k) for k in known}
+        begins = [0, *(m.end() for m in re.finditer("[/=_-]", run))]
+        parts += [(a, a + n) for a in begins for n in lengths if n and a + n <= len(run) and run[a : a + n] in known and whole(a, a + n)]
+    return sorted(parts)
+
+
+def random_windows(part: str, token_lengths: Callable[[str], list[int]]) -> list[tuple[int, int]]:
+    """Ranges of a part where a window of tokens, the shortest of MIN_CHARS characters from its first, is random."""
+    found: list[tuple[int, int]] = []
+    ends = [0]
+    for n in token_lengths(part):
+        ends.append(ends[-1] + n)
+    j = 0
+    for i, a in enumerate(ends):
+        while j < len(ends) and ends[j] - a < MIN_CHARS:
+            j += 1
+        if j == len(ends):
+            break
+        window = part[a : ends[j]]
+        if ends[j] - a < MAX_RATIO * (j - i) and len(set(window)) > 1 and LETTER.search(window):
+            if found and a <= found[-1][1]:
+                found[-1] = found[-1][0], ends[j]
+            else:
+                found.append((a, ends[j]))
+    return found
+
+
+def random_spans(text: str, data: bytes, base: list, token_lengths: Callable[[str], list[int]], known: frozenset[str]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of random strings outside the base spans."""
     if b"x" * MIN_CHARS not in data.translate(RUN_MARKS):
         return []
@@ -76,8 +118,14 @@ def random_spans(text: str, data: bytes, base: list, n_tokens: Callable[[str], i
             continue
         if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue
-        if len(run) < MAX_RATIO * n_tokens(run):
+        if len(run) < MAX_RATIO * len(token_lengths(run)):
             found.append((m.start(), 3, m.end()))
+            continue
+        at = 0
+        for a, b in [*known_parts(text, m.start(), run, base, known), (len(run), len(run))]:
+            if a - at >= MIN_CHARS:
+                found += [(m.start() + at + x, 3, m.start() + at + y) for x, y in random_windows(run[at:a], token_lengths)]
+            at = max(at, b)
     return found
 
 
@@ -97,14 +145,14 @@ def load_encoding(ranks_file: str, pattern: str):
 def _scan(ranks_file: str, pattern: str, known: frozenset[str]) -> Callable:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_file, pattern)
-        n_tokens = lambda s: len(encoding.encode_ordinary(s))
+        token_lengths = lambda s: list(map(len, encoding.decode_tokens_bytes(encoding.encode_ordinary(s))))
         for batch in batches:
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 data = text.encode()
                 base = base_spans(text, data)
-                more = random_spans(text, data, base, n_tokens, known)
+                more = random_spans(text, data, base, token_lengths, known)
                 kinds = [k for _, k, _ in base]
                 rows.append((*(kinds.count(k) for k in range(3)), len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
             columns = list(zip(*rows, strict=True)) or [()] * 6

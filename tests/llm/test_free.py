@@ -201,6 +201,28 @@ def test_secret_scan(spark, docs):
     assert all(r.spans == "" and r.n_random == 0 for r in rows[5:])
 
 
+def test_secret_scan_inside_longer_runs():
+    import random
+
+    encoding = secret_scan.load_encoding(public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    lengths = lambda s: list(map(len, encoding.decode_tokens_bytes(encoding.encode_ordinary(s))))
+    scan = lambda t, known=frozenset(): secret_scan.random_spans(t, t.encode(), secret_scan.base_spans(t, t.encode()), lengths, known)
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda n: "".join(rng.choices(letters, k=n))
+    for path in ("", "com/download/session=", "com/account/settings/download/", "com/account/settings/download/archive/documents/list/"):
+        for n in (24, 40):
+            hit = 0
+            for _ in range(200):
+                s = secret(n)
+                hit += any(a < len(path) + n and b > len(path) for a, _, b in scan(f"see {path}{s}/index now"))
+            assert hit >= 190, (path, n, hit)
+    for plain in ("com/account/settings/download/archive/documents/list/index", "archive/2023-11-28/10-22-33/2023-11-29/documents", "objects/list/of/documents/123e4567-e89b-12d3-a456-426614174000/download"):
+        assert scan(plain) == []
+    s = secret(24)
+    assert scan(f"com/account/settings/download/archive/{s}/documents/list", frozenset({s})) == []
+
+
 def test_token_counts(spark, docs):
     ranks, pattern = public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN
     encoding = secret_scan.load_encoding(ranks, pattern)
