@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import UNKNOWN, primary_region, voxel_label, with_side
-from fluxfield.plans.staging import counted, stored
+from fluxfield.plans.staging import Rounds, counted, stored
 
 from .graph import dense_index, nodes_of, prune_zeros, symmetric, total_strength
 
@@ -29,47 +29,41 @@ def degree_blocks(edges: DataFrame, size: int) -> DataFrame:
     return _blocks_of_order(total_strength(edges), [F.col("strength"), F.col("node")], size)
 
 
-def radius_blocks(edges: DataFrame, radius: int, nodes: DataFrame | None = None, max_rounds: int = 1_000) -> DataFrame:
+def radius_blocks(edges: DataFrame, radius: int, nodes: DataFrame | None = None) -> DataFrame:
     """(node, block_id) of greedy hop-radius clusters, in parallel rounds with the sequential result.
 
     Sequentially: nodes in order are seeds unless taken, and a seed takes the untaken nodes within `radius` hops of it
     through untaken nodes. In parallel: an untaken node that is the least within twice the radius, through untaken
     nodes, is such a seed for certain, and the balls of two of these are apart; all take theirs at once, and the rest
-    goes on. Rounds are few for most orders; for a path in order they grow with its length, hence the limit.
+    goes on. Rounds are few for most orders; for a path in order they grow with its length. Every round takes at least
+    the least node left, so they end. Null nodes are left out.
     """
     if radius < 0:
         raise ValueError("the radius is negative")
-    left = (nodes_of(edges) if nodes is None else nodes.select("node")).distinct()
+    left = (nodes_of(edges) if nodes is None else nodes.select("node")).where("node is not null").distinct()
     if radius == 0:
         return dense_index(left, [F.col("node")], "block_id")
-    left, near = stored(left, "left"), stored(symmetric(edges).where("src <> dst"), "near")
+    (left, n), near = counted(left, "left"), stored(symmetric(edges).where("src <> dst"), "near")
 
     def spread(values: DataFrame, near: DataFrame) -> DataFrame:
         """The least value of each node and its neighbours, where any of them has one."""
         moved = near.join(values.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "value")
         return values.select("node", "value").union(moved).groupBy("node").agg(F.min("value").alias("value"))
 
-    taken = []
-    for _ in range(max_rounds):
+    taken, number = Rounds(edges.sparkSession, "taken"), 0
+    while n or not number:
         least = left.select("node", F.col("node").alias("value"))
         for _ in range(2 * radius):
             least = spread(least, near)
         owner = least.where("node = value")
         for _ in range(radius):
             owner = spread(owner, near)
-        owner = stored(owner, "owner")
-        taken.append(owner)
+        owner, _ = taken.add(owner, number)
         left, n = counted(left.join(owner, "node", "left_anti"), "left")
-        if not n:
-            break
         gone = owner.select("node")
         near = near.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        near = stored(near.select("src", "dst"), "near")
-    else:
-        raise RuntimeError(f"nodes are left after {max_rounds} rounds")
-    owners = taken[0]
-    for t in taken[1:]:
-        owners = owners.union(t)
+        near, number = stored(near.select("src", "dst"), "near"), number + 1
+    owners = taken.all().drop("round")
     ids = dense_index(owners.select(F.col("value").alias("seed")).distinct(), [F.col("seed")], "block_id")
     return owners.join(ids, F.col("value") == F.col("seed")).select("node", "block_id")
 

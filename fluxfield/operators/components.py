@@ -2,52 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import BROADCAST_ROWS, counted, observed, stored
+from fluxfield.plans.staging import BROADCAST_BYTES, ROW_BYTES, observed, sized, value_bytes
 
 
-def _side(least: DataFrame) -> DataFrame:
-    """Written first: small enough it is broadcast, else a hub's edges can be split by the sort-merge join."""
-    least, n = counted(least, "least")
-    return F.broadcast(least) if n <= BROADCAST_ROWS else least.hint("merge")
+def _least(neighbours: DataFrame, own: Column, room: int) -> DataFrame:
+    """(u, m) for joins: broadcast if edges of `room` bytes prove it small; else written and weighed, and a hub's edges
+    can then be split by the sort-merge join."""
+    least = neighbours.groupBy("u").agg(F.min("v").alias("m")).select("u", own.alias("m"))
+    return F.broadcast(least) if room <= BROADCAST_BYTES else sized(least, "least")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, room: int) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both, F.least("u", "m"), 2 * room)
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, room: int) -> DataFrame:
     """Link each node, and its smaller neighbours, to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(_side(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down, F.col("m"), 2 * room)
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node that has an edge; the component is its least node.
 
-    Alternating large-star and small-star rounds, each written to the shared folder. The number of edges never grows,
-    and chains shorten fast, so rounds grow with the logarithm of the longest chain. Self-loops make a node a
-    component of its own unless it has other edges; edges with a null end are ignored.
+    Alternating large-star and small-star rounds, each written to the shared folder, until one changes nothing. The
+    number of edges never grows, and chains shorten fast, so rounds grow with the logarithm of the longest chain.
+    Self-loops make a node a component of its own unless it has other edges; edges with a null end are ignored.
     """
     given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = given.where("u = v").select("u").distinct()
-    stars, before = stored(given.where("u <> v").distinct(), "edges"), None
-    for _ in range(max_rounds):
-        row = F.xxhash64("u", "v")
-        marks = {"n": F.count(F.lit(1)), "x": F.bit_xor(row), "s": F.sum(row.cast("decimal(38,0)"))}
-        stars, now = observed(_small_star(_large_star(stars)).distinct(), "stars", **marks)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
+    row, width = F.xxhash64("u", "v"), sum((value_bytes(F.col(f.name), f.dataType) for f in given.schema), F.lit(ROW_BYTES))
+    marks = {"n": F.count(F.lit(1)), "x": F.bit_xor(row), "s": F.sum(row.cast("decimal(38,0)")), "bytes": F.sum(width)}
+    stars, now = observed(given.where("u <> v").distinct(), "edges", **marks)
+    before = None
+    while now != before:
+        before, room = now, now["bytes"] or 0
+        stars, now = observed(_small_star(_large_star(stars, room), room).distinct(), "stars", **marks)
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = found.select(F.col("component").alias("node")).union(loops.select(F.col("u").alias("node"))).distinct()
     alone = roots.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import counted, stored
+from fluxfield.plans.staging import Rounds, stored
 
 from .components import connected_components
 from .graph import induced, symmetric
@@ -29,29 +29,24 @@ def component_counts(edges: DataFrame, mask: DataFrame) -> DataFrame:
     return component_sizes(edges, mask).agg(F.count("*").alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 10_000) -> DataFrame:
-    """(node, distance, component) of the nodes that reach a source over undirected edges.
+def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, distance, component) of all nodes that reach a source over undirected edges, however far.
 
-    sources are (node, component); on ties the least component is kept. One join and one written frontier a hop.
+    sources are (node, component); on ties the least component is kept. One join and one written frontier a hop, until
+    a hop finds no new node.
     """
-    near = stored(symmetric(edges), "near")
-    reached = [stored(sources.select("node", F.lit(0).alias("distance"), "component"), "reached")]
-    frontier, older = reached[0], []
-    for hop in range(1, max_hops + 1):
+    near, reached = stored(symmetric(edges), "near"), Rounds(edges.sparkSession, "reached")
+    frontier, seen = reached.add(sources.select("node", "component"), 0)
+    before, hop = [frontier], 0
+    while seen["n"]:
+        hop += 1
         step = near.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("component"))
         # Neighbours of a frontier are in it, in the one before, or new: nothing older can be next to it.
-        for seen in (frontier, *older[-1:]):
-            step = step.join(seen.select("node"), "node", "left_anti")
-        new, n = counted(step.select("node", F.lit(hop).alias("distance"), "component"), "reached")
-        if not n:
-            break
-        older.append(frontier)
-        reached.append(new)
-        frontier = new
-    found = reached[0]
-    for r in reached[1:]:
-        found = found.union(r)
-    return found
+        for known in before:
+            step = step.join(known.select("node"), "node", "left_anti")
+        new, seen = reached.add(step, hop)
+        before, frontier = [frontier, new], new
+    return reached.all().select("node", F.col("round").alias("distance"), "component")
 
 
 def distance_histogram(distances: DataFrame, asked: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import sgn_deadzone
+from fluxfield.plans.staging import sized
 
-from .graph import nodes_of, strengths
+from .graph import strengths
 
 
 def init_field(residual: DataFrame, nodes: DataFrame, eps: float | Column = 1e-9) -> DataFrame:
@@ -22,10 +23,11 @@ def init_field_exact(edges: DataFrame, eps: float = 1e-9) -> DataFrame:
 
     For whole weights the difference is exact, so nodes whose targets take all in-strength get exactly 0.
     """
-    s = strengths(edges)
+    s = sized(strengths(edges), "strengths")
     total = edges.agg(F.sum("weight").alias("total"))
     targets = edges.join(s.select(F.col("node").alias("dst"), "k_in"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("k_in").alias("taken"))
-    joined = nodes_of(edges).join(s.select("node", "k_out"), "node", "left").join(targets, "node", "left").join(F.broadcast(total))  # total has one row
+    # Every node has a row of strengths; total has one row.
+    joined = s.select("node", "k_out").join(targets.hint("merge"), "node", "left").join(F.broadcast(total))
     sums = F.when(F.col("total") > 0, F.coalesce("k_out", F.lit(0.0)) * (F.col("total") - F.coalesce("taken", F.lit(0.0))) / F.col("total")).otherwise(F.lit(0.0))
     return joined.select("node", sgn_deadzone(sums, eps).alias("value"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import sgn_deadzone
-from fluxfield.plans.staging import observed, stored
+from fluxfield.plans.staging import Rounds, stored
 
 EPS = 0.0
 
@@ -102,27 +102,26 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     """Iterate kernel_step until nothing changes, a state comes back, or steps have been made.
 
     State may hold several runs under run_id, which are stepped together in one set of joins; a run leaves when it has
-    ended. Each step is written with both values, so changes, curves and earlier states are read from these tables.
+    ended. Each step is a part of one table, written with both values, which changes and last states are read from.
     A state that comes back is told by a fingerprint and confirmed row by row.
     """
     spark = state.sparkSession
     if "run_id" not in state.columns:
         state = state.withColumn("run_id", F.lit("0"))
-    state = stored(state.withColumn("value", F.col("value").cast("tinyint")), "state")
-    edges = stored(edges.select(*[c for c in ("run_id", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
-    keys, rows = _keys(state), lambda df: df.select(*state.columns)
-    runs = sorted(r["run_id"] for r in state.select("run_id").distinct().collect())
-    first = state.agg(*[c.alias(k) for k, c in _marks(runs, keys, False).items()]).first() if runs else {}
+    columns, keys, table = state.columns, _keys(state), Rounds(spark, "flow")
+    now, _ = table.add(state.withColumn("value", F.col("value").cast("tinyint")), 0)
+    edges = stored(edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
+    runs = sorted(r["run_id"] for r in now.select("run_id").distinct().collect())
+    first = now.agg(*[c.alias(k) for k, c in _marks(runs, keys, False).items()]).first() if runs else {}
     active, seen = set(runs), {run: {(first[f"s{i}"], first[f"x{i}"], first[f"n{i}"]): [0]} for i, run in enumerate(runs)}
-    tables, ended, curve, finals = [state], {}, [], []
+    parts, ended, curve = [now], {}, []
     for step in range(1, steps + 1):
         if not active:
             break
-        now = tables[-1].where(F.col("run_id").isin(*active)) if len(active) < len(runs) else tables[-1]
-        prev = rows(now).withColumn("prev", F.col("value"))
+        left = now.where(F.col("run_id").isin(*active)) if len(active) < len(runs) else now
         names = sorted(active)
-        table, got = observed(kernel_step(edges, prev, params), f"step{step}", **_marks(names, keys))
-        tables.append(table)
+        now, got = table.add(kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params), step, **_marks(names, keys))
+        parts.append(now)
         for i, run in enumerate(names):
             mark, defect = (got[f"s{i}"], got[f"x{i}"], got[f"n{i}"]), got[f"d{i}"]
             curve.append((run, step, defect))
@@ -130,27 +129,24 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
                 ended[run] = ("converged", step, None)
             elif cycle_check:
                 for start in seen[run].get(mark, []):
-                    old, new = (rows(tables[k]).where(F.col("run_id") == run) for k in (start, step))
-                    if new.join(old, state.columns, "left_anti").isEmpty():
+                    old, new = (parts[k].select(*columns).where(F.col("run_id") == run) for k in (start, step))
+                    if new.join(old, columns, "left_anti").isEmpty():
                         ended[run] = ("cycle", step, start)
                         break
             seen[run].setdefault(mark, []).append(step)
-        done = active & ended.keys()
-        if done:
-            finals.append(rows(table).where(F.col("run_id").isin(*done)))
-            active -= done
-    if active:
-        finals.append(rows(tables[-1]).where(F.col("run_id").isin(*active)))
-        ended |= {run: ("max_steps", steps, None) for run in active}
+        active -= ended.keys()
+    ended |= {run: ("max_steps", steps, None) for run in active}
     status = spark.createDataFrame([(run, *end) for run, end in sorted(ended.items())], "run_id string, status string, step int, cycle_start int")
-    changed = [t.where("prev <> value").select("run_id", F.lit(k).alias("step"), "node", *[c for c in keys if c != "run_id"], "prev", F.col("value").alias("new")) for k, t in enumerate(tables) if k]
-    if not changed:
-        changed = [state.limit(0).select("run_id", F.lit(0).alias("step"), "node", *[c for c in keys if c != "run_id"], F.col("value").alias("prev"), F.col("value").alias("new"))]
+    rows = table.all()
+    prev = F.col("prev") if "prev" in rows.columns else F.col("value")
+    changes = rows.where((F.col("round") > 0) & (prev != F.col("value")))
+    # As many rows as runs.
+    last = F.broadcast(status.select("run_id", F.col("step").alias("round")))
     return Flow(
         status,
         spark.createDataFrame(curve, "run_id string, step int, defect bigint"),
-        reduce(DataFrame.unionByName, changed),
-        reduce(DataFrame.unionByName, finals) if finals else state,
+        changes.select("run_id", F.col("round").alias("step"), "node", *[k for k in keys if k != "run_id"], prev.alias("prev"), F.col("value").alias("new")),
+        rows.where(F.col("round").isin(sorted({end[1] for end in ended.values()}))).join(last, ["run_id", "round"]).select(*columns),
     )
 
 

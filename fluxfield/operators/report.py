@@ -14,7 +14,7 @@ def _known(labels: DataFrame) -> DataFrame:
 
 def partition_summary(state: DataFrame, labels: DataFrame) -> DataFrame:
     """(field, label, n, positive, zero, negative, entropy, purity); rows without a label are left out."""
-    joined = state.join(_known(labels), "node")
+    joined = state.join(_known(labels).hint("merge"), "node")
     counts = joined.groupBy("field", "label").agg(
         F.count("*").alias("n"), F.count_if(F.col("value") == 1).alias("positive"), F.count_if(F.col("value") == 0).alias("zero"), F.count_if(F.col("value") == -1).alias("negative")
     )

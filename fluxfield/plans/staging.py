@@ -7,25 +7,47 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; beyond it the join shuffles instead.
-BROADCAST_ROWS = 2_000_000
+#: Estimated bytes in memory up to which a side may be broadcast; beyond it the join shuffles instead.
+BROADCAST_BYTES = 96 << 20
+#: What a row in a hash table takes besides its values.
+ROW_BYTES = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a local one."""
+    """The folder that driver and executors share, as spark.checkpoint.dir (or the context) names it.
+
+    Only a session in one process, as in tests, gets a folder of its own where none is named; a cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/fluxfield-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stored(spark: SparkSession) -> bool:
+    """Delete all tables that this application has written; frames that still read them are of no use then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fluxfield-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +65,43 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen["n"]
 
 
-def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a join hint: broadcast if its counted rows are at most limit, else a shuffled join."""
-    few = small.limit(limit + 1).count() <= limit
-    return F.broadcast(small) if few else small.hint("merge")
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(value, F.lit(0).cast("long"), lambda total, x: total + value_bytes(x, kind.elementType))
+        return F.coalesce(inner, F.lit(0)) + 24
+    if isinstance(kind, T.MapType):
+        parts = [value_bytes(f(value), T.ArrayType(k)) for f, k in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))]
+        return parts[0] + parts[1]
+    return F.lit(8 if isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) else 64).cast("long")
+
+
+def sized(small: DataFrame, name: str = "side", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small, written, with a join hint: broadcast if its rows, weighed as they are written, take at most limit bytes in
+    memory, else a shuffled join."""
+    width = sum((value_bytes(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in small.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    out, seen = observed(small, name, bytes=F.sum(width))
+    return F.broadcast(out) if (seen["bytes"] or 0) <= limit else out.hint("merge")
+
+
+class Rounds:
+    """A table that grows by a part a round. Each part is written once, and all are read as one scan, however many."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.fields = spark, new_path(spark, name), {}
+
+    def add(self, df: DataFrame, number: int, **metrics: Column) -> tuple[DataFrame, dict]:
+        """The written part, and aggregates over its rows."""
+        part, seen = f"{self.path}/round={number}", Observation()
+        metrics = metrics or {"n": F.count(F.lit(1))}
+        df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(part)
+        self.fields |= {f.name: f for f in df.schema}
+        return self.spark.read.schema(df.schema).parquet(part), seen.get
+
+    def all(self) -> DataFrame:
+        """All parts, with their number as `round`; columns a part lacks are null."""
+        return self.spark.read.schema(T.StructType([*self.fields.values(), T.StructField("round", T.IntegerType())])).parquet(self.path)
