@@ -21,8 +21,11 @@ def sgn_deadzone(x: Column, eps: Column | float = 1e-9) -> Column:
 
 
 def default_weight(text: Column, blank: float | None = 1.0) -> Column:
-    """A weight from text; null and blank give `blank`."""
-    return F.coalesce(F.trim(text).try_cast("double"), F.lit(blank).cast("double"))
+    """A weight from text; null and blank give `blank`, text that is no number is an error."""
+    given = F.trim(F.coalesce(text, F.lit("")))
+    number = given.try_cast("double")
+    wrong = F.raise_error(F.concat(F.lit("a weight is not a number: "), given)).cast("double")
+    return F.when(given == "", F.lit(blank).cast("double")).when(number.isNull(), wrong).otherwise(number)
 
 
 def as_number(text: Column) -> Column:

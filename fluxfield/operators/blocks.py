@@ -83,13 +83,20 @@ def block_summary(blocks: DataFrame, coarse: DataFrame) -> DataFrame:
 
 
 def region_map(meta: DataFrame, unknown: str = UNKNOWN, use_side: bool = False) -> DataFrame:
-    """meta with `label` from roi_info_json and rois, and the side if asked for. The unknown label takes no side."""
-    label = primary_region(F.col("roi_info_json"), F.col("rois"), unknown)
-    return meta.withColumn("label", with_side(label, F.col("side"), unknown) if use_side else label)
+    """meta with `label` from roi_info_json and rois, and the side if asked for, where it has these columns.
+
+    The unknown label takes no side.
+    """
+    given = lambda c: F.col(c) if c in meta.columns else F.lit(None).cast("string")
+    label = primary_region(given("roi_info_json"), given("rois"), unknown)
+    return meta.withColumn("label", with_side(label, given("side"), unknown) if use_side else label)
 
 
 def voxel_map(meta: DataFrame, size: float, unknown: str = UNKNOWN) -> DataFrame:
-    """meta with `label` from soma_x, soma_y, soma_z."""
+    """meta with `label` from soma_x, soma_y, soma_z; a missing one is a KeyError."""
+    for c in ("soma_x", "soma_y", "soma_z"):
+        if c not in meta.columns:
+            raise KeyError(c)
     return meta.withColumn("label", voxel_label(F.col("soma_x"), F.col("soma_y"), F.col("soma_z"), size, unknown))
 
 

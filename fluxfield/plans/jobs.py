@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from fluxfield.operators import baseline as B
 from fluxfield.operators import blocks as K
+from fluxfield.operators import distances as D
 from fluxfield.operators.distances import component_counts
 from fluxfield.operators.field import coarse_field, field_balance, init_field, init_field_exact
-from fluxfield.operators.graph import graph_size, nodes_of
+from fluxfield.operators.graph import collapse_edges, dense_index, graph_size, nodes_of
 from fluxfield.operators.kernel import Flow, KernelParams, flips, kernel_flow, kernel_step
 from fluxfield.operators.report import label_counts, partition_summary, top_purity
+from fluxfield.sources import sinks
 from fluxfield.sources.edges import scan_edges, validate_edges
-from fluxfield.sources.metadata import enrich, project_attributes
+from fluxfield.sources.metadata import enrich, load_metadata, project_attributes
 
 from .staging import stored
 
@@ -75,6 +77,53 @@ def defect_report(edges: DataFrame, config: DefectConfig = DefectConfig(), label
     return out
 
 
+def run_report(report: dict[str, DataFrame]) -> DataFrame:
+    """One row from defect_report: sizes, balances, status, the curve as an array, flips and components."""
+    named = lambda part, tag: report[part].select(*[F.col(c).alias(f"{tag}_{c}") for c in report[part].columns])
+    # As many entries as steps.
+    curve = report["curve"].agg(F.array_sort(F.collect_list(F.struct("step", "defect"))).alias("curve"))
+    parts = [
+        report["size"], named("residual_balance", "residual"), report["status"].drop("run_id"), curve, report["flips"],
+        named("final_balance", "final"), named("positive_components", "positive"), named("negative_components", "negative"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
+
+
+def geometry_report(edges: DataFrame, state: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one nested row, a row for each component of the +1 nodes), of a closed state and the changes that led to it.
+
+    Neutral nodes have value 0 in the state, defect nodes changed at some step. Both are told by their hops to the
+    nearest +1 node and by the component that it is in; distance 1 means next to it.
+    """
+    labels = stored(D.component_labels(edges, state.where("value = 1").select("node")), "labels")
+    found = D.hop_distances(edges, labels)
+    asked = {"neutral": state.where("value = 0").select("node"), "defect": stored(changes.select("node").distinct(), "changed")}
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    components, columns = sizes, []
+    for name, nodes in asked.items():
+        near = D.affiliation(found, nodes).select("component", F.col("n").alias(name), F.col("n_next").alias(f"{name}_d1"))
+        components = components.join(near, "component", "left")
+        columns += [name, f"{name}_d1"]
+    components = stored(components.select("component", "size", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns]), "components")
+    one = graph_size(edges).select(F.struct(F.col("n_nodes").alias("nodes"), F.col("n_edges").alias("edges")).alias("graph"))
+    parts = [
+        field_balance(state).select(F.struct("positive", "zero", "negative").alias("state")),
+        components.agg(F.struct(F.count("*").alias("count"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).alias("components")),
+    ]
+    for name, nodes in asked.items():
+        # As many entries as distances that occur.
+        counts = D.distance_histogram(found, nodes).where("distance is not null")
+        counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("distance").cast("string"), "n")))).alias("by_distance"))
+        summary = D.distance_summary(found, nodes).join(F.broadcast(counts)).join(F.broadcast(D.touching(edges, labels, nodes)))
+        parts.append(summary.select(F.struct("*").alias(name)))
+    for p in parts:
+        one = one.join(F.broadcast(p))  # one row each
+    return one, components
+
+
 def gauge_sweep(edges: DataFrame, deadzones: list[float], baselines: list[str], steps: int = 20) -> Flow:
     """The flow for every baseline and dead zone, as runs of one set of joins; run ids are baseline:deadzone."""
     edges = stored(edges, "sweep-edges")
@@ -140,8 +189,58 @@ def degree_deadzone(edges: DataFrame, per_strength: float) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg((per_strength * F.sum("weight")).alias("eps"))
 
 
+def node_index(nodes: DataFrame) -> DataFrame:
+    """(node, node_index) by the order of ids."""
+    return stored(dense_index(nodes.select("node").distinct(), [F.col("node")]), "node-index")
+
+
+def block_run(edges: DataFrame, blocks: DataFrame, out: str, **how) -> DataFrame:
+    """Coarse edges and block map of any blocks (random, by strength, hop radius), written to <out>/edges and <out>/blocks.
+
+    One row: n_blocks, mean_size, n_edges.
+    """
+    coarse = stored(K.block_edges(edges, blocks), "coarse")
+    sinks.write_coarse_edges(coarse, f"{out}/edges", **how)
+    sinks.write_block_map(blocks, node_index(blocks), f"{out}/blocks", **how)
+    return K.block_summary(blocks, coarse)
+
+
+def radius_run(edges: DataFrame, radius: int, out: str, **how) -> DataFrame:
+    edges = stored(edges, "run-edges")
+    return block_run(edges, stored(K.radius_blocks(edges, radius), "blocks"), out, **how)
+
+
+def label_run(edges: DataFrame, meta: DataFrame, out: str, kind: str, unknown: str, drop_unknown: bool, order: str, **how) -> DataFrame:
+    """Edges between labels and the table of labels, written to <out>/edges and <out>/labels. One row: n_members, n_pairs."""
+    coarse = stored(K.label_edges(edges, meta, unknown, drop_unknown, order), "coarse")
+    sinks.write_coarse_edges(coarse, f"{out}/edges", keep_zero=True, **how)
+    sinks.write_label_table(K.label_table(meta), f"{out}/labels", kind, **how)
+    return meta.agg(F.count("*").alias("n_members")).join(F.broadcast(coarse.agg(F.count("*").alias("n_pairs"))))  # one row each
+
+
+def _block_inputs(spark: SparkSession, edge_path: str, metadata_path: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Edges, whose three columns are needed and blank weights left out of sums, and metadata by id."""
+    edges = scan_edges(spark, edge_path, need_weight=True)
+    weight = F.trim("weight_text").try_cast("double")
+    edges = edges.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
+    return collapse_edges(edges), load_metadata(spark, metadata_path, id_col)
+
+
+def region_run(spark: SparkSession, edge_path: str, metadata_path: str, out: str, unknown: str = K.UNKNOWN, use_side: bool = False, drop_unknown: bool = False, id_col: str = "bodyId", **how) -> DataFrame:
+    edges, meta = _block_inputs(spark, edge_path, metadata_path, id_col)
+    meta = stored(K.region_map(meta, unknown, use_side).select("node", "label", "row_order"), "regions")
+    return label_run(edges, meta, out, "roi", unknown, drop_unknown, "row_order", **how)
+
+
+def voxel_run(spark: SparkSession, edge_path: str, metadata_path: str, out: str, size: float, unknown: str = K.UNKNOWN, drop_unknown: bool = False, id_col: str = "bodyId", **how) -> DataFrame:
+    edges, meta = _block_inputs(spark, edge_path, metadata_path, id_col)
+    meta = stored(K.voxel_map(meta, size, unknown).select("node", "label", "row_order"), "voxels")
+    return label_run(edges, meta, out, "voxel", unknown, drop_unknown, "row_order", **how)
+
+
 def validate_job(spark: SparkSession, path: str, **how) -> DataFrame:
-    return validate_edges(scan_edges(spark, path, **how))[0]
+    """The summary of an edge file, weight column needed; an error names what is wrong."""
+    return validate_edges(scan_edges(spark, path, need_weight=True, **how))[0]
 
 
 def enrichment_job(attributes: DataFrame, names: dict[str, str], json_col: str, point_col: str, midline: float | None = None, status: str | None = None) -> DataFrame:

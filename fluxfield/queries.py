@@ -60,13 +60,16 @@ def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(pairs.union(pairs.select("dst", "src")).withColumn("weight", F.lit(1.0)), "graph")
 
 
-def g_sql(where: str = G1) -> str:
-    return f"""raw AS (
+def raw_sql(where: str = G1) -> str:
+    return f"""raw AS MATERIALIZED (
   SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORD)}) AS dst,
                         l_quantity, l_tax, l_discount FROM lineitem WHERE {where}) WHERE dst IS NOT NULL),
-e AS (SELECT src, dst, sum(l_quantity) AS weight FROM raw GROUP BY src, dst),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-k AS (
+e AS MATERIALIZED (SELECT src, dst, sum(l_quantity) AS weight FROM raw GROUP BY src, dst)"""
+
+
+#: Nodes, strengths, residuals and first field of the edges e.
+NODES = "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+FIELD = """k AS MATERIALIZED (
   SELECT node, coalesce(k_out, 0) AS k_out, coalesce(k_in, 0) AS k_in FROM n
   LEFT JOIN (SELECT src AS node, sum(weight) AS k_out FROM e GROUP BY 1) USING (node)
   LEFT JOIN (SELECT dst AS node, sum(weight) AS k_in FROM e GROUP BY 1) USING (node)),
@@ -75,11 +78,15 @@ x AS (
   SELECT e.src, e.dst, e.weight, a.k_out * b.k_in / total AS expected, e.weight - a.k_out * b.k_in / total AS residual
   FROM e JOIN k a ON a.node = e.src JOIN k b ON b.node = e.dst, tot),
 taken AS (SELECT e.src AS node, sum(k_in) AS taken FROM e JOIN k ON k.node = e.dst GROUP BY 1),
-s0 AS (
+s0 AS MATERIALIZED (
   SELECT k.node, CASE WHEN k_out * (total - coalesce(taken, 0)) / total > 1e-9 THEN 1 ELSE 0 END AS value
   FROM k LEFT JOIN taken USING (node), tot)"""
 
 
+def g_sql(where: str = G1) -> str:
+    return f"{raw_sql(where)}, {NODES}, {FIELD}"
+
+
 def flow_sql(steps: int = STEPS, eps: float = EPS, start: str = "s0") -> str:
     return f"""f(step, node, value) AS (
   SELECT 0, node, value::INT FROM {start}
@@ -116,14 +123,14 @@ def last(flow: kernel.Flow) -> DataFrame:
 # Edge lists and their checks
 
 
-@query(with_sql(g_sql(), select="SELECT * FROM e"))
+@query(with_sql(g_sql(G3), select="SELECT * FROM e"))
 def edge_list(spark, sf_dir):
-    return g(spark, sf_dir)
+    return g(spark, sf_dir, G3)
 
 
-@query(with_sql(g_sql(), select="SELECT node FROM n"))
+@query(with_sql(g_sql(G3), select="SELECT node FROM n"))
 def node_set(spark, sf_dir):
-    return graph.nodes_of(g(spark, sf_dir))
+    return graph.nodes_of(g(spark, sf_dir, G3))
 
 
 @query(with_sql(g_sql(G3), select="SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges"))
@@ -134,12 +141,12 @@ def graph_size(spark, sf_dir):
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as a file would have them: blank weights where there is no tax, zeros and negative ones by discount."""
     weight = F.when(F.col("l_tax") == 0, "").when(F.col("l_discount") == 0, "0").when(F.col("l_discount") == 0.1, "-1").otherwise(F.col("l_quantity").cast("string"))
-    return succession(spark, sf_dir, G1).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), weight.alias("weight_text"))
+    return succession(spark, sf_dir, G3).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), weight.alias("weight_text"))
 
 
 @query(
     with_sql(
-        g_sql(),
+        g_sql(G3),
         "good AS (SELECT * FROM raw WHERE l_tax = 0 OR l_discount <> 0.1)",
         select="""SELECT count(*) AS n_rows, count(*) FILTER (l_tax <> 0 AND l_discount = 0) AS n_zero, count(*) FILTER (l_tax = 0) AS n_missing,
         (SELECT count(*) FROM (SELECT src FROM good UNION SELECT dst FROM good)) AS n_nodes FROM good""",
@@ -149,13 +156,13 @@ def edge_validation_summary(spark, sf_dir):
     return edge_source.validate_edges(texts(spark, sf_dir), "quarantine")[0]
 
 
-@query(with_sql(g_sql(), select="SELECT src::VARCHAR AS source, dst::VARCHAR AS target, 'negative weight' AS violation, count(*) AS n FROM raw WHERE l_tax <> 0 AND l_discount = 0.1 GROUP BY 1, 2"))
+@query(with_sql(g_sql(G3), select="SELECT src::VARCHAR AS source, dst::VARCHAR AS target, 'negative weight' AS violation, count(*) AS n FROM raw WHERE l_tax <> 0 AND l_discount = 0.1 GROUP BY 1, 2"))
 def edge_violations(spark, sf_dir):
     bad = edge_source.validate_edges(texts(spark, sf_dir), "quarantine")[1]
     return bad.groupBy("source", "target", "violation").agg(F.count("*").alias("n"))
 
 
-@query(with_sql(g_sql(), select="SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN 1 WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2"))
+@query(with_sql(g_sql(G3), select="SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN 1 WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2"))
 def edge_collapse(spark, sf_dir):
     rows = edge_source.edge_violations(texts(spark, sf_dir)).where("violation is null")
     return edge_source.collapse(rows)
@@ -163,19 +170,19 @@ def edge_collapse(spark, sf_dir):
 
 @query(
     f"""WITH r AS (
-  SELECT l_partkey AS source, l_suppkey AS target, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey % 100 AS seq FROM lineitem WHERE {G2}),
+  SELECT l_partkey AS source, l_suppkey AS target, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey * 100 + l_suppkey % 100 AS seq FROM lineitem),
 m AS (SELECT node, min(pos) AS pos FROM (SELECT 'p' || source AS node, 2 * seq AS pos FROM r UNION ALL SELECT 's' || target, 2 * seq + 1 FROM r) GROUP BY node)
 SELECT node, row_number() OVER (ORDER BY pos, node) - 1 AS node_index FROM m"""
 )
 def first_seen_index(spark, sf_dir):
     seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100
-    rows = table(spark, sf_dir, "lineitem").where(G2).select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), seq.alias("seq"))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"), seq.alias("seq"))
     return graph.first_seen_index(rows)
 
 
-@query(with_sql(g_sql(G2), select="SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
+@query(with_sql(g_sql(G3), select="SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
 def symmetric_edges(spark, sf_dir):
-    return graph.symmetric(g(spark, sf_dir, G2))
+    return graph.symmetric(g(spark, sf_dir, G3))
 
 
 @query(with_sql(g_sql(G3), select="SELECT e.* FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_size <= 10 AND b.p_size <= 10"))
@@ -192,9 +199,9 @@ def edge_threshold(spark, sf_dir):
 # Strengths, residuals, first field
 
 
-@query(with_sql(g_sql(), select="SELECT node, k_out::DOUBLE AS k_out, k_in::DOUBLE AS k_in FROM k"))
+@query(with_sql(g_sql(G3), select="SELECT node, k_out::DOUBLE AS k_out, k_in::DOUBLE AS k_in FROM k"))
 def strengths(spark, sf_dir):
-    return graph.strengths(g(spark, sf_dir))
+    return graph.strengths(g(spark, sf_dir, G3))
 
 
 @query(with_sql(g_sql(G3), select="SELECT node, (k_out + k_in)::DOUBLE AS strength FROM k"))
@@ -209,19 +216,19 @@ def rounded(df: DataFrame) -> DataFrame:
 ROUNDED = "SELECT src, dst, weight, round(expected, 6) AS expected, round(residual, 6) AS residual FROM x"
 
 
-@query(with_sql(g_sql(), select=ROUNDED))
+@query(with_sql(g_sql(G3), select=ROUNDED))
 def sparse_dc_residual(spark, sf_dir):
-    return rounded(baseline.sparse_residual(g(spark, sf_dir)))
+    return rounded(baseline.sparse_residual(g(spark, sf_dir, G3)))
 
 
-@query(with_sql(g_sql(), select=ROUNDED))
+@query(with_sql(g_sql(G3), select=ROUNDED))
 def dense_dc_residual(spark, sf_dir):
-    return rounded(baseline.residuals(g(spark, sf_dir), "dense_dc"))
+    return rounded(baseline.residuals(g(spark, sf_dir, G3), "dense_dc"))
 
 
-@query(with_sql(g_sql(), select="SELECT src, dst, weight, (a.p_size + b.p_size)::DOUBLE AS expected, weight - (a.p_size + b.p_size) AS residual FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst"))
+@query(with_sql(g_sql(G3), select="SELECT src, dst, weight, (a.p_size + b.p_size)::DOUBLE AS expected, weight - (a.p_size + b.p_size) AS residual FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst"))
 def custom_expectation_residual(spark, sf_dir):
-    edges, part = g(spark, sf_dir), table(spark, sf_dir, "part")
+    edges, part = g(spark, sf_dir, G3), table(spark, sf_dir, "part")
     a, b = (part.select(F.col("p_partkey").alias(c), F.col("p_size").alias(f"_{c}")) for c in ("src", "dst"))
     given = edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("_src") + F.col("_dst")).alias("expected"))
     return baseline.residual_against(edges, given)
@@ -236,35 +243,43 @@ def residual_balance(spark, sf_dir):
     return baseline.sign_balance(baseline.sparse_residual(edges), EPS, edges)
 
 
-@query(with_sql(g_sql(), select=f"SELECT {BALANCE.format('weight')} FROM e"))
+@query(with_sql(g_sql(G3), select=f"SELECT {BALANCE.format('weight')} FROM e"))
 def raw_balance(spark, sf_dir):
-    return baseline.sign_balance(baseline.residuals(g(spark, sf_dir), "raw"), EPS)
+    return baseline.sign_balance(baseline.residuals(g(spark, sf_dir, G3), "raw"), EPS)
 
 
-@query(with_sql(g_sql(), select="SELECT node, value FROM s0"))
+@query(with_sql(g_sql(G3), select="SELECT node, value FROM s0"))
 def init_field(spark, sf_dir):
-    return values(field.init_field_exact(g(spark, sf_dir), EPS))
+    return values(field.init_field_exact(g(spark, sf_dir, G3), EPS))
 
 
-@query(with_sql(g_sql(), "w AS (SELECT src AS node, sum(residual) AS total FROM x GROUP BY 1)", select="SELECT node, CASE WHEN total > 1e-6 THEN 1 WHEN total < -1e-6 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN w USING (node)"))
+@query(with_sql(g_sql(G3), "w AS (SELECT src AS node, sum(residual) AS total FROM x GROUP BY 1)", select="SELECT node, CASE WHEN total > 1e-6 THEN 1 WHEN total < -1e-6 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN w USING (node)"))
 def init_field_from_residual(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     return values(field.init_field(baseline.sparse_residual(edges), graph.nodes_of(edges), 1e-6))
 
 
 # Steps and flows
 
 
-@query(with_sql(g_sql(), flow_sql(1), select="SELECT node, value FROM f WHERE step = 1"))
+TERNARY = "ts AS MATERIALIZED (SELECT node, CASE WHEN p_size - 25.5 > 5 THEN 1 WHEN p_size - 25.5 < -5 THEN -1 ELSE 0 END AS value FROM n JOIN part ON p_partkey = node)"
+
+
+def ternary(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), sgn_deadzone(F.col("p_size") - 25.5, 5.0).alias("value"))
+    return graph.nodes_of(edges).join(part, "node")
+
+
+@query(with_sql(g_sql(G3), TERNARY, flow_sql(1, start="ts"), select="SELECT node, value FROM f WHERE step = 1"))
 def kernel_step_1(spark, sf_dir):
-    edges = g(spark, sf_dir)
-    return values(kernel.kernel_step(edges, first(edges), KernelParams(deadzone=EPS)))
+    edges = g(spark, sf_dir, G3)
+    return values(kernel.kernel_step(edges, ternary(spark, sf_dir, edges), KernelParams(deadzone=EPS)))
 
 
-@query(with_sql(g_sql(), flow_sql(3), select="SELECT node, value FROM f WHERE step = 3"))
+@query(with_sql(g_sql(G3), TERNARY, flow_sql(3, start="ts"), select="SELECT node, value FROM f WHERE step = 3"))
 def kernel_step_3(spark, sf_dir):
-    edges = g(spark, sf_dir)
-    state = first(edges)
+    edges = g(spark, sf_dir, G3)
+    state = ternary(spark, sf_dir, edges)
     for _ in range(3):
         state = stored(kernel.kernel_step(edges, state, KernelParams(deadzone=EPS)), "step")
     return values(state)
@@ -291,14 +306,6 @@ def flow_status(spark, sf_dir):
     return flow_of(spark, sf_dir)[2].status.drop("run_id")
 
 
-TERNARY = "ts AS (SELECT node, CASE WHEN p_size - 25.5 > 5 THEN 1 WHEN p_size - 25.5 < -5 THEN -1 ELSE 0 END AS value FROM n JOIN part ON p_partkey = node)"
-
-
-def ternary(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), sgn_deadzone(F.col("p_size") - 25.5, 5.0).alias("value"))
-    return graph.nodes_of(edges).join(part, "node")
-
-
 @query(with_sql(g_sql(), TERNARY, flow_sql(5, start="ts"), select="SELECT node, value FROM f WHERE step = 5"))
 def kernel_flow_ternary(spark, sf_dir):
     edges = g(spark, sf_dir)
@@ -327,29 +334,30 @@ def kernel_flow_cycle(spark, sf_dir):
 WALKS = "k2 AS (SELECT a.src, b.dst, sum(a.weight * b.weight) AS weight FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2), m AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT * FROM k2) GROUP BY 1, 2 HAVING sum(weight) <> 0)"
 
 
-@query(with_sql(g_sql(), WALKS, select="SELECT src, dst, weight FROM m"))
+@query(with_sql(g_sql(G3), WALKS, select="SELECT src, dst, weight FROM m"))
 def k_hop_2(spark, sf_dir):
-    return graph.k_hop(g(spark, sf_dir), 2)
+    return graph.k_hop(g(spark, sf_dir, G3), 2)
 
 
-@query(with_sql(g_sql(), TERNARY, WALKS, select="SELECT n.node, CASE WHEN sum(weight * value) > 1e-9 THEN 1 WHEN sum(weight * value) < -1e-9 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN m ON m.src = n.node LEFT JOIN ts ON ts.node = m.dst GROUP BY n.node"))
+@query(with_sql(g_sql(G3), TERNARY, WALKS, select="SELECT n.node, CASE WHEN sum(weight * value) > 1e-9 THEN 1 WHEN sum(weight * value) < -1e-9 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN m ON m.src = n.node LEFT JOIN ts ON ts.node = m.dst GROUP BY n.node"))
 def kernel_step_hops2(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     return values(kernel.kernel_step(edges, ternary(spark, sf_dir, edges), KernelParams(2, None, EPS)))
 
 
-CHANNELS = "cs AS (SELECT node, c AS channel, CASE WHEN (p_size + 17 * c) % 50 > 30 THEN 1 WHEN (p_size + 17 * c) % 50 < 20 THEN -1 ELSE 0 END AS value FROM n JOIN part ON p_partkey = node, (VALUES (0), (1), (2)) v(c)), a AS (SELECT src AS node, channel, sum(weight * value) AS total FROM e JOIN cs ON cs.node = e.dst GROUP BY 1, 2)"
+CHANNELS = "cs AS MATERIALIZED (SELECT node, c AS channel, CASE WHEN (p_size + 17 * c) % 50 > 30 THEN 1 WHEN (p_size + 17 * c) % 50 < 20 THEN -1 ELSE 0 END AS value FROM n JOIN part ON p_partkey = node, (VALUES (0), (1), (2)) v(c)), a AS MATERIALIZED (SELECT src AS node, channel, sum(weight * value) AS total FROM e JOIN cs ON cs.node = e.dst GROUP BY 1, 2)"
 
 
 def channels(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     size = (F.col("p_size") + 17 * F.col("channel")) % 50
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size", F.explode(F.array(*map(F.lit, range(3)))).alias("channel"))
-    return graph.nodes_of(edges).join(part.select("node", "channel", sgn_deadzone(size - 25, 5.0).alias("value")), "node")
+    state = part.select("node", "channel", sgn_deadzone(size - 25, 5.0).alias("value"))
+    return stored(graph.nodes_of(edges).join(state.hint("merge"), "node"), "channels")
 
 
-@query(with_sql(g_sql(), CHANNELS, select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN a USING (node, channel)"))
+@query(with_sql(g_sql(G3), CHANNELS, select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN a USING (node, channel)"))
 def multichannel_step(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     return values(kernel.kernel_step(edges, channels(spark, sf_dir, edges), KernelParams(deadzone=EPS)), "channel")
 
 
@@ -358,14 +366,14 @@ COUPLING = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, -0.5), (2, 2, 1.0), (2, 0, 0.25)]
 
 @query(
     with_sql(
-        g_sql(),
+        g_sql(G3),
         CHANNELS,
         f"m(c_out, c_in, coef) AS (VALUES {', '.join(map(str, COUPLING))}), b AS (SELECT node, c_out AS channel, sum(coef * total) AS total FROM a JOIN m ON c_in = channel GROUP BY 1, 2)",
         select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN b USING (node, channel)",
     )
 )
 def coupled_step(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     coupling = spark.createDataFrame(COUPLING, "c_out int, c_in int, coef double")
     return values(kernel.kernel_step(edges, channels(spark, sf_dir, edges), KernelParams(1, coupling, EPS)), "channel")
 
@@ -412,7 +420,7 @@ BFS = """a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 b(node, component, distance) AS (
   SELECT node, component, 0 FROM comp
   UNION ALL
-  SELECT a.dst, min(b.component), min(b.distance) + 1 FROM b JOIN a ON a.src = b.node WHERE b.distance < 60 GROUP BY a.dst),
+  SELECT a.dst, min(b.component), min(b.distance) + 1 FROM b JOIN a ON a.src = b.node WHERE b.distance < (SELECT count(*) FROM n) GROUP BY a.dst),
 d1 AS (SELECT node, min(distance) AS distance FROM b GROUP BY node),
 d AS (SELECT node, distance, min(component) AS component FROM b JOIN d1 USING (node, distance) GROUP BY 1, 2),
 zero AS (SELECT node FROM z WHERE value = 0)"""
@@ -470,9 +478,9 @@ pe AS (
                     + coalesce(negative / n * log2(nullif(negative, 0) / n), 0)), 6) + 0.0 AS entropy, round(greatest(positive, zero, negative) / n, 6) AS purity FROM ps)"""
 
 
-@query(with_sql(g_sql(), LABELS, select="SELECT field, label, count(*) AS n FROM lab GROUP BY 1, 2"))
+@query(with_sql(g_sql(G3), LABELS, select="SELECT field, label, count(*) AS n FROM lab GROUP BY 1, 2"))
 def label_counts(spark, sf_dir):
-    return report.label_counts(part_labels(spark, sf_dir, g(spark, sf_dir)))
+    return report.label_counts(part_labels(spark, sf_dir, g(spark, sf_dir, G3)))
 
 
 @query(with_sql(g_sql(), flow_sql(), LABELS, SUMMARY, select="SELECT * FROM pe"))
@@ -498,9 +506,9 @@ DEGREE = "rb AS (SELECT node, (row_number() OVER (ORDER BY k_out + k_in, node) -
 COARSE = "ce AS (SELECT a.block_id AS src, b.block_id AS dst, sum(weight) AS weight FROM e JOIN rb a ON a.node = src JOIN rb b ON b.node = dst GROUP BY 1, 2 HAVING sum(weight) <> 0)"
 
 
-@query(with_sql(g_sql(), random_sql(50, 0), select="SELECT * FROM rb"))
+@query(with_sql(g_sql(G3), random_sql(50, 0), select="SELECT * FROM rb"))
 def random_blocks(spark, sf_dir):
-    return blocks.random_blocks(graph.nodes_of(g(spark, sf_dir)), 50, 0)
+    return blocks.random_blocks(graph.nodes_of(g(spark, sf_dir, G3)), 50, 0)
 
 
 @query(with_sql(g_sql(G3), random_sql(50, 0), COARSE, select="SELECT * FROM ce"))
@@ -509,9 +517,9 @@ def random_block_edges(spark, sf_dir):
     return blocks.block_edges(edges, blocks.random_blocks(graph.nodes_of(edges), 50, 0))
 
 
-@query(with_sql(g_sql(), DEGREE, select="SELECT * FROM rb"))
+@query(with_sql(g_sql(G3), DEGREE, select="SELECT * FROM rb"))
 def degree_blocks(spark, sf_dir):
-    return blocks.degree_blocks(g(spark, sf_dir), 50)
+    return blocks.degree_blocks(g(spark, sf_dir, G3), 50)
 
 
 @query(with_sql(g_sql(G3), DEGREE, COARSE, select="SELECT * FROM ce"))
@@ -520,9 +528,9 @@ def degree_block_edges(spark, sf_dir):
     return blocks.block_edges(edges, blocks.degree_blocks(edges, 50))
 
 
-@query(with_sql(g_sql(), random_sql(50, 0), COARSE, select="SELECT (SELECT count(DISTINCT block_id) FROM rb) AS n_blocks, (SELECT count(*) / count(DISTINCT block_id) FROM rb) AS mean_size, (SELECT count(*) FROM ce) AS n_edges"))
+@query(with_sql(g_sql(G3), random_sql(50, 0), COARSE, select="SELECT (SELECT count(DISTINCT block_id) FROM rb) AS n_blocks, (SELECT count(*) / count(DISTINCT block_id) FROM rb) AS mean_size, (SELECT count(*) FROM ce) AS n_edges"))
 def block_summary(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     own = stored(blocks.random_blocks(graph.nodes_of(edges), 50, 0), "blocks")
     return blocks.block_summary(own, blocks.block_edges(edges, own))
 
@@ -558,7 +566,7 @@ def radius_block_edges(spark, sf_dir):
     return blocks.block_edges(edges, blocks.radius_blocks(edges, 1))
 
 
-REGION = """rc AS (SELECT l_partkey AS node, l_returnflag AS key, count(*) AS n FROM lineitem WHERE l_quantity >= 20 GROUP BY 1, 2),
+REGION = """rc AS (SELECT l_partkey AS node, l_returnflag AS key, count(*) AS n FROM lineitem GROUP BY 1, 2),
 rl AS (
   SELECT p_partkey AS node, CASE WHEN key IS NULL THEN 'unknown' WHEN p_size % 3 = 0 THEN key WHEN p_size < 25 THEN key || '_L' ELSE key || '_R' END AS label
   FROM part LEFT JOIN (SELECT node, key FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, key) AS r FROM rc) WHERE r = 1) ON node = p_partkey)"""
@@ -566,7 +574,7 @@ rl AS (
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of parts from a JSON object of counts by return flag, half of each count under pre and half under post."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 20")
+    lines = table(spark, sf_dir, "lineitem")
     counts = lines.groupBy(F.col("l_partkey").alias("node"), "l_returnflag").agg(F.count("*").alias("n"))
     halves = F.struct((F.col("n") / 2).alias("pre"), (F.col("n") / 2).alias("post"))
     # As many entries as return flags.
@@ -622,9 +630,9 @@ def voxel_table(spark, sf_dir):
 # Coarse fields, sweeps, enrichment
 
 
-@query(with_sql(g_sql(), TERNARY, random_sql(50, 0), select="SELECT block_id, CASE WHEN sum(value) > 0 THEN 1 WHEN sum(value) < 0 THEN -1 ELSE 0 END AS value FROM ts JOIN rb USING (node) GROUP BY 1"))
+@query(with_sql(g_sql(G3), TERNARY, random_sql(50, 0), select="SELECT block_id, CASE WHEN sum(value) > 0 THEN 1 WHEN sum(value) < 0 THEN -1 ELSE 0 END AS value FROM ts JOIN rb USING (node) GROUP BY 1"))
 def field_coarse(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     coarse = field.coarse_field(ternary(spark, sf_dir, edges), blocks.random_blocks(graph.nodes_of(edges), 50, 0))
     return coarse.select("block_id", F.col("value").cast("int").alias("value"))
 
@@ -634,7 +642,7 @@ SIGN = "CASE WHEN sum({0}) > 0 THEN 1 WHEN sum({0}) < 0 THEN -1 ELSE 0 END"
 
 @query(
     with_sql(
-        g_sql(),
+        g_sql(G3),
         TERNARY,
         random_sql(20, 0),
         COARSE,
@@ -646,16 +654,15 @@ SIGN = "CASE WHEN sum({0}) > 0 THEN 1 WHEN sum({0}) < 0 THEN -1 ELSE 0 END"
     )
 )
 def commutation_defect(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, G3)
     own = stored(blocks.random_blocks(graph.nodes_of(edges), 20, 0), "blocks")
     return jobs.commutation_defect(edges, ternary(spark, sf_dir, edges), own)
 
 
 def coarse_flow_sql(size: int, seed: int, run: str) -> str:
     """The curve of the flow over random blocks: the coarse graph takes the place of the graph."""
-    inner = with_sql(g_sql().replace("e AS (", "e0 AS (", 1).replace("FROM e UNION SELECT dst FROM e)", "FROM e0 UNION SELECT dst FROM e0)").split(",\nk AS (")[0], random_sql(size, seed), select="SELECT a.block_id AS src, b.block_id AS dst, sum(weight) AS weight FROM e0 JOIN rb a ON a.node = src JOIN rb b ON b.node = dst GROUP BY 1, 2 HAVING sum(weight) <> 0")
-    rest = g_sql().split("n AS (SELECT", 1)[1]
-    return with_sql(f"e AS ({inner}), n AS (SELECT{rest}", flow_sql(), select=f"SELECT '{run}' AS run_id, step, defect FROM c, t WHERE step <= last")
+    inner = with_sql(raw_sql(), NODES, random_sql(size, seed), COARSE, select="SELECT * FROM ce")
+    return with_sql(f"e AS MATERIALIZED ({inner}), {NODES}, {FIELD}", flow_sql(), select=f"SELECT '{run}' AS run_id, step, defect FROM c, t WHERE step <= last")
 
 
 @query(coarse_flow_sql(10, 0, "0"))

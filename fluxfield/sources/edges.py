@@ -1,8 +1,10 @@
-"""Edge lists: reading, validation, collapse of repeated edges."""
+"""Edge lists: reading, validation, collapse of repeated edges, and whole graphs with metadata."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import default_weight
@@ -10,49 +12,78 @@ from fluxfield.functions.scalar import default_weight
 CANDIDATES = (",", "\t", ";", "|")
 
 
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file, or of the first file of a folder."""
+    header = spark.read.text(path).limit(1).collect()
+    return header[0][0] if header else ""
+
+
 def infer_delimiter(spark: SparkSession, path: str) -> str:
     """The candidate most frequent in the header row; a comma if none occurs."""
-    header = spark.read.text(path).limit(1).collect()
-    line = header[0][0] if header else ""
+    line = header_line(spark, path)
     best = max(CANDIDATES, key=line.count)
     return best if best in line else ","
 
 
 def scan_edges(
-    spark: SparkSession, path: str, source_col: str = "source_id", target_col: str = "target_id", weight_col: str = "weight", delimiter: str | None = None
+    spark: SparkSession,
+    path: str,
+    source_col: str = "source_id",
+    target_col: str = "target_id",
+    weight_col: str = "weight",
+    delimiter: str | None = None,
+    need_weight: bool = False,
+    type_col: str | None = None,
 ) -> DataFrame:
-    """A delimited file as (source, target, weight) of strings; a missing weight column gives nulls."""
+    """A delimited file as (source, target, weight_text[, channel]) of strings.
+
+    A missing weight column gives nulls, or a KeyError if it is needed. type_col is a column whose values are channels.
+    """
     raw = spark.read.option("header", True).option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
-    return pick_columns(raw, source_col, target_col, weight_col)
+    if not raw.columns:
+        raise ValueError("no header row")
+    return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col)
 
 
-def pick_columns(raw: DataFrame, source_col: str, target_col: str, weight_col: str, need_weight: bool = False) -> DataFrame:
-    for c in (source_col, target_col, *([weight_col] if need_weight else [])):
+def pick_columns(raw: DataFrame, source_col: str = "source_id", target_col: str = "target_id", weight_col: str = "weight", need_weight: bool = False, type_col: str | None = None) -> DataFrame:
+    """Columns of any table as (source, target, weight_text[, channel]); a missing one is a KeyError."""
+    for c in (source_col, target_col, *([weight_col] if need_weight else []), *([type_col] if type_col else [])):
         if c not in raw.columns:
             raise KeyError(c)
     weight = F.col(weight_col).cast("string") if weight_col in raw.columns else F.lit(None).cast("string")
-    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"))
+    channel = [F.col(type_col).cast("string").alias("channel")] if type_col else []
+    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"), *channel)
 
 
-def edge_violations(rows: DataFrame) -> DataFrame:
-    """Rows of (source, target, weight_text) with what is wrong, or null.
-
-    Blank end, text that is no number, infinite or NaN weight, negative weight; blank weights are fine.
-    """
+def violation(end_check: bool = True) -> Column:
+    """What is wrong with a row of (source, target, weight_text), or null; blank weights are fine."""
     w = F.trim(F.coalesce("weight_text", F.lit("")))
     number = w.try_cast("double")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    what = (
-        F.when(blank(F.col("source")) | blank(F.col("target")), "blank endpoint")
+    ends = (blank(F.col("source")) | blank(F.col("target"))) & F.lit(end_check)
+    return (
+        F.when(ends, "blank endpoint")
         .when((w != "") & number.isNull(), "weight is not a number")
         .when(F.isnan(number) | (F.abs(number) == float("inf")), "weight is not finite")
         .when(number < 0, "negative weight")
     )
-    return rows.withColumn("violation", what)
+
+
+def edge_violations(rows: DataFrame) -> DataFrame:
+    """Rows with what is wrong: a blank end, text that is no number, an infinite or NaN weight, a negative weight."""
+    return rows.withColumn("violation", violation())
+
+
+def raise_violations(bad: DataFrame) -> None:
+    """An error that names one row of each kind of violation, with its count; none if there are no bad rows."""
+    example = F.min(F.struct("source", "target", "weight_text")).alias("first")
+    kinds = bad.groupBy("violation").agg(F.count("*").alias("n"), example).orderBy("violation").collect()
+    if kinds:
+        raise ValueError("; ".join(f"{k['violation']}: {k['n']} rows, such as {tuple(k['first'])}" for k in kinds))
 
 
 def validate_edges(rows: DataFrame, mode: str = "raise") -> tuple[DataFrame, DataFrame]:
-    """(summary, bad rows). The summary has n_rows, n_nodes, n_zero, n_missing, n_bad over the good rows.
+    """(summary, bad rows). The summary has n_rows, n_nodes, n_zero, n_missing over the good rows.
 
     mode `raise`: an error names one violation of each kind with its count; `quarantine`: bad rows are returned.
     """
@@ -61,9 +92,7 @@ def validate_edges(rows: DataFrame, mode: str = "raise") -> tuple[DataFrame, Dat
     checked = edge_violations(rows)
     good, bad = checked.where("violation is null"), checked.where("violation is not null")
     if mode == "raise":
-        kinds = bad.groupBy("violation").agg(F.count("*").alias("n"), F.min(F.struct("source", "target", "weight_text")).alias("first")).orderBy("violation").collect()
-        if kinds:
-            raise ValueError("; ".join(f"{k['violation']}: {k['n']} rows, such as {tuple(k['first'])}" for k in kinds))
+        raise_violations(bad)
         if good.isEmpty():
             raise ValueError("no edges")
     return edge_summary(good), bad
@@ -74,23 +103,62 @@ def edge_summary(rows: DataFrame) -> DataFrame:
     w = default_weight(F.col("weight_text"))
     missing = F.trim(F.coalesce("weight_text", F.lit(""))) == ""
     counts = rows.agg(F.count("*").alias("n_rows"), F.count_if(w == 0).alias("n_zero"), F.count_if(missing).alias("n_missing"))
-    ends = rows.select(F.explode(F.array("source", "target")).alias("node"))
+    ends = rows.select(F.col("source").alias("node")).union(rows.select("target"))
     nodes = ends.distinct().agg(F.count("*").alias("n_nodes"))
     return counts.join(F.broadcast(nodes))  # one row each
 
 
 def collapse(rows: DataFrame, blank_weight: float | None = 1.0) -> DataFrame:
-    """(src, dst, weight): the sum of weights per pair. Zero sums stay. blank_weight None leaves blanks out of sums."""
+    """(src, dst[, channel], weight): the sum of weights per pair, and channel where rows have one. Zero sums stay.
+
+    blank_weight None leaves blanks out of sums. Text that is no number is an error of the query.
+    """
     weight = default_weight(F.col("weight_text"), blank_weight)
-    return rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"))
+    channel = ["channel"] if "channel" in rows.columns else []
+    return rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"), *channel).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"))
 
 
-def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_weight: float | None = None, **how) -> DataFrame:
-    """Read, check and collapse an edge list; negative weights are an error either way."""
-    rows = scan_edges(spark, path, **how)
+def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_weight: float | None = None, blank_weight: float | None = 1.0, **how) -> DataFrame:
+    """Read, check and collapse an edge list.
+
+    Negative weights and text that is no number are errors either way; validation also needs the weight column, both
+    ends, finite weights and at least one row. how: column names, delimiter, type_col of scan_edges.
+    """
+    rows = scan_edges(spark, path, need_weight=validate, **how)
     if validate:
         validate_edges(rows)
-    elif not (neg := rows.where(F.trim("weight_text").try_cast("double") < 0)).isEmpty():
-        raise ValueError(f"negative weight: {tuple(neg.first())}")
-    edges = collapse(rows)
+    else:
+        kinds = ("weight is not a number", "negative weight")
+        raise_violations(rows.withColumn("violation", violation(end_check=False)).where(F.col("violation").isin(*kinds)))
+    edges = collapse(rows, blank_weight)
     return edges if min_weight is None else edges.where(F.col("weight") >= min_weight)
+
+
+@dataclass(frozen=True)
+class Graph:
+    """edges (src, dst[, channel], weight); nodes (node); metadata (node, fields), aligned to nodes, and partitions
+    (node, field, label), both None if not asked for."""
+
+    edges: DataFrame
+    nodes: DataFrame
+    metadata: DataFrame | None = None
+    partitions: DataFrame | None = None
+
+
+def load_graph(
+    spark: SparkSession, path: str, metadata_path: str | None = None, metadata_id_col: str = "neuron_id", partition_fields: list[str] | None = None, validate: bool = False, **how
+) -> Graph:
+    """An edge list, its nodes, their metadata and the fields asked for as partitions, in one call.
+
+    Partitions without metadata are an error; a field that the metadata lacks is a KeyError.
+    """
+    from .metadata import align, load_metadata, partition_labels
+
+    edges = load_edge_list(spark, path, validate, **how)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    if not metadata_path:
+        if partition_fields:
+            raise ValueError("partitions need metadata")
+        return Graph(edges, nodes)
+    aligned = align(nodes, load_metadata(spark, metadata_path, metadata_id_col, how.get("delimiter")))
+    return Graph(edges, nodes, aligned, partition_labels(aligned, partition_fields) if partition_fields else None)

@@ -11,13 +11,14 @@ from .edges import infer_delimiter
 
 
 def load_metadata(spark: SparkSession, path: str, id_col: str = "neuron_id", delimiter: str | None = None) -> DataFrame:
-    """A delimited file with blanks as null and the id as `node`; `row_order` is the order of rows."""
+    """Delimited files with blanks as null and the id as `node`; `row_order` is the order of rows, files by name."""
     raw = spark.read.option("header", True).option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
     if id_col not in raw.columns:
         raise KeyError(id_col)
     fields = [F.when(F.trim(c) != "", F.col(c)).alias(c) for c in raw.columns if c != id_col]
-    # Files are read in name order and rows in file order, so these ids ascend as the rows do.
-    return raw.select(F.col(id_col).alias("node"), *fields, F.monotonically_increasing_id().alias("row_order"))
+    # Tasks take files by size, so rows go by file, then by where in it their task began, then as the task met them.
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return raw.select(F.col(id_col).alias("node"), *fields, F.struct(*[c.alias(k) for c, k in zip(place, ("file", "block", "row"), strict=True)]).alias("row_order"))
 
 
 def last_row(meta: DataFrame, order: str | Column = "row_order") -> DataFrame:

@@ -23,12 +23,37 @@ def write_curve(curve: DataFrame, path: str, **how) -> None:
     write_table(curve.select("step", "defect"), path, order_by=["step"], **how)
 
 
-def write_state(state: DataFrame, path: str, **how) -> None:
-    write_table(state, path, order_by=["node"], **how)
+def _indexed(df: DataFrame, index: DataFrame) -> DataFrame:
+    """df with node_index from (node, node_index), and the node as body_id."""
+    return df.join(index.select("node", "node_index"), "node").withColumnRenamed("node", "body_id")
 
 
-def write_defect_nodes(changes: DataFrame, path: str, **how) -> None:
-    write_table(changes, path, partition_by=["step"], **how)
+def write_state(state: DataFrame, index: DataFrame, path: str, **how) -> None:
+    """node_index, body_id, [channel,] value."""
+    channel = [c for c in ("channel",) if c in state.columns]
+    write_table(_indexed(state, index).select("node_index", "body_id", *channel, "value"), path, order_by=["node_index"], **how)
+
+
+def write_defect_nodes(changes: DataFrame, index: DataFrame, path: str, **how) -> None:
+    """node_index, body_id, [channel,] prev_value, new_value, in a folder for each step."""
+    channel = [c for c in ("channel",) if c in changes.columns]
+    rows = _indexed(changes, index).select("step", "node_index", "body_id", *channel, F.col("prev").alias("prev_value"), F.col("new").alias("new_value"))
+    write_table(rows, path, partition_by=["step"], order_by=["step", "node_index"], **how)
+
+
+def write_block_map(blocks: DataFrame, index: DataFrame, path: str, **how) -> None:
+    """node_index, body_id, block_id."""
+    write_table(_indexed(blocks, index).select("node_index", "body_id", "block_id"), path, order_by=["node_index"], **how)
+
+
+def write_label_table(table: DataFrame, path: str, kind: str = "roi", **how) -> None:
+    """<kind>_label, <kind>_index, neuron_count, from a table of labels with their rank and number of members."""
+    rows = table.select(F.col("label").alias(f"{kind}_label"), F.col("label_index").alias(f"{kind}_index"), F.col("n_members").alias("neuron_count"))
+    write_table(rows, path, order_by=[f"{kind}_index"], **how)
+
+
+def write_metadata(enriched: DataFrame, path: str, **how) -> None:
+    write_table(enriched, path, **how)
 
 
 def write_partition_summary(summary: DataFrame, path: str, **how) -> None:
