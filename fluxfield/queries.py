@@ -15,9 +15,9 @@ from fluxfield.functions.scalar import sgn_deadzone
 from fluxfield.operators import baseline, blocks, distances, field, graph, kernel, report
 from fluxfield.operators.kernel import KernelParams
 from fluxfield.plans import jobs
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import new_path, stored
 from fluxfield.sources import edges as edge_source
-from fluxfield.sources import metadata
+from fluxfield.sources import metadata, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -718,6 +718,178 @@ def metadata_align(spark, sf_dir):
     return metadata.align(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), meta)
 
 
+# Files: what loaders read of edge lists and metadata written as CSV, and what sinks write
+
+
+def csv(df: DataFrame, name: str) -> str:
+    path = new_path(df.sparkSession, name)
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+def edge_csv(spark: SparkSession, sf_dir: str) -> str:
+    """texts() without the rows that validation rejects."""
+    good = edge_source.edge_violations(texts(spark, sf_dir)).where("violation is null")
+    return csv(good.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("weight_text").alias("weight")), "edges-csv")
+
+
+LOADED = "l AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN {0} WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2)"
+
+
+@query(with_sql(g_sql(G3), LOADED.format("1"), select="SELECT * FROM l"))
+def loaded_edges(spark, sf_dir):
+    return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), validate=True)
+
+
+@query(with_sql(g_sql(G3), LOADED.format("NULL"), select="SELECT src, dst, coalesce(weight, 0) AS weight FROM l"))
+def loaded_edges_without_blanks(spark, sf_dir):
+    return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), blank_weight=None)
+
+
+@query(with_sql(g_sql(G3), LOADED.format("1"), select="SELECT node, field, label FROM (SELECT src AS node FROM l UNION SELECT dst FROM l) JOIN (SELECT p_partkey::VARCHAR AS node, p_brand, p_type FROM part) USING (node) UNPIVOT (label FOR field IN (p_brand, p_type))"))
+def loaded_partitions(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("neuron_id"), "p_brand", "p_type", "p_size")
+    return edge_source.load_graph(spark, edge_csv(spark, sf_dir), csv(part, "meta-csv"), partition_fields=["p_brand", "p_type"]).partitions
+
+
+@query(
+    f"""SELECT l_partkey::VARCHAR AS node, last(l_returnflag ORDER BY l_orderkey, {', '.join(ORD)}) AS flag,
+               last(CASE WHEN l_tax > 0 THEN l_tax END ORDER BY l_orderkey, {', '.join(ORD)})::DOUBLE AS tax FROM lineitem GROUP BY 1"""
+)
+def loaded_metadata(spark, sf_dir):
+    """Several files, rows of which are in order over all files: of a node's rows the last counts."""
+    lines = table(spark, sf_dir, "lineitem").orderBy("l_orderkey", *ORD)
+    path = csv(lines.select(F.col("l_partkey").alias("neuron_id"), F.col("l_returnflag").alias("flag"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax")), "lines-csv")
+    return metadata.last_row(metadata.load_metadata(spark, path)).select("node", "flag", F.col("tax").cast("double").alias("tax"))
+
+
+TYPED = """te AS MATERIALIZED (
+  SELECT src, dst, channel, sum(l_quantity) AS weight FROM (
+    SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {0}) AS dst, l_quantity, l_returnflag AS channel FROM lineitem)
+  WHERE dst IS NOT NULL GROUP BY 1, 2, 3),
+tn AS (SELECT node, channel, value FROM (SELECT src AS node FROM te UNION SELECT dst FROM te) JOIN (
+  SELECT p_partkey AS node, CASE WHEN p_size - 25.5 > 5 THEN 1 WHEN p_size - 25.5 < -5 THEN -1 ELSE 0 END AS value FROM part) USING (node), (SELECT DISTINCT channel FROM te)),
+ta AS (SELECT src AS node, te.channel, sum(weight * value) AS total FROM te JOIN tn ON tn.node = te.dst AND tn.channel = te.channel GROUP BY 1, 2)"""
+
+
+@query(with_sql(TYPED.format(", ".join(ORD)), select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM tn LEFT JOIN ta USING (node, channel)"))
+def typed_channel_step(spark, sf_dir):
+    """Channels from the type of edges, here the return flag: each has edges of its own."""
+    follow = Window.partitionBy("l_orderkey").orderBy(*ORD)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("source"), F.lead("l_partkey").over(follow).alias("target"), F.col("l_quantity").alias("weight"), F.col("l_returnflag").alias("type")
+    )
+    rows = edge_source.pick_columns(rows.where("target is not null"), "source", "target", "weight", type_col="type")
+    edges = stored(edge_source.collapse(rows), "typed")
+    edges = edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "channel", "weight")
+    flags = edges.select("channel").distinct()
+    state = ternary(spark, sf_dir, edges).join(F.broadcast(flags))  # as many rows as types of edges
+    return values(kernel.kernel_step(edges, state, KernelParams(deadzone=EPS)), "channel")
+
+
+@query(with_sql(g_sql(), flow_sql(), select="SELECT row_number() OVER (ORDER BY node) - 1 AS node_index, node AS body_id, value FROM z"))
+def written_state(spark, sf_dir):
+    state, path = stored(last(flow_of(spark, sf_dir)[2]), "closed"), new_path(spark, "state")
+    sinks.write_state(state, jobs.node_index(state), path)
+    return spark.read.parquet(path).withColumn("value", F.col("value").cast("int"))
+
+
+@query(with_sql(g_sql(G3), random_sql(50, 0), select="SELECT row_number() OVER (ORDER BY node) - 1 AS node_index, node AS body_id, block_id FROM rb"))
+def written_blocks(spark, sf_dir):
+    edges, path = g(spark, sf_dir, G3), new_path(spark, "blocks-run")
+    jobs.block_run(edges, stored(blocks.random_blocks(graph.nodes_of(edges), 50, 0), "blocks"), path)
+    return spark.read.parquet(f"{path}/blocks")
+
+
+def region_inputs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    meta = regions(spark, sf_dir).select(F.col("node").alias("bodyId"), "roi_info_json", "rois", "side")
+    return edge_csv(spark, sf_dir), csv(meta, "regions-csv")
+
+
+REGION_RUN = "SELECT coalesce(a.label, 'unknown') AS source_id, coalesce(b.label, 'unknown') AS target_id, sum(coalesce(weight, 0)) AS weight FROM l LEFT JOIN rl a ON a.node::VARCHAR = l.src LEFT JOIN rl b ON b.node::VARCHAR = l.dst GROUP BY 1, 2"
+
+
+@query(with_sql(g_sql(G3), LOADED.format("NULL"), REGION, select=REGION_RUN))
+def region_run(spark, sf_dir):
+    (edges, meta), out = region_inputs(spark, sf_dir), new_path(spark, "region-run")
+    jobs.region_run(spark, edges, meta, out, use_side=True)
+    return spark.read.parquet(f"{out}/edges")
+
+
+# Reports and perturbations
+
+
+@query(
+    with_sql(
+        g_sql(),
+        flow_sql(),
+        REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"),
+        select=f"""SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges,
+        (SELECT count(*) FILTER (residual > 1e-9) FROM x) AS residual_positive, (SELECT count(*) FILTER (residual < -1e-9) FROM x) AS residual_negative,
+        'converged' AS status, last AS step, (SELECT string_agg(step || ':' || defect, ',' ORDER BY step) FROM c WHERE step <= last) AS curve,
+        (SELECT count(*) FILTER (z.value <> s0.value) FROM z JOIN s0 USING (node)) AS flips,
+        (SELECT count(*) FILTER (value = 1) FROM z) AS final_positive, (SELECT count(*) FILTER (value = 0) FROM z) AS final_zero,
+        (SELECT count(DISTINCT component) FROM comp) AS positive_n_components, (SELECT max(c) FROM (SELECT count(*) AS c FROM comp GROUP BY component)) AS positive_largest FROM t""",
+    )
+)
+def run_report(spark, sf_dir):
+    row = jobs.run_report(jobs.defect_report(g(spark, sf_dir), jobs.DefectConfig(steps=STEPS)))
+    curve = F.array_join(F.transform("curve", lambda x: F.concat_ws(":", x["step"], x["defect"])), ",")
+    names = ["n_nodes", "n_edges", "residual_positive", "residual_negative", "status", "step", "flips", "final_positive", "final_zero", "positive_n_components", "positive_largest"]
+    return row.select(*names, curve.alias("curve"))
+
+
+def geometry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges, _, flow = flow_of(spark, sf_dir, G2)
+    return jobs.geometry_report(edges, stored(last(flow), "closed"), flow.changes)
+
+
+DEFECTS = "dn AS (SELECT DISTINCT b.node FROM f a JOIN f b ON b.node = a.node AND b.step = a.step + 1, t WHERE a.value <> b.value AND b.step <= last)"
+
+
+def geometry_sql(select: str) -> str:
+    return with_sql(g_sql(G2), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), BFS, DEFECTS, select=select)
+
+
+def attached(nodes: str, more: str = "") -> str:
+    return f"(SELECT count(*) FROM {nodes} JOIN d USING (node) WHERE d.component = s.component{more})"
+
+
+@query(
+    geometry_sql(
+        f"SELECT component, size, {attached('zero')} AS neutral, {attached('zero', ' AND distance = 1')} AS neutral_d1, {attached('dn')} AS defect, {attached('dn', ' AND distance = 1')} AS defect_d1 "
+        "FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) s"
+    )
+)
+def geometry_components(spark, sf_dir):
+    return geometry(spark, sf_dir)[1]
+
+
+def far(nodes: str, tag: str) -> str:
+    return f"""(SELECT count(*) FROM {nodes}) AS {tag}_n, (SELECT count(*) FILTER (distance IS NULL) FROM {nodes} LEFT JOIN d USING (node)) AS {tag}_unreached,
+    (SELECT max(distance) FROM {nodes} JOIN d USING (node)) AS {tag}_most, (SELECT count(*) FROM {nodes} JOIN d USING (node) WHERE distance = 2) AS {tag}_two"""
+
+
+@query(geometry_sql(f"SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(DISTINCT component) FROM comp) AS n_components, {far('zero', 'neutral')}, {far('dn', 'defect')}"))
+def geometry_report(spark, sf_dir):
+    row = geometry(spark, sf_dir)[0]
+    told = [c for tag in ("neutral", "defect") for c in (*[F.col(f"{tag}.{k}").alias(f"{tag}_{k}") for k in ("n", "unreached", "most")], F.coalesce(F.col(f"{tag}.by_distance")["2"], F.lit(0)).alias(f"{tag}_two"))]
+    return row.select(F.col("graph.nodes").alias("nodes"), F.col("components.count").alias("n_components"), *told)
+
+
+@query(with_sql(g_sql(G3), select="SELECT * FROM e WHERE ('0x' || substr(md5('7:' || src || ':' || dst), 1, 8))::BIGINT < 1073741824"))
+def perturbed_edges(spark, sf_dir):
+    return jobs.subsampled(g(spark, sf_dir, G3), 0.25, 7)
+
+
+@query(with_sql(g_sql(G3), TERNARY, "a AS (SELECT n.node, coalesce(sum(weight * value), 0) AS total FROM n LEFT JOIN e ON e.src = n.node LEFT JOIN ts ON ts.node = e.dst GROUP BY 1)", select="SELECT node, CASE WHEN total > 0.25 * k_out THEN 1 WHEN total < -0.25 * k_out THEN -1 ELSE 0 END AS value FROM a JOIN k USING (node)"))
+def degree_deadzone_step(spark, sf_dir):
+    edges = g(spark, sf_dir, G3)
+    eps = stored(jobs.degree_deadzone(edges, 0.25), "eps")
+    state = ternary(spark, sf_dir, edges).join(eps, "node", "left").fillna(0.0, ["eps"])
+    return values(kernel.kernel_step(edges, state, KernelParams(deadzone=F.col("eps"))))
+
+
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.persistence(g(spark, sf_dir), 4, 2, config=jobs.DefectConfig(steps=STEPS))
 

@@ -39,7 +39,7 @@ def scan_edges(
 
     A missing weight column gives nulls, or a KeyError if it is needed. type_col is a column whose values are channels.
     """
-    raw = spark.read.option("header", True).option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
     if not raw.columns:
         raise ValueError("no header row")
     return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col)

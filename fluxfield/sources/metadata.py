@@ -12,7 +12,7 @@ from .edges import infer_delimiter
 
 def load_metadata(spark: SparkSession, path: str, id_col: str = "neuron_id", delimiter: str | None = None) -> DataFrame:
     """Delimited files with blanks as null and the id as `node`; `row_order` is the order of rows, files by name."""
-    raw = spark.read.option("header", True).option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
     if id_col not in raw.columns:
         raise KeyError(id_col)
     fields = [F.when(F.trim(c) != "", F.col(c)).alias(c) for c in raw.columns if c != id_col]

@@ -1,6 +1,7 @@
 """Operators on toy graphs with known results."""
 
 import hashlib
+import json
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from fluxfield.functions.scalar import entropy, primary_region, purity, sgn_dead
 from fluxfield.operators import baseline, blocks, distances, field, graph, kernel
 from fluxfield.operators.components import connected_components
 from fluxfield.operators.kernel import KernelParams
-from fluxfield.plans import jobs
+from fluxfield.plans import jobs, staging
 from fluxfield.sources import edges as E
 from fluxfield.sources import metadata, sinks
 
@@ -256,3 +257,94 @@ def test_persistence(spark):
             sums[block[a], block[b]] = sums.get((block[a], block[b]), 0.0) + w
         level = [(a, b, w) for (a, b), w in sums.items() if w]
     assert got(jobs.persistence(edges(spark, rows), 2, 2), "level", "n_nodes", "n_zero", "first_defect", "n_components") == want
+
+
+def test_loader_errors(spark, tmp_path):
+    bad, bare = tmp_path / "bad.csv", tmp_path / "bare.csv"
+    bad.write_text("source_id,target_id,weight\na,b,abc\n")
+    bare.write_text("source_id,target_id\na,b\na,b\n")
+    for validate in (False, True):
+        with pytest.raises(ValueError, match="not a number"):
+            E.load_edge_list(spark, str(bad), validate=validate)
+    assert got(E.load_edge_list(spark, str(bare)), "src", "dst", "weight") == [("a", "b", 2.0)]
+    with pytest.raises(KeyError, match="weight"):
+        E.load_edge_list(spark, str(bare), validate=True)
+    with pytest.raises(KeyError, match="weight"):
+        jobs.validate_job(spark, str(bare))
+    with pytest.raises(ValueError, match="partitions need metadata"):
+        E.load_graph(spark, str(bare), partition_fields=["x"])
+    with pytest.raises(KeyError):
+        blocks.voxel_map(spark.createDataFrame([(1, 2.0)], "node int, soma_x double"), 10)
+
+
+def test_load_graph(spark, tmp_path):
+    path, meta = tmp_path / "edges.csv", tmp_path / "meta"
+    path.write_text("source_id,target_id,weight,type\nn1,n2,2,x\nn2,n3,,x\nn2,n3,3,y\n")
+    meta.mkdir()
+    # The first file by name is the largest; the row of the last file counts.
+    (meta / "a.csv").write_text("neuron_id,cell_type\n" + "n1,T1\n" * 50)
+    (meta / "b.csv").write_text("neuron_id,cell_type\nn1,T2\nn3,\n")
+    found = E.load_graph(spark, str(path), str(meta), partition_fields=["cell_type"], validate=True)
+    assert sorted(map(tuple, found.partitions.collect()), key=repr) == [("n1", "cell_type", "T2"), ("n2", "cell_type", None), ("n3", "cell_type", None)]
+    typed = E.load_edge_list(spark, str(path), type_col="type")
+    assert got(typed, "src", "dst", "channel", "weight") == [("n1", "n2", "x", 2.0), ("n2", "n3", "x", 1.0), ("n2", "n3", "y", 3.0)]
+    assert got(E.load_edge_list(spark, str(path), blank_weight=None), "weight") == [(2.0,), (3.0,)]
+    with pytest.raises(KeyError):
+        E.load_graph(spark, str(path), str(meta), partition_fields=["nope"])
+
+
+def test_no_limit_on_hops_or_rounds(spark):
+    path = edges(spark, [(i, i + 1, 1) for i in range(12)])
+    found = distances.hop_distances(path, spark.createDataFrame([(0, 0)], "node long, component long"))
+    assert got(found, "node", "distance", "component") == [(i, i, 0) for i in range(13)]
+    assert distances.hop_distances(path, spark.createDataFrame([], "node long, component long")).count() == 0
+    some = spark.createDataFrame([(1, 2, 1.0), (None, 2, 1.0)], "src long, dst long, weight double")
+    assert got(blocks.radius_blocks(some, 1), "node", "block_id") == [(1, 0), (2, 0)]
+    assert blocks.radius_blocks(some.limit(0), 1).count() == 0
+
+
+def test_sized(spark):
+    df = spark.range(100).select("id", F.lit("é" * 10).alias("text"), F.array(F.struct(F.lit("a").alias("x"))).alias("list"), F.create_map(F.lit("k"), F.col("id")).alias("map"))
+    plan = lambda side: spark.range(10).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(staging.sized(df)) and "strategy=merge" in plan(staging.sized(df, limit=99))
+    assert "strategy=broadcast" in plan(staging.sized(df.limit(0)))
+
+
+def test_runs_and_reports(spark, tmp_path):
+    edge_file, meta, voxels = (tmp_path / n for n in ("e.csv", "m.csv", "v.csv"))
+    edge_file.write_text("source_id,target_id,weight\n1,2,3\n2,3,\n1,9,1\n")
+    meta.write_text('bodyId,roi_info_json,rois,side\n1,"{""A"":1}",,L\n2,,|B|C,\n3,,,R\n2,,|C,\n')
+    voxels.write_text("bodyId,soma_x,soma_y,soma_z\n1,1,1,1\n2,12,1,1\n3,,1,1\n")
+    out = str(tmp_path / "roi")
+    assert got(jobs.region_run(spark, str(edge_file), str(meta), out, use_side=True, fmt="csv"), "n_members", "n_pairs") == [(4, 3)]
+    read = lambda path: sorted(map(tuple, spark.read.option("header", True).csv(path).collect()))
+    assert read(f"{out}/edges") == [("A_L", "C", "3.0"), ("A_L", "unknown", "1.0"), ("C", "unknown", "0.0")]
+    assert read(f"{out}/labels") == [("A_L", "0", "1"), ("B", "1", "1"), ("C", "2", "1"), ("unknown", "3", "1")]
+    out = str(tmp_path / "voxel")
+    jobs.voxel_run(spark, str(edge_file), str(voxels), out, 10, drop_unknown=True, fmt="csv")
+    assert read(f"{out}/edges") == [("0_0_0", "1_0_0", "3.0")]
+    path, out = edges(spark, [(i, i + 1, 1) for i in range(4)]), str(tmp_path / "radius")
+    assert got(jobs.radius_run(path, 1, out, fmt="csv"), "n_blocks", "n_edges") == [(3, 4)]
+    assert read(f"{out}/blocks") == [("0", "0", "0"), ("1", "1", "0"), ("2", "2", "1"), ("3", "3", "1"), ("4", "4", "2")]
+    report = jobs.defect_report(path)
+    sinks.write_report(jobs.run_report(report), str(tmp_path / "report"))
+    row = json.loads(spark.read.text(str(tmp_path / "report")).first()[0])
+    assert row["status"] == "converged" and row["n_nodes"] == 5 and [c["step"] for c in row["curve"]] == list(range(1, row["step"] + 1))
+    sinks.write_state(report["state"], jobs.node_index(report["state"]), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "state")).columns == ["node_index", "body_id", "value"]
+    sinks.write_defect_nodes(report["changes"], jobs.node_index(report["state"]), str(tmp_path / "changes"))
+    assert spark.read.parquet(str(tmp_path / "changes")).count() == report["changes"].count()
+    state = spark.createDataFrame([(0, 1), (1, 0), (2, 0), (3, 0), (4, 1), (7, 0)], "node long, value int")
+    changes = spark.createDataFrame([(1, 1, 1, 0), (2, 2, 1, 0)], "step int, node long, prev int, new int")
+    one, components = jobs.geometry_report(path, state, changes)
+    one = one.first()
+    assert (one.graph.nodes, one.components["count"], one.neutral.n, one.neutral.unreached, one.neutral.by_distance) == (5, 2, 4, 1, {"1": 2, "2": 1})
+    assert got(components, "component", "size", "neutral", "neutral_d1", "defect", "defect_d1") == [(0, 1, 2, 1, 2, 1), (4, 1, 1, 1, 0, 0)]
+
+
+def test_typed_channels_in_a_flow(spark):
+    typed = spark.createDataFrame([(0, 1, "x", 1.0), (1, 0, "x", 1.0), (0, 1, "y", 1.0)], "src long, dst long, channel string, weight double")
+    s = spark.createDataFrame([(n, c, 1) for n in (0, 1) for c in "xy"], "node long, channel string, value int")
+    flow = kernel.kernel_flow(typed, s)
+    assert got(flow.state, "node", "channel", "value") == [(0, "x", 1), (0, "y", 0), (1, "x", 1), (1, "y", 0)]
+    assert got(flow.changes, "step", "node", "channel") == [(1, 1, "y"), (2, 0, "y")]
