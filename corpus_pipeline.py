@@ -7,13 +7,11 @@ sf_dir) and returns a DataFrame; its result is written as Parquet and read again
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxfield.llm import decontamination, mixing, simhash, token_files, toxicity
-from fluxfield.llm.common import shared_dir, table
+from fluxfield.llm.common import new_path, table
 from fluxfield.llm.queries import WORD_VOCABULARY
 
 
@@ -51,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/fluxfield-pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")

@@ -1,19 +1,24 @@
 """Tool-call linking for chat data: join calls to results, order them, check arguments, write canonical JSON.
 
 Calls are (conv_id, call_id, turn, name, arguments, depends_on), results (conv_id, call_id, turn, content), schemas
-(name, field, type, required). Calls and results meet in a join on both ids; calls are ordered so that each comes after
-those it depends on: its level is one more than the highest level of these, found by halving chains and then in
-rounds, and calls of one level go by turn and id. Arguments are parsed once and compared with the schema of the call's name. The JSON has sorted keys at
-every depth and no white space.
-
-Nothing gathers a conversation in one task: positions come from counts by conversation, level and block of turns, and
-a rank inside the block.
-
-Of calls with the same ids the one of the least turn (then name, then arguments) counts; of results the one of the least
-turn (then content), and n_results has their number. Status: `ok`, `no_result`, or `cycle` (the call depends, through
-others, on itself; level null, and last in order). Dependencies on calls that do not exist are ignored. Results without
-a call are returned with status `orphan` and no position. Invalid, null or non-object arguments fail validation; so do
-calls of unknown names. Rows with a null id are dropped. Empty tables give empty results; other columns are ignored.
+(name, field, type, required). Calls and results meet in a hash join on both ids; calls are ordered so that each comes
+after those it depends on: its level is one more than the highest level of these, found by halving chains and then in
+rounds, and calls of one level go by turn and id. Arguments are parsed once and compared with the schema of the call's
+name. The JSON has sorted keys at every depth and no white space.
+
+Ordering works on ids and turns alone; texts are shuffled once, by both ids. Nothing gathers a conversation in one
+task: positions come from counts by conversation, level and block of turns, and a rank inside the block.
+
+A schema's field is a key of the arguments, or a path of keys joined by dots. Its type is STRING, BIGINT (whole
+numbers), DOUBLE (any number), BOOLEAN, OBJECT, ARRAY, or the full type of a value such as ARRAY<BIGINT>. A JSON null
+has no type of these. Keys at the top that no field begins with are unknown.
+
+Of calls with the same ids the one of the least turn (then name, then hash of the arguments) counts; of results the one
+of the least turn (then content), and n_results has their number. Status: `ok`, `no_result`, or `cycle` (the call
+depends, through others, on itself; level null, and last in order). Dependencies on calls that do not exist are
+ignored. Results without a call are returned with status `orphan` and no position. Invalid, null or non-object
+arguments fail validation; so do calls of unknown names. Rows with a null id are dropped; null turns come first. Empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,109 +26,133 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, sized, stored, words_of
+from .common import counted, let, sized, stored, words_of
 
 TURN_BLOCK = 256
 SCHEMA_COLUMNS = "name string, field string, type string, required boolean"
 KEY = ["conv_id", "call_id"]
 
 
+def hashed(side: DataFrame) -> DataFrame:
+    """The side of a join that is built into hash tables, partition by partition: its keys are distinct."""
+    return side.hint("shuffle_hash")
+
+
 def chain_anchors(single: DataFrame) -> DataFrame:
     """(conv_id, call_id, anchor, steps): for calls with one need, the first call up the chain that has none or several.
 
     Each round doubles the reach of every pointer, so rounds grow with the logarithm of the longest chain; calls that
     still point into a chain after all rounds run in a circle and are left out.
     """
-    moving = stored(single.select(*KEY, F.col("needs").alias("anchor"), F.lit(1).cast("bigint").alias("steps")), "chain")
-    settled, rounds = [], moving.count().bit_length() + 1
-    for _ in range(rounds):
-        ahead = moving.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_next"), F.col("steps").alias("_more"))
-        joined = stored(moving.join(ahead.hint("merge"), ["conv_id", "anchor"], "left"), "chain")
-        # A pointer to a call that is no longer moving has either arrived, or joins one that has.
-        arrived = joined.where("_next is null").select(*KEY, "anchor", "steps")
-        for found in settled:
-            past = found.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("_to"), F.col("steps").alias("_far"))
-            arrived = arrived.join(past.hint("merge"), ["conv_id", "anchor"], "left")
-            arrived = arrived.select(*KEY, F.coalesce("_to", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("_far", F.lit(0))).alias("steps"))
-        arrived = stored(arrived, "arrived")
-        settled = [stored(settled[0].unionByName(arrived), "settled")] if settled else [arrived]
-        moving = joined.where("_next is not null").select(*KEY, F.col("_next").alias("anchor"), (F.col("steps") + F.col("_more")).alias("steps"))
-        if moving.isEmpty():
+    chain, n = counted(single.select(*KEY, F.col("needs").alias("anchor"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("moves")), "chain")
+    left = n
+    for _ in range(n.bit_length() + 1):
+        if not left:
             break
-    return settled[0]
+        ahead = chain.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"), F.col("moves").alias("on"))
+        joined = chain.where("moves").join(hashed(ahead), ["conv_id", "anchor"], "left")
+        # A pointer to a call outside the chains has arrived; so has one that takes over from a pointer that had.
+        moved = joined.select(*KEY, F.coalesce("next", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("on", F.lit(False)).alias("moves"))
+        chain = stored(chain.where("not moves").unionByName(moved), "chain")
+        left = chain.where("moves").count()
+    return chain.where("not moves").drop("moves")
 
 
-def call_levels(calls: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of every call that depends on no cycle; calls have distinct ids.
 
     Chains of calls with one need each, however long, are first cut down to their ends. Among the rest a call becomes
-    ready in the round after the last of its needs; rounds are as many as calls with several needs follow one another.
+    ready in the round after the last of its needs; rounds are as many as calls with several needs follow one another,
+    and end when one makes no call ready.
     """
     ids = calls.select(*KEY)
     asked = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    deps = asked.join(ids.select("conv_id", F.col("call_id").alias("needs")).hint("merge"), ["conv_id", "needs"])
-    grouped = stored(deps.groupBy(*KEY).agg(F.min("needs").alias("needs"), F.count("*").alias("n_needs"), F.collect_set("needs").alias("all_needs")), "deps")
+    deps = asked.join(hashed(ids.select("conv_id", F.col("call_id").alias("needs"))), ["conv_id", "needs"])
+    deps = stored(deps, "deps")
+    grouped = deps.groupBy(*KEY).agg(F.min("needs").alias("needs"), F.count("*").alias("n_needs"))
+    grouped = stored(grouped, "needs")
     anchors = chain_anchors(grouped.where("n_needs = 1"))
-    anchor_of = anchors.select("conv_id", F.col("call_id").alias("needs"), "anchor", "steps")
-    joins = stored(grouped.where("n_needs > 1").select(*KEY, "n_needs", F.explode("all_needs").alias("needs")), "joins")
+    levels = ids.join(hashed(grouped.select(*KEY)), KEY, "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    several, n_several = counted(grouped.where("n_needs > 1").select(*KEY, "n_needs"), "several")
+    if n_several:
+        levels = joined_levels(stored(levels, "levels"), deps.join(hashed(several), KEY), anchors)
+    ends = levels.select("conv_id", F.col("call_id").alias("anchor"), "level")
+    chained = anchors.join(hashed(ends), ["conv_id", "anchor"]).select(*KEY, (F.col("level") + F.col("steps")).alias("level"))
+    return levels.unionByName(chained).select(*KEY, F.col("level").cast("int").alias("level"))
+
+
+def joined_levels(levels: DataFrame, joins: DataFrame, anchors: DataFrame) -> DataFrame:
+    """levels with those of calls that have several needs: a row of joins (conv_id, call_id, n_needs, needs) for each."""
     # Needs in the middle of chains are replaced by the chains' ends; needs in circles never become ready.
-    joins = joins.join(anchor_of.hint("merge"), ["conv_id", "needs"], "left").select(*KEY, "n_needs", F.coalesce("anchor", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps"))
-    joins = stored(joins, "joins")
-    levels = stored(ids.join(grouped.select(*KEY).hint("merge"), KEY, "left_anti").withColumn("level", F.lit(0).cast("bigint")), "levels")
-    for _ in range(max_rounds):
+    anchor_of = anchors.select("conv_id", F.col("call_id").alias("needs"), "anchor", "steps")
+    joins = joins.join(hashed(anchor_of), ["conv_id", "needs"], "left")
+    joins = stored(joins.select(*KEY, "n_needs", F.coalesce("anchor", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps")), "joins")
+    n = 1
+    while n:
         known = levels.select("conv_id", F.col("call_id").alias("needs"), "level")
-        ready = joins.join(known.hint("merge"), ["conv_id", "needs"]).groupBy(*KEY, "n_needs")
+        ready = joins.join(hashed(known), ["conv_id", "needs"]).groupBy(*KEY, "n_needs")
         ready = ready.agg(F.count("*").alias("n"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).where("n = n_needs").select(*KEY, "level")
-        new = stored(ready.join(levels.select(*KEY).hint("merge"), KEY, "left_anti"), "ready")
-        if new.isEmpty():
-            break
+        new, n = counted(ready, "ready")
         levels = stored(levels.unionByName(new), "levels")
-    else:
-        raise RuntimeError(f"more than {max_rounds} calls with several needs follow one another")
-    ends = levels.select("conv_id", F.col("call_id").alias("anchor"), "level")
-    chained = anchors.join(ends.hint("merge"), ["conv_id", "anchor"]).select(*KEY, (F.col("level") + F.col("steps")).alias("level"))
-    return levels.unionByName(chained).select(*KEY, F.col("level").cast("int").alias("level"))
+        # Calls that are ready leave the rest, which each round reads.
+        joins = stored(joins.join(hashed(new.select(*KEY)), KEY, "left_anti"), "joins")
+    return levels
+
+
+def is_type(given: Column, wanted: Column) -> Column:
+    """Whether the type of a variant is one that a schema asks for."""
+    whole = given.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+    number = given.rlike(r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return (
+        F.when(wanted == "BIGINT", whole)
+        .when(wanted == "DOUBLE", number)
+        .when(wanted.isin("OBJECT", "ARRAY"), F.startswith(given, F.concat(wanted, F.lit("<"))))
+        .otherwise(given == wanted)
+    )
 
 
 def argument_errors(parsed: Column, fields: Column) -> Column:
     """What is wrong with arguments (a variant) by the schema's fields: sorted messages."""
-    given = F.try_variant_get(parsed, "$", "map<string,variant>")
-
-    def against(args: Column) -> Column:
-        types = F.transform_values(args, lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
-        present = F.map_keys(args)
-        missing = F.transform(F.filter(fields, lambda f: f["required"] & ~F.array_contains(present, f["field"])), lambda f: F.concat(F.lit("missing "), f["field"]))
-        unknown = F.transform(F.array_except(present, F.transform(fields, lambda f: f["field"])), lambda k: F.concat(F.lit("unknown "), k))
-        kinds = lambda ts: F.filter(fields, lambda f: F.array_contains(present, f["field"]) & (F.element_at(ts, f["field"]) != f["type"]))
-        wrong = let(types, lambda ts: F.transform(kinds(ts), lambda f: F.concat(F.lit("type of "), f["field"])))
+    keys = F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>"))
+    typed = F.transform(fields, lambda f: F.struct(f.alias("f"), F.schema_of_variant(F.try_variant_get(parsed, F.concat(F.lit("$."), f["field"]), "variant")).alias("given")))
+
+    def against(given: Column) -> Column:
+        missing = F.transform(F.filter(given, lambda x: x["f"]["required"] & x["given"].isNull()), lambda x: F.concat(F.lit("missing "), x["f"]["field"]))
+        wrong = F.transform(F.filter(given, lambda x: ~is_type(x["given"], x["f"]["type"])), lambda x: F.concat(F.lit("type of "), x["f"]["field"]))
+        tops = F.transform(fields, lambda f: F.substring_index(f["field"], ".", 1))
+        unknown = F.transform(F.array_except(keys, tops), lambda k: F.concat(F.lit("unknown "), k))
         return F.array_sort(F.concat(missing, unknown, wrong))
 
     bad = F.array(F.lit("not an object"))
-    return F.when(fields.isNull(), F.array(F.lit("unknown name"))).otherwise(F.coalesce(let(given, against), bad))
+    return F.when(fields.isNull(), F.array(F.lit("unknown name"))).when(keys.isNull(), bad).otherwise(let(typed, against))
+
+
+def positions(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, seq) of calls (conv_id, call_id, turn, depends_on) with distinct ids."""
+    ordered = calls.select(*KEY, "turn").join(hashed(call_levels(calls)), KEY, "left")
+    ordered = stored(ordered.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / TURN_BLOCK)), "ordered")
+    counts = ordered.groupBy("conv_id", "level", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("conv_id").alias("_conv"), F.col("level").alias("_level"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "level", "block").orderBy("turn", "call_id"))
+    placed = ordered.withColumn("rank", rank)
+    at = (placed["conv_id"] == F.col("_conv")) & placed["level"].eqNullSafe(F.col("_level")) & (placed["block"] == F.col("_block"))
+    return placed.join(hashed(counts), at).select(*KEY, "level", (F.col("offset") + F.col("rank") - 1).cast("long").alias("seq"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """Returns conv_id, call_id, turn, name, level, seq, n_results, status, valid, errors, json."""
     some = "conv_id is not null and call_id is not null"
-    least = F.min(F.struct("turn", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
-    calls = calls.where(some).groupBy(*KEY).agg(least.alias("c")).select(*KEY, "c.*")
-    calls = stored(calls, "calls")
+    needs = F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")
+    calls = calls.where(some).select(*KEY, "turn", "name", "arguments", F.xxhash64(F.coalesce("arguments", F.lit(""))).alias("hash"), needs)
+    narrow = calls.groupBy(*KEY).agg(F.min(F.struct("turn", "name", "hash", "depends_on")).alias("c")).select(*KEY, "c.turn", "c.depends_on")
+    placed = positions(stored(narrow, "calls"))
+    whole = calls.groupBy(*KEY).agg(F.min(F.struct("turn", "name", "hash", "depends_on", "arguments")).alias("c")).select(*KEY, "c.turn", "c.name", "c.arguments")
     answers = results.where(some).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     answers = answers.select(*KEY, F.col("r.content").alias("content"), "n_results", F.lit(True).alias("answered"))
-    levels = call_levels(calls)
     fields = schemas.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("fields"))
-    ordered = calls.drop("depends_on").join(levels, KEY, "left")
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / TURN_BLOCK)
-    ordered = stored(ordered.withColumn("block", block), "ordered")
-    counts = ordered.groupBy("conv_id", "level", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("conv_id", F.col("level").alias("_level"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("conv_id", "level", "block").orderBy("turn", "call_id"))
-    placed = ordered.withColumn("_rank", rank).join(counts.hint("merge").withColumnRenamed("conv_id", "_conv"), (F.col("conv_id") == F.col("_conv")) & F.col("level").eqNullSafe(F.col("_level")) & (F.col("block") == F.col("_block")))
-    placed = placed.withColumn("seq", F.col("offset") + F.col("_rank") - 1)
-    linked = placed.join(answers.hint("merge"), KEY, "full").join(sized(fields), "name", "left")
-    parsed = F.try_parse_json(F.coalesce("arguments", F.lit("null")))
-    linked = linked.withColumn("_args", parsed)
+    linked = whole.join(hashed(placed), KEY).join(hashed(answers), KEY, "full").join(sized(fields, "schemas"), "name", "left")
+    linked = linked.withColumn("_args", F.try_parse_json(F.coalesce("arguments", F.lit("null"))))
     errors = F.when(F.col("seq").isNotNull(), argument_errors(F.col("_args"), F.col("fields")))
     status = F.when(F.col("seq").isNull(), "orphan").when(F.col("level").isNull(), "cycle").when(F.col("answered").isNull(), "no_result").otherwise("ok")
     linked = linked.withColumn("status", status).withColumn("errors", errors)
@@ -143,7 +172,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         "turn",
         "name",
         "level",
-        F.col("seq").cast("long").alias("seq"),
+        "seq",
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         "status",
         F.coalesce(F.size("errors") == 0, F.lit(False)).alias("valid"),

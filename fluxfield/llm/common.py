@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import shared_dir, sized, stored  # noqa: F401
+from fluxfield.plans.staging import counted, new_path, sized, stored  # noqa: F401
 
 #: White space between words, as a regular expression that Java, RE2 and Python read alike.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """Rows of docs as one column `doc`, and own columns beside it, whose names cannot clash with those of docs."""
+    return docs.select(F.struct("*").alias("doc"), *[c.alias(k) for k, c in own.items()])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")

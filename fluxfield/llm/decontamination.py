@@ -4,11 +4,11 @@ A window is ten consecutive words of a benchmark item, or all words of a shorter
 occurrence of a window are hit. Two passes over the documents: the first hashes short blocks of words at a stride that
 every window must contain a block of, and looks them up in the hashed blocks of the benchmark; the second takes only
 documents with such a block, and compares every window of theirs, as text, with the benchmark's windows. The
-benchmark's blocks and windows are broadcast if their counted rows are few enough, else the joins shuffle.
+benchmark's blocks and windows are broadcast if they are small enough as written, else the joins shuffle.
 
 Null and empty texts have no words. Rows that repeat an id with another text are judged apart; a row repeated whole is
-judged once and returned as often as it is there. Items without words have no window. Empty tables give empty results or no hits; other columns are
-ignored.
+judged once and returned as often as it is there. Items without words have no window; items without an id have windows
+that hit words, but are not counted. Empty tables give empty results or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sized, stored
+from .common import ascii_lower, packed, sized, stored
 
 WIDTH = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,14 +79,14 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_
         blocks = items.select(F.explode(every(lambda w, k: block_hashes(w, k, 1), no_hashes)).alias("block"))
     else:
         grams, blocks = items.select("item", F.lit("").alias("gram")), items.select(F.lit(0).cast("long").alias("block"))
-    grams, blocks = stored(grams.distinct(), "grams"), stored(blocks.distinct().withColumn("found", F.lit(True)), "blocks")
+    grams, blocks = sized(grams.distinct(), "grams"), sized(blocks.distinct().withColumn("found", F.lit(True)), "blocks")
 
     docs = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
     read = docs.select("_id", "_text_hash", normal_words(F.col("_text")).alias("words"))
     hashes = F.concat(no_hashes, *[block_hashes(F.col("words"), k, block_of(k)[1]) for k in widths])
     seen = (
         read.select("_id", "_text_hash", F.size("words").alias("n_words"), F.posexplode_outer(hashes).alias("nth", "block"))
-        .join(sized(blocks), "block", "left")
+        .join(blocks, "block", "left")
         .groupBy("_id", "_text_hash")
         .agg(
             F.max("n_words").cast("long").alias("n_words"),
@@ -96,13 +96,13 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_
     )
     seen = stored(seen.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "row"), "seen")
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
-    maybe = sized(seen.where("found").select("_id", "_text_hash"))
+    maybe = sized(seen.where("found").select("_id", "_text_hash").distinct(), "maybe")
     some = docs.join(maybe, same(docs, maybe), "left_semi")
     some = some.select("_id", "_text_hash", normal_words(F.col("_text")).alias("words"))
     found = (
         some.select("_id", "_text_hash", F.explode(F.concat(no_windows, *[windows(F.col("words"), k) for k in widths])).alias("w"))
         .select("_id", "_text_hash", F.col("w.pos").alias("pos"), (F.col("w.pos") + F.col("w.width")).alias("end"), F.col("w.gram").alias("gram"))
-        .join(sized(grams), "gram")
+        .join(grams, "gram")
         .groupBy("_id", "_text_hash")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "end"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     )
@@ -137,8 +137,9 @@ def clean_documents(
 ) -> DataFrame:
     """docs without the rows that hold a benchmark window; other rows of such an id, or without an id, stay."""
     found = judged(docs, benchmark, width, id_col, text_col, item_col, item_text_col).where("contaminated")
-    bad = stored(found.select(F.col(id_col).alias("_bad"), F.col("_text_hash").alias("_bad_hash")).distinct(), "contaminated")
-    return docs.join(sized(bad), docs[id_col].eqNullSafe(F.col("_bad")) & (text_hash(docs[text_col]) == F.col("_bad_hash")), "left_anti")
+    bad = sized(found.select(F.col(id_col).alias("bad"), F.col("_text_hash").alias("bad_hash")).distinct(), "contaminated")
+    rows = packed(docs, id=F.col(id_col), hash=text_hash(F.col(text_col)))
+    return rows.join(bad, rows["id"].eqNullSafe(bad["bad"]) & (rows["hash"] == bad["bad_hash"]), "left_anti").select("doc.*")
 
 
 ORACLE_SQL = r"""

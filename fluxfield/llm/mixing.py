@@ -7,10 +7,12 @@ is its range's offset plus a sum inside the range, and a source that holds a thi
 ranges. A source's budget is met to the word: whole epochs of all its documents, then documents in key order, the last
 one in part.
 
+Rows of one source, key and size are alike to the mix: they are counted before they are sorted, so an id that holds a
+third of all rows is a few counted rows in its range. If the cut falls among alike rows, which of them come before it
+goes by a number written with each row.
+
 Nulls and empty texts have size 0 and nothing is taken of them. A null source is a source of its own, ordered last.
-Rows with the same id share a key; ties go by size, and rows alike in both are interchangeable in the decisions. The mix
-itself orders these by a hash of the text and then by a written row number, so its cut falls on one row. An empty table
-gives an empty result. Other columns are ignored.
+Null and repeated ids share a key. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized, stored, words_of
+from .common import packed, sized, stored, words_of
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -55,28 +57,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return df.select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
 
 
-def decided(rows: DataFrame, weights: tuple[int, ...], cap: int, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Written rows with source, size and random_key -> with source_size, target, epochs, taken.
-
-    Rows of one source are taken by random_key, then size, then the columns of ties.
-    """
-    rows = rows.withColumn("range", F.shiftright("random_key", KEY_BITS - RANGE_BITS))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap)
+def source_cuts(rows: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """A row for each source of written rows (source, size, random_key, row): source_size, target, epochs, and where the
+    order of (random_key, size, row) is cut: rows before the cut are taken once more, `part` words of the row at it."""
+    alike = rows.groupBy("source", "random_key", "size").agg(F.count("*").alias("n"))
+    alike = stored(alike.withColumn("range", F.shiftright("random_key", KEY_BITS - RANGE_BITS)).withColumn("words", F.col("size") * F.col("n")), "alike")
+    ranges = alike.groupBy("source", "range").agg(F.sum("words").alias("range_size"))
+    targets = stored(source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, cap), "targets")
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    ranges = ranges.join(sized(targets), ranges["source"].eqNullSafe(targets["source"])).select(
-        ranges["source"].alias("_source"), F.col("range").alias("_range"), "offset", "source_size", "target", "budget"
-    )
-    inside = Window.partitionBy("source", "range").orderBy("random_key", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    df = rows.withColumn("upto", F.sum("size").over(inside))
+    ranges = ranges.select(F.col("source").alias("_source"), F.col("range").alias("_range"), "offset")
+    inside = Window.partitionBy("source", "range").orderBy("random_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    summed = alike.withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     # The ranges are many and their number has no useful bound: both sides are shuffled on source and range.
-    df = df.join(ranges.hint("merge"), df["source"].eqNullSafe(F.col("_source")) & (df["range"] == F.col("_range")))
-    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    part = F.least(F.col("size"), rest - (F.col("offset") + F.col("upto") - F.col("size")))
-    taken = (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), part)).cast("long")
-    return df.withColumn("epochs", epochs).withColumn("taken", taken)
+    summed = summed.join(ranges.hint("merge"), summed["source"].eqNullSafe(F.col("_source")) & (summed["range"] == F.col("_range")))
+    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - epochs * F.col("source_size"))
+    ends = targets.select(F.col("source").alias("_source2"), "rest")
+    before = F.col("offset") + F.col("before")
+    at = summed.join(sized(ends), summed["source"].eqNullSafe(F.col("_source2"))).where((before <= F.col("rest")) & (F.col("rest") < before + F.col("words")))
+    # One row for each source whose rest is not nothing: the alike rows that the cut falls among.
+    whole = F.expr("(rest - before_all) div size")
+    at = at.withColumn("before_all", before).select(
+        F.col("source").alias("_source"), F.col("random_key").alias("cut_key"), F.col("size").alias("cut_size"), whole.alias("whole"), (F.col("rest") - F.col("before_all") - whole * F.col("size")).alias("part")
+    )
+    at = sized(at, "cuts")
+    among = rows.join(at, rows["source"].eqNullSafe(at["_source"]) & (rows["random_key"] == at["cut_key"]) & (rows["size"] == at["cut_size"]))
+    # The row numbers ascend by the task that wrote them: first the task, then the row in it.
+    among = stored(among.select("_source", "row", F.shiftright("row", 33).alias("task"), "whole"), "among")
+    tasks = among.groupBy("_source", "task", "whole").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("_source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.withColumn("first", F.coalesce(F.sum("n").over(up_to), F.lit(0))).where((F.col("first") <= F.col("whole")) & (F.col("whole") < F.col("first") + F.col("n")))
+    tasks = sized(tasks.select(F.col("_source").alias("_source3"), F.col("task").alias("_task"), "first"))
+    inner = among.join(tasks, among["_source"].eqNullSafe(tasks["_source3"]) & (among["task"] == tasks["_task"]))
+    nth = F.row_number().over(Window.partitionBy("_source").orderBy("row")) - 1 + F.col("first")
+    cut_rows = inner.withColumn("nth", nth).where("nth = whole").select(F.col("_source").alias("_source4"), F.col("row").alias("cut_row"))
+    cuts = at.join(cut_rows.hint("merge"), at["_source"].eqNullSafe(cut_rows["_source4"])).select("_source", F.struct(F.col("cut_key").alias("random_key"), F.col("cut_size").alias("size"), F.col("cut_row").alias("row")).alias("cut"), "part")
+    return targets.join(cuts.hint("merge"), targets["source"].eqNullSafe(cuts["_source"]), "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "cut", "part")
+
+
+def decided(rows: DataFrame, weights: tuple[int, ...], cap: int, source: str = "source") -> DataFrame:
+    """Written rows with source, size, random_key and row -> with source_size, target, epochs, and `extra`: the words
+    taken beyond whole epochs."""
+    key_columns = rows.select(F.col(source).alias("source"), "size", "random_key", "row")
+    cuts = sized(source_cuts(key_columns, weights, cap), "source-cuts")
+    df = rows.join(cuts, rows[source].eqNullSafe(F.col("_source")))
+    at = F.struct("random_key", "size", "row")
+    extra = F.when(F.col("cut").isNull() | (at > F.col("cut")), 0).when(at < F.col("cut"), F.col("size")).otherwise(F.col("part"))
+    return df.withColumn("extra", extra.cast("long"))
 
 
 def mix_sources(
@@ -93,12 +121,14 @@ def mix_sources(
     Returns id, size, source_size, target, taken, source, random_key, epochs (whole epochs of its source).
     """
     rows = docs.select(
-        F.col(id_col),
+        F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.size(words_of(F.col(text_col))).cast("long").alias("size"),
         random_key(F.col(id_col), seed).alias("random_key"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return decided(stored(rows, "mix"), weights, cap).select(id_col, "size", "source_size", "target", "taken", "source", "random_key", "epochs")
+    taken = (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken")
+    return decided(stored(rows, "mix"), weights, cap).select(F.col("id").alias(id_col), "size", "source_size", "target", taken, "source", "random_key", "epochs")
 
 
 def mixed_documents(
@@ -112,32 +142,23 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each epoch of each document.
 
-    The documents are written once with a number for each row, so every row has its own place in its source's order and
-    the cut is one row: rows before it are taken once more, that row in part (its first words, joined by single spaces).
-    So each row gets what mix_sources takes of it, also where ids are null or repeated, and texts are not shuffled.
-    Documents of which nothing is taken are absent.
+    The documents are written once with a number for each row, and each row gets what mix_sources takes of it: whole
+    copies, and of the row that the cut falls in its first words, joined by single spaces. Texts are not shuffled.
+    Documents of which nothing is taken are absent. n_chars, where there is one, is that of the text.
     """
     own = {
-        "_size": F.size(words_of(F.col(text_col))).cast("long"),
-        "_key": random_key(F.col(id_col), seed),
-        "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
-        "_row": F.monotonically_increasing_id(),
+        "source": F.col(source_col),
+        "size": F.size(words_of(F.col(text_col))).cast("long"),
+        "random_key": random_key(F.col(id_col), seed),
+        "row": F.monotonically_increasing_id(),
     }
-    df = stored(docs.withColumns(own), "to-mix")
-    place = ("_key", "_size", "_hash", "_row")
-    rows = df.select(F.col(source_col).alias("source"), F.col("_size").alias("size"), F.col("_key").alias("random_key"), "_hash", "_row")
-    rows = decided(rows, weights, cap, ("_hash", "_row"))
-    part = F.col("taken") - F.col("epochs") * F.col("size")
-    last = F.when(part > 0, F.struct(F.struct(F.col("random_key").alias("_key"), F.col("size").alias("_size"), "_hash", "_row").alias("place"), part.alias("part")))
-    cuts = rows.groupBy(F.col("source").alias("_source")).agg(F.max("epochs").alias("_epochs"), F.max(last).alias("_last"))
-    df = df.join(sized(stored(cuts, "cuts")), df[source_col].eqNullSafe(F.col("_source")))
-    at, cut = F.struct(*place), F.col("_last.place")
-    is_part = (at == cut) & (F.col("_size") > F.col("_last.part"))
-    copies = F.col("_epochs") + F.when(at <= cut, 1).otherwise(0)
-    df = df.where((F.col("_size") > 0) & (copies > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    cut_text = F.array_join(F.slice(words_of(F.col(text_col)), F.lit(1), F.col("_last.part").cast("int")), " ")
-    text = F.when(is_part & (F.col("_copy") > F.col("_epochs")), cut_text).otherwise(F.col(text_col))
-    out = {c: F.col(c) for c in docs.columns} | {text_col: text}
+    df = decided(stored(packed(docs, **own), "to-mix"), weights, cap)
+    copies = F.col("epochs") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    df = df.where((F.col("size") > 0) & (copies > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    is_part = (F.col("copy") > F.col("epochs")) & (F.col("extra") < F.col("size"))
+    cut_text = F.array_join(F.slice(words_of(F.col("doc").getField(text_col)), F.lit(1), F.col("extra").cast("int")), " ")
+    text = F.when(is_part, cut_text).otherwise(F.col("doc").getField(text_col))
+    out = {c: F.col("doc").getField(c) for c in docs.columns} | {text_col: text}
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return df.select(*[c.alias(k) for k, c in out.items()])

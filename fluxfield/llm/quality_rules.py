@@ -94,9 +94,9 @@ def marked(trusted: DataFrame, id_col: str) -> DataFrame:
     return ids.withColumn("_calibrates", F.pmod(F.xxhash64("_id"), F.lit(CALIBRATION)) == 0)
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int) -> list[int]:
+def bucket_weights(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, buckets: int) -> list[int]:
     """Log ratio of trusted to raw frequency of each bucket, in millionths. The result has `buckets` numbers."""
-    fits = sized(marked(trusted, id_col).where("not _calibrates").select("_id", F.lit(1).alias("_mark")))
+    fits = marks.where("not _calibrates").select("_id", F.lit(1).alias("_mark"))
     counts = (
         docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words"))
         .join(fits, "_id", "left")
@@ -145,8 +145,8 @@ def quality_rules(
 
     Returns id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr, threshold.
     """
-    weights = int_array(bucket_weights(docs, trusted, id_col, text_col, buckets))
-    marks = sized(marked(trusted, id_col))
+    marks = sized(marked(trusted, id_col), "marks")
+    weights = int_array(bucket_weights(docs, marks, id_col, text_col, buckets))
     base = base_columns(docs, id_col, text_col)
     grams = hashed_ngrams(F.col("_words"), buckets)
     total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, b: acc + weights[b])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_tools, decontamination, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, token_files, toxicity
-from .common import shared_dir, stored, table
+from .common import new_path, stored, table
 
 #: The tokenizer of token files, by the name its package knows.
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -26,22 +25,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: every document comes in under the first tokenizer; all but the first of equal
-    texts go; those left that are not English are revised to a tokenizer for many languages. A batch is sent twice."""
+    texts go; those left that are not English are revised to a tokenizer for many languages. A batch is sent twice.
+
+    The first of equal texts is the one of the least id, a null id last; null texts equal each other, and a null
+    language is not English."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-    docs = docs.withColumn("text_hash", F.sha2("text", 256))
+    text_hash = F.sha2(F.coalesce(F.concat(F.lit("text:"), "text"), F.lit("none")), 256)
+    docs = docs.withColumns({"text_hash": text_hash, "row": F.monotonically_increasing_id()})
     first, second = (public_tokenizers.path(v) for v in (BYTE_VOCABULARY, MULTI_VOCABULARY))
-    keep = ["doc_id", "text_hash", "lang", "source", "n_chars"]
-    counted = stored(token_counts.with_tokens(docs, first, public_tokenizers.PATTERN, keep), "counts")
-    other = stored(token_counts.with_tokens(docs.where("lang <> 'en'"), second, public_tokenizers.PATTERN, keep), "counts2")
-    firsts = stored(counted.groupBy("text_hash").agg(F.min("doc_id").alias("first_id")), "firsts")
-    copies = lambda rows: rows.join(firsts.hint("merge"), "text_hash").where(F.col("doc_id") != F.col("first_id"))
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/fluxfield-rollup-{uuid.uuid4().hex}")
+    keep = ["doc_id", "text_hash", "row", "lang", "source", "n_chars"]
+    foreign = ~F.col("lang").eqNullSafe("en")
+    counted = token_counts.with_tokens(docs, first, public_tokenizers.PATTERN, [*keep, "text"]).withColumn("text", F.when(foreign, F.col("text")))
+    counted = stored(token_counts.with_tokens(counted, second, public_tokenizers.PATTERN, [*keep, "n_tokens"], name="n_tokens_2"), "counts")
+    firsts = counted.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    firsts = stored(firsts.select("text_hash", F.col("first.row").alias("first_row")), "firsts")
+    copies = lambda rows: rows.join(firsts.hint("merge"), "text_hash").where(F.col("row") != F.col("first_row"))
+    rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
     v1, v2 = BYTE_VOCABULARY, MULTI_VOCABULARY
     rollup.commit("1-insert", token_counts.delta(counted, 1, v1))
     gone = token_counts.delta(copies(counted), -1, v1)
     rollup.commit("2-copies", gone)
-    foreign = counted.where("lang <> 'en'")
-    revised = [token_counts.delta(foreign, -1, v1), token_counts.delta(copies(foreign), 1, v1), token_counts.delta(other, 1, v2), token_counts.delta(copies(other), -1, v2)]
+    old = counted.where(foreign)
+    other = old.withColumn("n_tokens", F.col("n_tokens_2"))
+    revised = [token_counts.delta(old, -1, v1), token_counts.delta(copies(old), 1, v1), token_counts.delta(other, 1, v2), token_counts.delta(copies(other), -1, v2)]
     rollup.commit("3-revise", *revised)
     rollup.commit("2-copies", gone)
     return rollup.totals()

@@ -2,7 +2,8 @@
 
 The sort key of a document is a hash of its text, so equal texts are neighbours. Keys are drawn with chances in
 proportion to document sizes, a bounded number however large the corpus; quantiles of the draws are the splitters of
-many fine ranges. Ranges that turn out overfull (one text that fills several, say) are subdivided by a hash of the id.
+many fine ranges. Ranges that turn out overfull in bytes or rows (one text that fills several, say) are subdivided by a
+hash of a number written with each row, so null and repeated ids and rows repeated whole are split like any other.
 The pieces, in key order, are then cut into shards where the running sum of their exact sizes passes each share. A
 document's slot is the piece's offset in its shard plus its rank in the piece, so no task needs a whole shard.
 
@@ -33,7 +34,7 @@ def unit_hash(*cols: Column) -> Column:
 
 def splitters(rows: DataFrame, total: int, draws: int = DRAWS, ranges: int = RANGES) -> list[int]:
     """Quantiles of keys drawn by size: ranges - 1 sorted keys, some perhaps equal. The driver gets the draws."""
-    times = F.floor(F.col("size") * F.lit(draws / max(1, total)) + unit_hash(F.col("key"), F.col("_id")))
+    times = F.floor(F.col("size") * F.lit(draws / max(1, total)) + unit_hash(F.col("row")))
     drawn = rows.select("key", times.alias("times")).where("times > 0").groupBy("key").agg(F.sum("times").alias("times")).collect()
     points = sorted((r["key"], r["times"]) for r in drawn)
     all_draws, upto, cuts = sum(n for _, n in points), 0, []
@@ -58,20 +59,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     rows = stored(
         docs.select(
             F.col(id_col).alias("_id"),
+            F.monotonically_increasing_id().alias("row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
         ),
         "shards",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = (x or 0 for x in rows.agg(F.sum("size"), F.count("*")).first())
     rows = stored(rows.withColumn("range", range_of(F.col("key"), splitters(rows, total))), "ranges")
-    mean = max(1.0, total / RANGES)
-    full = {r["range"]: -(-r["size"] // int(mean)) for r in rows.groupBy("range").agg(F.sum("size").alias("size")).where(F.col("size") > OVERFULL * mean).collect()}
+    means = F.greatest(F.col("size") / max(1.0, total / RANGES), F.col("n") / max(1.0, n / RANGES))
+    found = rows.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where(means > OVERFULL)
+    full = {r["range"]: r["parts"] for r in found.select("range", F.ceil(means).cast("int").alias("parts")).collect()}
     parts = F.split(F.lit(",".join(str(full.get(k, 1)) for k in range(RANGES))), ",").cast("array<int>")
-    part = F.when(parts[F.col("range")] > 1, F.pmod(F.xxhash64("_id", F.lit(1)), parts[F.col("range")])).otherwise(F.lit(0))
+    part = F.when(parts[F.col("range")] > 1, F.pmod(F.xxhash64("row", F.lit(1)), parts[F.col("range")])).otherwise(F.lit(0))
     rows = rows.withColumn("part", part.cast("int"))
-    # At most three times as many pieces as ranges, whatever the input.
+    # At most four times as many pieces as ranges, whatever the input.
     pieces = rows.groupBy("range", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("range", "part").collect()
     upto, slots, placed = 0, [0] * shards, []
     for p in pieces:

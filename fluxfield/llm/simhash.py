@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fluxfield.operators.components import connected_components
 
-from .common import sized, stored
+from .common import packed, sized, stored
 
 SHINGLE = 3
 SEED = 42
@@ -126,9 +126,9 @@ def print_components(rows: DataFrame) -> DataFrame:
         (F.bit_count(F.col("print").bitwiseXOR(F.col("print2"))) <= MAX_BITS) & (F.col("print") < F.col("print2"))
     )
     joined = connected_components(links.select("print", "print2"), "print", "print2").withColumnRenamed("node", "print")
-    linked = stored(classes.join(sized(joined), "print"), "linked")
+    linked = stored(classes.join(sized(joined, "joined"), "print"), "linked")
     least = linked.groupBy("component").agg(F.min("best").alias("least"))
-    linked = stored(linked.join(sized(stored(least, "least")), "component").select("print", "least"), "labels")
+    linked = linked.join(sized(least, "least"), "component").select("print", "least")
     labels = classes.join(sized(linked), "print", "left").select("print", F.coalesce("least", "best").alias("best"))
     # A print may hold a third of all rows: a sort-merge join, whose large partitions are split at run time.
     return prints.join(labels.hint("merge"), "print")
@@ -147,7 +147,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The documents are written once with a number for each row, by which copies are dropped.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = print_components(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row")))
-    dropped = stored(found.where(F.col("row") != F.col("best.row")).select(F.col("row").alias("_row")), "copies")
-    return rows.join(sized(dropped), "_row", "left_anti").select(docs.columns)
+    rows = stored(packed(docs, id=F.col(id_col), row=F.monotonically_increasing_id()), "numbered")
+    found = print_components(rows.select("id", F.col("doc").getField(text_col).alias("text"), "row"))
+    dropped = found.where(F.col("row") != F.col("best.row")).select("row")
+    return rows.join(sized(dropped, "copies"), "row", "left_anti").select("doc.*")

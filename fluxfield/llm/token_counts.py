@@ -1,48 +1,56 @@
 """Token counts: additive rollups by source, language and tokenizer version, kept by signed deltas.
 
-The store holds a row of signed totals per group and committed batch. A batch of changes inserts documents (+), deletes
-them (-), or revises their counts (- old, + new); it is summed to its groups' deltas before it is added. Commits are
-idempotent: a batch id that the store has is ignored, and the batch's rows are written in a folder named by its id,
-which a rerun of the same batch replaces whole. Totals are sums over all committed rows; groups whose documents are all
-gone are dropped.
+The store keeps totals: one table of signed sums per group for its latest version. A batch of changes inserts documents
+(+), deletes them (-), or revises their counts (- old, + new); it is summed to its groups' deltas, which are added to
+the totals, and the new totals are written as the next version. So reading totals reads one small table, however many
+batches there were, and older versions can be vacuumed.
+
+Commits are idempotent and take turns. A version is a file of the log, named by its number, that names the batch and
+the folder of its totals; it is created only if no such file is there, so of two writers one gets the number and the
+other adds its deltas to the winner's totals and tries the next. A batch id that the log has is ignored. A folder that
+no log file names (of a failed or late commit) is never read. A batch that would leave fewer than no documents, tokens
+or characters in a group is refused: it deletes what was never inserted.
 
 Each batch's documents are read once and only their counts are shuffled, after partial sums, so a source that holds a
 third of all rows costs no more than others. Null texts count no tokens but one document; null sources, languages and
 versions are groups of their own. Repeated rows count as often as they occur. Empty batches commit and change nothing;
-other columns are ignored.
+groups whose documents are all gone are dropped; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
 from .secret_scan import load_encoding
 
 GROUP = ["source", "lang", "tokenizer"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
-SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_chars bigint, batch_id string"
+SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint, n_chars bigint"
 
 
-def _counts(ranks_file: str, pattern: str) -> Callable:
+def _counts(ranks_file: str, pattern: str, name: str) -> Callable:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_file, pattern)
         for batch in batches:
             n = np.fromiter((len(encoding.encode_ordinary(t.as_py() or "")) for t in batch.column(0)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n)], [*batch.schema.names[1:], "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n)], [*batch.schema.names[1:], name])
 
     return counts
 
 
-def with_tokens(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and n_tokens by a tiktoken vocabulary; texts do not leave the task that reads them."""
-    rows = docs.select(F.col(text_col), *keep)
+def with_tokens(docs: DataFrame, ranks_file: str, pattern: str, keep: list[str], text_col: str = "text", name: str = "n_tokens") -> DataFrame:
+    """The kept columns and the tokens by a tiktoken vocabulary as `name`; texts do not leave the task that reads them."""
+    rows = docs.select(F.col(text_col).alias("_"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_counts(ranks_file, pattern), f"{fields}, n_tokens bigint")
+    return rows.mapInArrow(_counts(ranks_file, pattern, name), f"{fields}, {name} bigint")
 
 
 def delta(counted: DataFrame, sign: Column | int, tokenizer: str) -> DataFrame:
@@ -55,36 +63,72 @@ def delta(counted: DataFrame, sign: Column | int, tokenizer: str) -> DataFrame:
 
 
 class Rollup:
-    """A store of committed deltas in a folder that driver and executors share."""
+    """A store of totals and of the log of committed batches, in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self) -> DataFrame:
-        # Each batch is one folder of Parquet files; only folders with Spark's commit mark count.
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [str(s.getPath().getParent()) for s in system.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/*/_SUCCESS")) or []]
-        return self.spark.read.schema(SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], SCHEMA)
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def log(self) -> list[Row]:
+        """Committed versions in order: version, batch_id, totals (a folder's name)."""
+        path, system = self._path("log/*.json")
+        if not system.globStatus(path):
+            return []
+        rows = self.spark.read.schema("version bigint, batch_id string, totals string").json(path.toString())
+        return sorted(rows.collect(), key=lambda r: r["version"])
 
     def batches(self) -> set[str]:
         """Ids of the batches that are committed."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return {s.getPath().getParent().getName().removeprefix("batch-") for s in found}
+        return {r["batch_id"] for r in self.log()}
+
+    def _claim(self, version: int, batch_id: str, totals: str) -> bool:
+        """Make the log file of a version; false if another writer has."""
+        path, system = self._path(f"log/{version:012d}.json")
+        if system.exists(path):
+            return False
+        entry = json.dumps({"version": version, "batch_id": batch_id, "totals": totals})
+        draft, _ = self._path(f"log/.{totals}")
+        out = system.create(draft, True)
+        out.write(bytearray(entry.encode()))
+        out.close()
+        # Readers never see half a file; of two renames to one name a file system like HDFS lets one through.
+        return system.rename(draft, path)
+
+    def _totals(self, log: list[Row]) -> DataFrame:
+        if not log:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{log[-1]['totals']}")
 
     def commit(self, batch_id: str, *deltas: DataFrame) -> bool:
-        """Add a batch of deltas; false, and no work, if it has been added before."""
+        """Add a batch of deltas to the totals; false, and no change, if it has been added before."""
         if batch_id in self.batches():
             return False
         rows = deltas[0].select(*GROUP, *MEASURES)
         for d in deltas[1:]:
             rows = rows.unionByName(d.select(*GROUP, *MEASURES))
-        rows = rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
-        return True
+        batch = stored(rows.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES]), "delta")
+        while True:
+            log = self.log()
+            if batch_id in {r["batch_id"] for r in log}:
+                return False
+            name, seen = f"totals-{uuid.uuid4().hex}", Observation()
+            sums = self._totals(log).unionByName(batch).groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
+            sums = sums.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
+            sums.observe(seen, F.min(F.least(*MEASURES)).alias("least")).write.parquet(f"{self.folder}/{name}")
+            if (seen.get["least"] or 0) < 0:
+                raise ValueError(f"batch {batch_id} deletes what was never inserted")
+            if self._claim(log[-1]["version"] + 1 if log else 1, batch_id, name):
+                return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars over all committed batches."""
-        sums = self._read().groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        return sums.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
+        return self._totals(self.log())
+
+    def vacuum(self) -> None:
+        """Delete totals of all but the latest version. Writers and readers must be done with them."""
+        for r in self.log()[:-1]:
+            path, system = self._path(r["totals"])
+            system.delete(path, True)

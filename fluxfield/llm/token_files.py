@@ -10,16 +10,20 @@ has at most 65,536, else 32.
 A file's name has the task's attempt, and only files whose task ended count: their names are the rows of the written
 manifest, so a lost executor leaves at most a file nobody reads. The folder is any URI that pyarrow.fs opens.
 
-Null texts count as empty and have the end id alone. Rows with the same id are all written, ordered among themselves
-by a hash of the text. Null ids come first. An empty table writes no file. Other columns are ignored.
+Ids are encoded piece by piece for the one make of tokenizer where that is the same (see Pieces), which is checked when
+the file is loaded; for any other, texts are encoded whole.
+
+Null texts count as empty and have the end id alone. Ids may be integers or strings, which the files keep as they are.
+Rows with the same id are all written, ordered among themselves by a hash of the text. Null ids come first. An empty
+table writes no file. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -31,15 +35,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import new_path, stored
 
 END_ID = 2
+#: Fixed value: the length of the mark that ends an Arrow stream.
+END_BYTES = 8
 SEQUENCE = 1024
 BATCH_ROWS = 64
 #: Bytes of text for a task: the total over TASKS, within these bounds.
 TASKS, LEAST_BYTES, MOST_BYTES = 2_000, 8 << 20, 1 << 30
-#: Pieces whose ids a Python worker keeps.
-MEMO_WORDS = 800_000
+#: Pieces whose ids a Python worker keeps, none longer than MEMO_BYTES.
+MEMO_WORDS, MEMO_BYTES = 800_000, 48
+#: The normaliser and pre-tokenizer for which texts may be encoded piece by piece (Pieces says why).
+#: Texts of any other tokenizer are encoded whole.
+PIECEWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Letters from A to Latin Extended-B, which lower-casing keeps single letters, then signs that start no contraction
 #: and no special token.
 SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:;=?@\[-`{}~]*)")
@@ -85,7 +107,8 @@ class Pieces(dict):
                     ids = self[word.encode()] + (self[m[2].encode()] if m[2] else b"")
             else:
                 ids = self.plain(text)
-        self[piece] = ids
+        if len(piece) <= MEMO_BYTES:
+            self[piece] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
@@ -102,6 +125,20 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+def by_pieces(tokenizer) -> bool:
+    """Whether a tokenizer is of the make that Pieces knows, with no added token that white space is part of."""
+    made = json.loads(tokenizer.to_str())
+    added = [t["content"] for t in made["added_tokens"]]
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "continuing_subword_prefix": None}
+    return (
+        all(made[k] == v for k, v in PIECEWISE.items())
+        and all(made["model"].get(k) == v for k, v in plain.items())
+        and all(t.startswith("<|") and len(t.split()) == 1 for t in added)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in made["added_tokens"])
+        and made["truncation"] is None
+    )
+
+
 def encoder(vocabulary: str, end_id: int) -> Callable[[list[bytes]], list[bytes]]:
     """A function that encodes texts (UTF-8) to ids (little-endian, with the end id)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,6 +147,8 @@ def encoder(vocabulary: str, end_id: int) -> Callable[[list[bytes]], list[bytes]
         memo[vocabulary] = Pieces(vocabulary)
     pieces = memo[vocabulary]
     ids, end = pieces.__getitem__, np.array([end_id], pieces.kind).tobytes()
+    if not by_pieces(pieces.tokenizer):
+        return lambda texts: [pieces.plain(t.decode()) + end for t in texts]
     return lambda texts: [b"".join(map(ids, t.split())) + end for t in texts]  # bytes split at ASCII white space
 
 
@@ -140,7 +179,6 @@ def token_batch(ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
 def _write(folder: str, vocabulary: str, end_id: int, kind: str) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, schema, room = encoder(vocabulary, end_id), token_schema(kind), SEQUENCE * BATCH_ROWS
-        index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         task = TaskContext.get()
         system, root = fs.FileSystem.from_uri(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -149,6 +187,7 @@ def _write(folder: str, vocabulary: str, end_id: int, kind: str) -> Callable:
             if not batch.num_rows:
                 continue
             if not writers:
+                index_schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 files = [system.open_output_stream(f"{root}/{name}.{x}.arrows") for x in ("tokens", "index")]
                 writers = [pa.ipc.new_stream(f, s) for f, s in zip(files, (schema, index_schema), strict=True)]
             at = 0
@@ -157,7 +196,7 @@ def _write(folder: str, vocabulary: str, end_id: int, kind: str) -> Callable:
                 coded = encode(texts.slice(part, 256).to_pylist())
                 counts = np.array([len(c) for c in coded], np.int64) // int(kind[-1])
                 begin = total + np.cumsum(counts) - counts
-                ids = batch.column(0).slice(part, 256).cast(pa.int64())
+                ids = batch.column(0).slice(part, 256)
                 writers[1].write_batch(pa.RecordBatch.from_arrays([ids, pa.array(begin), pa.array(counts)], schema=index_schema))
                 total, docs = total + int(counts.sum()), docs + len(coded)
                 kept.append(np.frombuffer(b"".join(coded), kind))
@@ -184,7 +223,7 @@ MANIFEST = pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa
 def write_token_files(
     docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
 ) -> list:
-    """Write docs to folder in ascending order of their integer ids.
+    """Write docs to folder in ascending order of their ids.
 
     Returns a row (part, name, n_docs, n_tokens) for each pair of files, in order.
     """
@@ -231,20 +270,30 @@ def _read(folder: str, kind: str) -> Callable:
     return read
 
 
-def read_token_files(spark, manifest: list, vocabulary: str, folder: str) -> DataFrame:
-    """Returns doc_id, start (over all files), n_tokens, ids_crc32 from the files of a manifest."""
+def read_token_files(spark, manifest: list, vocabulary: str, folder: str, id_kind: str = "bigint") -> DataFrame:
+    """Returns doc_id, start (over all files), n_tokens, ids_crc32 from the files of a manifest of ids of this type."""
     kind, first, rows = id_type(vocabulary_size(vocabulary)), 0, []
     for r in manifest:
         rows.append((r["name"], first))
         first += r["n_tokens"]
     files = spark.createDataFrame(rows, "name string, first bigint").repartition(max(1, len(rows)))
-    return files.mapInArrow(_read(folder, kind), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(_read(folder, kind), f"doc_id {id_kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and mask of sequence k of a local token file, by way of a memory map; the ids are not copied."""
-    reader = pa.ipc.open_stream(pa.memory_map(path))
-    batch = next(b for i, b in enumerate(reader) if i == k // BATCH_ROWS)
+    """ids and mask of sequence k of a local token file, by way of a memory map; the ids are not copied.
+
+    All batches take the same bytes, so the place of a batch is worked out and the ones before it are not read.
+    """
+    file = pa.memory_map(path)
+    schema = pa.ipc.read_schema(file)
+    first = file.tell()
+    pa.ipc.read_message(file)
+    place = first + (file.tell() - first) * (k // BATCH_ROWS)
+    if k < 0 or place >= file.size() - END_BYTES:
+        raise IndexError(k)
+    file.seek(place)
+    batch = pa.ipc.read_record_batch(pa.ipc.read_message(file), schema)
     ids, mask = batch.column(0), batch.column(1)
     at = (k % BATCH_ROWS) * SEQUENCE
     return ids.flatten().to_numpy(zero_copy_only=True)[at : at + SEQUENCE], mask.flatten().slice(at, SEQUENCE).to_numpy(zero_copy_only=False)
@@ -253,5 +302,6 @@ def sequence(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 def token_files(docs: DataFrame, vocabulary: str, folder: str | None = None, **how) -> DataFrame:
     """Write docs as token files and return what the files say of each document."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/fluxfield-tokens-{uuid.uuid4().hex}"
-    return read_token_files(spark, write_token_files(docs, vocabulary, folder, **how), vocabulary, folder)
+    folder = folder or new_path(spark, "tokens")
+    id_kind = docs.schema[how.get("id_col", "doc_id")].dataType.simpleString()
+    return read_token_files(spark, write_token_files(docs, vocabulary, folder, **how), vocabulary, folder, id_kind)

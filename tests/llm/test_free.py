@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fluxfield.llm import mixing, queries, secret_scan, simhash, token_counts, token_files, toxicity
-from fluxfield.llm.common import shared_dir
+from fluxfield.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, print string"
 LONG = " ".join(f"word{i % 991} and" for i in range(9_000))
@@ -159,9 +159,45 @@ def test_token_files(spark, docs, tmp_path):
         assert len(seq) == len(mask) == token_files.SEQUENCE
         flat, k = flat + seq[mask].tolist(), k + 1
     assert flat == ids[: manifest[0].n_tokens]
+    for k in (-1, flat.__len__() // token_files.SEQUENCE // token_files.BATCH_ROWS * token_files.BATCH_ROWS + token_files.BATCH_ROWS):
+        with pytest.raises(IndexError):
+            token_files.sequence(f"{folder}/{manifest[0]['name']}.tokens.arrows", k)
     assert token_files.token_files(docs.limit(0), vocabulary, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_of_other_tokenizers_and_ids(spark):
+    """A tokenizer of another make encodes whole texts; ids are strings, some null; one text is a word of some MB."""
+    from tokenizers import Tokenizer
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(vocabulary)
+    texts = [("b", "Two  words,\n\nand MORE"), (None, "no id"), ("a", "x" * 3_000_000), ("c", None), ("b", "again"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id string, text string").repartition(3)
+    for name in ("byte_bpe_50k.json", queries.WORD_VOCABULARY):
+        own = Tokenizer.from_file(public_tokenizers.path(name))
+        rows = sorted(token_files.token_files(df, public_tokenizers.path(name)).collect(), key=lambda r: r.start)
+        want = sorted((d or "", zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in texts if not (t and len(t) > 10**6 and name != "byte_bpe_50k.json"))
+        assert [r.doc_id for r in rows] == [None, None, "a", "b", "b", "c"]
+        assert set(want) <= {(r.doc_id or "", r.ids_crc32) for r in rows}
+        assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    assert tokenizer.get_vocab_size() > 0 and not token_files.by_pieces(tokenizer)
+
+
+def test_a_batch_of_token_files_is_not_read_on_the_way(spark, tmp_path):
+    vocabulary, folder = public_tokenizers.path(queries.WORD_VOCABULARY), str(tmp_path / "many")
+    words = " ".join(f"w{i}" for i in range(60_000))
+    manifest = token_files.write_token_files(spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string"), vocabulary, folder)
+    path = f"{folder}/{manifest[0]['name']}.tokens.arrows"
+    n = -(-manifest[0].n_tokens // token_files.SEQUENCE)
+    assert n > 2 * token_files.BATCH_ROWS
+    seen = [token_files.sequence(path, k) for k in range(n)]
+    flat = np.concatenate([seq[mask] for seq, mask in reversed(seen[::-1])])
+    import pyarrow as pa
+
+    batches = list(pa.ipc.open_stream(pa.memory_map(path)))
+    assert len(flat) == manifest[0].n_tokens and np.array_equal(flat, np.concatenate([b.column(0).flatten().to_numpy() for b in batches])[: len(flat)])
+
+
 def test_pieces_equal_the_tokenizer():
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -227,7 +263,7 @@ def test_token_counts(spark, docs):
     ranks, pattern = public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN
     encoding = secret_scan.load_encoding(ranks, pattern)
     counted = token_counts.with_tokens(docs, ranks, pattern, ["doc_id", "lang", "source", "n_chars"])
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-test")
+    rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
     assert rollup.totals().count() == 0
     one = token_counts.delta(counted, 1, "v1")
     assert rollup.commit("a", one) and not rollup.commit("a", one)
@@ -241,6 +277,37 @@ def test_token_counts(spark, docs):
     rollup.commit("b", token_counts.delta(counted.where("lang = 'de'"), -1, "v1"), token_counts.delta(counted.where("lang = 'de'"), 1, "v2"))
     assert got() == {(s, g, "v2" if g == "de" else v): n for (s, g, v), n in want.items()}
     assert rollup.commit("c", token_counts.delta(counted.limit(0), 1, "v1")) and rollup.batches() == {"a", "b", "c"}
+    before = got()
+    with pytest.raises(ValueError, match="never inserted"):
+        rollup.commit("d", token_counts.delta(counted.where("lang = 'de'"), -1, "v1"))
+    assert got() == before and "d" not in rollup.batches()
+    # Another writer takes the next version first: the batch is added to its totals.
+    late = token_counts.Rollup(spark, rollup.folder)
+    log, claim = rollup.log(), late._claim
+    late._claim = lambda *a: (setattr(late, "_claim", claim), rollup.commit("e", one), claim(*a))[2]
+    assert late.commit("f", one) and [r.batch_id for r in late.log()] == [*[r.batch_id for r in log], "e", "f"]
+    assert sum(n[0] for n in got().values()) == sum(n[0] for n in before.values()) + 2 * docs.count()
+    rollup.vacuum()
+    assert sum(n[0] for n in got().values()) == sum(n[0] for n in before.values()) + 2 * docs.count()
+
+
+def test_token_count_query(spark, tmp_path):
+    """The three batches of op2_token_counts against plain sums over the documents that are left."""
+    rows = [(i, t, lang, s, 0) for i, (t, lang, s) in enumerate([("one text", "en", "a"), ("one text", "de", "a"), (None, None, "b"), (None, "en", None), ("ein Text", "de", None), ("ein Text", "de", "b"), ("", "fr", "a"), ("mot à mot", None, "a"), ("alone", "en", "b")])]
+    rows += [rows[0], (None, "no id", "en", "a", 0), (None, "no id", "en", "a", 0), (None, "alone", "de", "c", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one, many = (secret_scan.load_encoding(public_tokenizers.path(v), public_tokenizers.PATTERN) for v in (queries.BYTE_VOCABULARY, queries.MULTI_VOCABULARY))
+    first, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(r[1], r)
+    for _, text, lang, source, _ in first.values():
+        name, encoding = (queries.BYTE_VOCABULARY, one) if lang == "en" else (queries.MULTI_VOCABULARY, many)
+        w = want.setdefault((source, lang, name), [0, 0, 0])
+        for k, v in enumerate((1, len(encoding.encode_ordinary(text or "")), len(text or ""))):
+            w[k] += v
+    got = {tuple(r[:3]): list(r[3:]) for r in queries.op2_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
 
 
 def clean_and_toxic(n):
@@ -284,7 +351,7 @@ def test_toxicity(spark, docs):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.predicted}
 
 
-def test_toxicity_learns_one_row_of_an_id(spark, monkeypatch):
+def test_toxicity_learns_one_row_of_an_id(spark):
     rows = clean_and_toxic(120)
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     one = next(i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5)
@@ -294,12 +361,57 @@ def test_toxicity_learns_one_row_of_an_id(spark, monkeypatch):
     a, b = toxicity.train(plain, labels), toxicity.train(often, labels)
     assert a.rows == b.rows == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, _, _ in rows)
     assert a.features == b.features and np.allclose(a.weights, b.weights)
-    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
     more = spark.createDataFrame([(i, f"{t} {k}") for i, t in texts for k in "abc"], "doc_id long, text string")
-    assert toxicity.train(more, labels).rows == 10
+    assert toxicity.train(more, labels, sample_rows=10).rows == 10
+
+
+def brute_score(model, text):
+    """The score of a text from a model's features and weights, by the definition of features."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    grams = {f"={w}" for w in words} | {f"<{w}>"[i : i + n] for w in words for n in (4, 5, 6) for i in range(len(w) + 3 - n)}
+    own = {zlib.crc32(g.encode()) % (1 << toxicity.HASH_BITS) for g in grams}
+    odds = model.intercept + sum(w for f, w in zip(model.features, model.weights, strict=True) if f in own)
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_scores_are_those_of_the_weights(spark, docs):
+    rows = clean_and_toxic(300)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), labels)
+    texts = [*TEXTS, *[t for _, t, _ in rows], "nitwit" * 40_000, "Muslims, scoundrels! straße Ünïcode 4three2one"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(table, model).collect():
+        assert abs(r.score - brute_score(model, texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def brute_mix(rows, weights=(1, 2, 3), cap=3):
+    """The words taken of each row of (doc_id, source, size): {doc_id: words}; ids are distinct."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in names}
+    left, open_, target = float(sum(size.values())), {s: weights[k % 3] for k, s in enumerate(names)}, {}
+    while open_:
+        over = [s for s, w in open_.items() if left * w / sum(open_.values()) > cap * size[s]]
+        if not over:
+            target |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+            break
+        total = sum(cap * size[s] for s in over)
+        target |= {s: float(cap * size[s]) for s in over}
+        left, open_ = left - total, {s: w for s, w in open_.items() if s not in over}
+    taken = {}
+    for s in names:
+        budget = int(target[s] + 0.5)
+        whole, rest = divmod(budget, size[s]) if size[s] else (0, 0)
+        for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (int(hashlib.md5(f"mix-0:{r[0]}".encode()).hexdigest()[:15], 16), r[2])):
+            taken[i] = whole * n + min(n, rest)
+            rest -= min(n, rest)
+    return taken
 
 
 def test_pipeline(spark, tmp_path):
+    """All five stages against brute force, from a trained model on."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     rows = clean_and_toxic(300)
@@ -308,16 +420,36 @@ def test_pipeline(spark, tmp_path):
     texts[7] = texts[5]
     passage = "this passage of the benchmark has more than ten words to be found"
     texts[9] += " " + passage
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    texts |= {1000: None, 1001: "", 1002: "word " * 30_000}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t or ""), "x") for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long, row string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r.doc_id for r in out}
+    out = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+
     model = toxicity.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
-    toxic = {r.doc_id for r in toxicity.score(docs, model).collect() if r.predicted}
-    left = {i: brute_print(t) for i, t in texts.items() if i not in toxic}
-    left = {i for i, c in brute_components(left).items() if i == c} - {9}
-    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs.where(F.col("doc_id").isin(*left))).collect()}
-    assert ids == {i for i, n in taken.items() if n} and 7 not in ids and 9 not in ids and not ids & toxic
-    assert [r.start for r in sorted(out, key=lambda r: r.start)] == np.cumsum([0, *[r.n_tokens for r in sorted(out, key=lambda r: r.start)]])[:-1].tolist()
+    left = {i: t for i, t in texts.items() if brute_score(model, t) < 0.5}
+    assert len(texts) - len(left) > 40
+    components = brute_components({i: brute_print(t) for i, t in left.items()})
+    left = {i: t for i, t in left.items() if components[i] == i and passage not in (t or "")}
+    taken = brute_mix([(i, f"s{i % 4}" if i % 5 else None, len((t or "").split())) for i, t in left.items()])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.WORD_VOCABULARY))
+    want = []
+    for i in sorted(left):
+        words = left[i].split() if left[i] else []
+        for k in range(-(-taken[i] // len(words)) if words else 0):
+            n = min(len(words), taken[i] - k * len(words))
+            text = left[i] if n == len(words) else " ".join(words[:n])
+            ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+            want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(want) == sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in out)
+    assert [r.doc_id for r in out] == sorted(r.doc_id for r in out) and {7, 9, 1000, 1001}.isdisjoint(r.doc_id for r in out)
+    assert [r.start for r in out] == np.cumsum([0, *[r.n_tokens for r in out]])[:-1].tolist()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -80,6 +80,19 @@ def test_quality_rules(spark, docs):
     assert {(r.llr, r.threshold) for r in quality_rules.quality_rules(docs, trusted.limit(0)).collect()} == {(0.0, 0.0)}
 
 
+def test_quality_threshold(spark):
+    """The highest thousandth that at least the share of the calibration documents reach."""
+    rows = [(i, " ".join(f"w{(i * k) % (7 + i % 5)}" for k in range(20 + i % 9))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = [i for i in range(400) if i % 3]
+    fold = {i for i in trusted if signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)) % 5 == 0}
+    for share in (0.99, 0.7):
+        found = quality_rules.quality_rules(table, table.where("doc_id % 3 <> 0").select("doc_id"), buckets=256, trusted_share=share).collect()
+        scores = [round(1e6 * r.llr) for r in found if r.doc_id in fold]
+        grid = {s // 1000 * 1000 for s in scores}
+        assert {round(1e6 * r.threshold) for r in found} == {max(g for g in grid if sum(s >= g for s in scores) >= share * len(scores))} and len(scores) > 30
+
+
 def test_sharding(spark, docs):
     many = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text each time").otherwise(F.concat(F.lit("text "), F.expr("repeat(cast(id as string), cast(id % 17 as int))"))).alias("text")
@@ -99,6 +112,20 @@ def test_sharding(spark, docs):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_sharding_splits_a_hot_text_without_ids(spark):
+    """Half of the rows are one text, without ids or with one id for all; a third are empty."""
+    hot = F.when(F.col("id") % 2 == 0, F.lit("one text " * 20)).when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("text "), "id"))
+    for doc_id in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        rows = sharding.shard_documents(spark.range(30_000).select(doc_id.alias("doc_id"), hot.alias("text"))).collect()
+        size, slots = Counter(), {}
+        for r in rows:
+            size[r.shard] += r.size
+            slots.setdefault(r.shard, []).append(r.slot)
+        mean = sum(size.values()) / 8
+        assert len(rows) == 30_000 and all(abs(size[k] - mean) < 0.05 * mean for k in range(8))
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == docs.count()
@@ -123,15 +150,7 @@ def test_mixing(spark, docs):
             left -= want[s]
             del open_[s]
     assert all(math.isclose(want[s], target[s], abs_tol=1e-6) for s in names)
-    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    want = {r.doc_id: r.taken for r in mixing.mix_sources(plain).collect()}
-    mixed = mixing.mixed_documents(plain)
-    assert mixed.columns == plain.columns
-    got = Counter()
-    for r in mixed.collect():
-        got[r.doc_id] += len(WORD.findall(r.text))
-        assert r.n_chars == len(r.text)
-    assert got == Counter({k: v for k, v in want.items() if v})
+    assert mixing.mixed_documents(docs).columns == docs.columns
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
@@ -151,6 +170,12 @@ def test_mixed_documents_with_null_and_repeated_ids(spark, docs):
                 got[r.doc_id, r.source] += len(WORD.findall(r.text))
                 assert r.n_chars == len(r.text)
             assert got == Counter({k: v for k, v in want.items() if v})
+    # The mix of a source has its budget to the word, though null and repeated ids fill most of it.
+    budget = {r.source: math.floor(r.target + 0.5) for r in mixing.mix_sources(table).collect()}
+    words = Counter()
+    for r in mixing.mixed_documents(table).collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == Counter(budget)
     # No more than one row of a source is cut, so all other texts are whole.
     texts, cut = {r[1] for r in rows}, Counter()
     for r in mixing.mixed_documents(table).collect():
@@ -234,3 +259,69 @@ def test_chat_tools(spark):
     assert [rows["long", f"k{i:03d}"].level for i in range(90)] == list(range(90)) and len(rows) == 6 + 3 + 90
     empty = spark.createDataFrame([], schema)
     assert chat_tools.link_tool_calls(empty, results.limit(0), fields.limit(0)).count() == 0
+
+
+def test_mixing_with_one_id_for_all(spark):
+    """Every row of a source is alike to the mix, so the cut falls among them by row."""
+    rows = spark.range(9_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "big").otherwise("small").alias("source"), F.lit("a b c d e").alias("text")).repartition(7)
+    taken, mixed = mixing.mix_sources(rows).collect(), Counter()
+    target = {r.source: r.target for r in taken}
+    for r in mixing.mixed_documents(rows).collect():
+        mixed[r.source] += len(r.text.split())
+    for s in ("big", "small"):
+        own = [r.taken for r in taken if r.source == s]
+        assert sum(own) == mixed[s] == math.floor(target[s] + 0.5) and max(own) - min(own) <= 5
+
+
+#: Names that the operators use for columns of their own.
+NAMES = ["doc", "id", "row", "hash", "print", "best", "source_size", "random_key", "size", "copy", "cut", "part", "extra", "epochs", "bad", "bad_hash", "_source", "_key", "_dropped", "_bad", "_text_hash", "_id", "words", "key", "range"]
+
+
+def test_filtering_stages_keep_extra_columns(spark):
+    from fluxfield.llm import simhash, toxicity
+
+    passage = "this passage of the benchmark has more than ten words to be found"
+    texts = ["a b c d e f g", "a b c d e f g", None, "", f"x {passage} y", "z " * 3000]
+    rows = [(i if i % 3 else None, t, "en", "s", 1, *[f"{i}-{n}" for n in NAMES]) for i, t in enumerate([*texts, *texts])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    none = toxicity.Model([], [], 0.0, 0)
+    outs = {
+        "toxic": toxicity.drop_toxic(docs, none),
+        "near": simhash.drop_near_duplicates(docs),
+        "clean": decontamination.clean_documents(docs, bench),
+        "mixed": mixing.mixed_documents(docs),
+    }
+    whole = set(rows)
+    for name, out in outs.items():
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert name == "mixed" or tuple(r) in whole
+            assert len({x.split("-")[0] for x in r[5:]}) == 1 and [x.split("-")[1] for x in r[5:]] == NAMES
+    assert outs["toxic"].count() == 12 and outs["clean"].count() == 10 and outs["near"].count() == 4
+    for out in (sharding.shard_documents(docs), mixing.mix_sources(docs), decontamination.find_benchmark_windows(docs, bench), quality_rules.quality_rules(docs, bench.select(F.col("item_id").alias("doc_id")))):
+        assert out.count() == 12
+
+
+def test_chat_tools_types_and_depth(spark):
+    fields = spark.createDataFrame(
+        [("f", "x", "DOUBLE", True), ("f", "o.a", "BIGINT", True), ("f", "o.b.c", "STRING", False), ("f", "o", "OBJECT", False), ("f", "l", "ARRAY", False), ("f", "m", "ARRAY<BIGINT>", False)], chat_tools.SCHEMA_COLUMNS
+    )
+    cases = {
+        "a": ('{"x":1.5,"o":{"a":1}}', ""),
+        "b": ('{"x":2,"o":{"a":12345678901234567890,"b":{"c":"t"}},"l":["q"],"m":[1]}', ""),
+        "c": ('{"x":1e3,"o":{"a":1.5}}', "type of o.a"),
+        "d": ('{"x":"1","o":{"b":{"c":3}}}', "missing o.a; type of o.b.c; type of x"),
+        "e": ('{"x":null,"o":[],"z":1}', "missing o.a; type of o; type of x; unknown z"),
+        "f": ('{"x":1,"o":{"a":1},"l":{},"m":["s"]}', "type of l; type of m"),
+        "g": ('{"x":1,"o":{"a":1},"l":["' + "long " * 50_000 + '"]}', ""),
+    }
+    rows = [("c", k, i if k != "g" else None, "f", j, None, "other") for i, (k, (j, _)) in enumerate(cases.items())]
+    # Calls with several needs, forty after one another, and one that all need.
+    rows += [("deep", f"k{i:02d}", i, "f", cases["a"][0], [f"k{j:02d}" for j in {0, i - 2, i - 1} if 0 <= j < i], "other") for i in range(40)]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, turn int, name string, arguments string, depends_on array<string>, status string")
+    results = spark.createDataFrame([("c", "a", 1, None, "x")], "conv_id string, call_id string, turn int, content string, json string")
+    found = {(r.conv_id, r.call_id): r for r in chat_tools.link_tool_calls(calls, results, fields).collect()}
+    assert {k: found["c", k].errors for k in cases} == {k: want for k, (_, want) in cases.items()}
+    assert found["c", "g"].seq == 0 and found["c", "a"].status == "ok" and len(found["c", "g"].json) > 250_000
+    assert [found["deep", f"k{i:02d}"].level for i in range(40)] == list(range(40))
