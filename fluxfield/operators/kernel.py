@@ -86,15 +86,20 @@ class Flow:
     state: DataFrame
 
 
-def _marks(runs: list[str], keys: list[str], with_defect: bool = True) -> dict[str, Column]:
-    """For each run, by its place: the number of changed cells, and a fingerprint of its state."""
+def _fingerprint(keys: list[str], own: Column | None = None) -> dict[str, Column]:
+    """Sums over the rows of one run that tell its states apart."""
+    own = F.lit(True) if own is None else own
     row = F.xxhash64("node", *[k for k in keys if k != "run_id"], "value")
+    return {"s": F.sum(F.when(own, row.cast("decimal(38,0)"))), "x": F.bit_xor(F.when(own, row)), "n": F.count_if(own)}
+
+
+def _marks(runs: list[str], keys: list[str]) -> dict[str, Column]:
+    """For each run, by its place: the number of changed cells, and a fingerprint of its state."""
     marks: dict[str, Column] = {}
     for i, run in enumerate(runs):
         own = F.col("run_id") == run
-        marks |= {f"s{i}": F.sum(F.when(own, row.cast("decimal(38,0)"))), f"x{i}": F.bit_xor(F.when(own, row)), f"n{i}": F.count_if(own)}
-        if with_defect:
-            marks[f"d{i}"] = F.count_if(own & (F.col("prev") != F.col("value")))
+        marks |= {f"{k}{i}": c for k, c in _fingerprint(keys, own).items()}
+        marks[f"d{i}"] = F.count_if(own & (F.col("prev") != F.col("value")))
     return marks
 
 
@@ -111,9 +116,10 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     columns, keys, table = state.columns, _keys(state), Rounds(spark, "flow")
     now, _ = table.add(state.withColumn("value", F.col("value").cast("tinyint")), 0)
     edges = stored(edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
-    runs = sorted(r["run_id"] for r in now.select("run_id").distinct().collect())
-    first = now.agg(*[c.alias(k) for k, c in _marks(runs, keys, False).items()]).first() if runs else {}
-    active, seen = set(runs), {run: {(first[f"s{i}"], first[f"x{i}"], first[f"n{i}"]): [0]} for i, run in enumerate(runs)}
+    # As many rows as runs.
+    first = now.groupBy("run_id").agg(*[c.alias(k) for k, c in _fingerprint(keys).items()]).collect()
+    runs = sorted(r["run_id"] for r in first)
+    active, seen = set(runs), {r["run_id"]: {(r["s"], r["x"], r["n"]): [0]} for r in first}
     parts, ended, curve = [now], {}, []
     for step in range(1, steps + 1):
         if not active:
@@ -140,13 +146,12 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     rows = table.all()
     prev = F.col("prev") if "prev" in rows.columns else F.col("value")
     changes = rows.where((F.col("round") > 0) & (prev != F.col("value")))
-    # As many rows as runs.
-    last = F.broadcast(status.select("run_id", F.col("step").alias("round")))
+    last = F.create_map(*[F.lit(x) for run, end in ended.items() for x in (run, end[1])])[F.col("run_id")] if ended else F.lit(0)
     return Flow(
         status,
         spark.createDataFrame(curve, "run_id string, step int, defect bigint"),
         changes.select("run_id", F.col("round").alias("step"), "node", *[k for k in keys if k != "run_id"], prev.alias("prev"), F.col("value").alias("new")),
-        rows.where(F.col("round").isin(sorted({end[1] for end in ended.values()}))).join(last, ["run_id", "round"]).select(*columns),
+        rows.where(F.col("round").isin(sorted({end[1] for end in ended.values()})) & (F.col("round") == last)).select(*columns),
     )
 
 
