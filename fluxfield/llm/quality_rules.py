@@ -37,16 +37,25 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 GRID = 1_000
 
 
-def hashed_ngrams(words: Column, buckets: int) -> Column:
-    """Bucket of every word and of every pair of neighbours."""
-    pairs = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.concat(
-        F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
-        F.transform(pairs, lambda i: F.pmod(F.xxhash64(words[i], words[i + 1]), F.lit(buckets)).cast("int")),
-    )
+def paired(hashes: Column, apart: int) -> Column:
+    """Hashes of the pairs of elements that are so far apart."""
+    n = F.size(hashes)
+    firsts = F.when(n > apart, F.sequence(F.lit(0), n - 1 - apart)).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda i: F.xxhash64(hashes[i], hashes[i + apart]))
+
+
+def word_hashes(docs: DataFrame, words: Column) -> DataFrame:
+    """docs with _one, hashes of the words, and _two, of neighbouring words. Words are hashed once; all longer n-grams
+    are hashes of hashes."""
+    df = docs.withColumn("_one", F.transform(words, lambda w: F.xxhash64(w)))
+    return df.withColumn("_two", paired(F.col("_one"), 1))
+
+
+def bucket_of(hashed: Column, buckets: int) -> Column:
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
-def repeated_words(words: Column, windows: Column, width: int = WINDOW) -> Column:
+def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     """Words that lie in a window whose hash occurs more than once among windows."""
     sorted_windows = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # After sorting, a window repeats if a neighbour has its hash. let() keeps the sorted array from being made anew.
@@ -70,21 +79,19 @@ def base_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(F.col(id_col), text.alias("_text"), words_of(text).alias("_words"), lines.alias("_lines"))
     n = F.size("_words")
-    w = F.col("_words")
-    windows = F.when(
-        n > WINDOW,
-        F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_windows", windows)
+    # Windows of 8 words as pairs of pairs of pairs; a text of one window repeats none.
+    df = word_hashes(df, F.col("_words")).withColumn("_four", paired(F.col("_two"), 2))
+    df = df.withColumn("_windows", F.when(n > WINDOW, paired(F.col("_four"), 4)).otherwise(F.array().cast("array<bigint>")))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     return df.select(
         id_col,
-        "_words",
+        "_one",
+        "_two",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(repeats, repeated_words(w, F.col("_windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(repeats, repeated_words(F.col("_windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -97,10 +104,11 @@ def marked(trusted: DataFrame, id_col: str) -> DataFrame:
 def bucket_weights(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, buckets: int) -> list[int]:
     """Log ratio of trusted to raw frequency of each bucket, in millionths. The result has `buckets` numbers."""
     fits = marks.where("not _calibrates").select("_id", F.lit(1).alias("_mark"))
+    rows = docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words")).join(fits, "_id", "left")
     counts = (
-        docs.select(F.col(id_col).alias("_id"), words_of(F.col(text_col)).alias("_words"))
-        .join(fits, "_id", "left")
-        .select("_mark", F.explode(hashed_ngrams(F.col("_words"), buckets)).alias("bucket"))
+        word_hashes(rows, F.col("_words"))
+        .select("_mark", F.explode(F.concat("_one", "_two")).alias("_hash"))
+        .select("_mark", bucket_of(F.col("_hash"), buckets).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("_mark").alias("trusted"))
         .collect()
@@ -148,8 +156,9 @@ def quality_rules(
     marks = sized(marked(trusted, id_col), "marks")
     weights = int_array(bucket_weights(docs, marks, id_col, text_col, buckets))
     base = base_columns(docs, id_col, text_col)
-    grams = hashed_ngrams(F.col("_words"), buckets)
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, b: acc + weights[b])
+    # The weight of bucket k is element k of a constant array.
+    summed = lambda start, hashes: F.aggregate(hashes, start, lambda acc, h: acc + weights[bucket_of(h, buckets)])
+    total = summed(summed(F.lit(0).cast("long"), "_one"), "_two")
     n_grams = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
     scored = base.select(
         id_col, *COUNTS, F.floor(total / n_grams).cast("long").alias("llr_micro")

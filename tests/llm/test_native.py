@@ -54,9 +54,9 @@ def signed(h):
 
 
 def buckets(words, size):
-    one = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) % size for w in words]
-    two = [signed(xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))) % size for a, b in zip(words, words[1:])]
-    return one + two
+    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(one, one[1:])]
+    return [signed(h) % size for h in one + two]
 
 
 def test_quality_rules(spark, docs):
