@@ -45,6 +45,8 @@ FOLDS = 5
 #: Words whose features a task keeps, none longer than MEMO_CHARS, and rows it turns to features at once.
 MEMO_WORDS, MEMO_CHARS = 150_000, 40
 FIT_ROWS = 256
+#: Rows of a batch of documents that are kept.
+OUT_ROWS = 512
 
 #: Words that name groups, by kind; swaps stay within a kind. The last column is neutral.
 IDENTITY_TERMS = {
@@ -242,7 +244,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def _kept(model: Model, names: list[str], text_col: str) -> Callable:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, at = Features(model.features), model.weights, names.index(text_col)
-        for batch in batches:
+        # Whole texts go out again: in small batches, so that neither side holds many copies of them.
+        for batch in (b.slice(k, OUT_ROWS) for b in batches for k in range(0, b.num_rows, OUT_ROWS)):
             odds = [model.intercept + sum(weights[f] for f in sorted(features.of(words_in(t.as_py())))) for t in batch.column(at)]
             yield batch.filter(pa.array([not model.rows or x < 0 for x in odds], pa.bool_()))
 
