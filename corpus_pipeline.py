@@ -15,11 +15,22 @@ from fluxfield.llm.common import new_path, table
 from fluxfield.llm.queries import WORD_VOCABULARY
 
 
+#: Rows that go to Python and back at once, whole texts among them: a task holds a few such batches outside the heap.
+BATCH_ROWS = 1_000
+
+
+def in_batches(spark: SparkSession) -> None:
+    """For this session; every stage calls for it that has Python in it, so that each can run by itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -32,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_batches(spark)
     return token_files.token_files(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
