@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tools, decontamination, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, token_files, toxicity
+from . import chat_tools, decontamination, merkle, mixing, quality_rules, resampling, secret_scan, sentence_pieces, sharding, simhash, token_counts, token_files, toxicity
 from .common import new_path, stored, table
 
 #: The tokenizer of token files, by the name its package knows.
 WORD_VOCABULARY = "word_bpe_49k.json"
 #: Vocabularies of the secret scan and of token counts, the latter before and after a change of tokenizer.
 BYTE_VOCABULARY, MULTI_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+#: The model of SentencePiece encoding.
+PIECE_MODEL = "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -87,6 +89,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document, by a hash of its id, is presented with one character more than it has."""
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = F.when(seventh, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), claims={"n_chars": claimed})
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -99,6 +116,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_decontamination": op9_decontamination,
         "op10_token_files": op10_token_files,
+        "op11_resampling": op11_resampling,
+        "op12_sentence_pieces": op12_sentence_pieces,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -107,4 +127,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_tools": chat_tools.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
+        "op11_resampling": resampling.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
