@@ -2,8 +2,10 @@
 
 The sort key of a document is a hash of its text, so equal texts are neighbours. Keys are drawn with chances in
 proportion to document sizes, a bounded number however large the corpus; quantiles of the draws are the splitters of
-many fine ranges. Ranges that turn out overfull in bytes or rows (one text that fills several, say) are subdivided by a
-hash of a number written with each row, so null and repeated ids and rows repeated whole are split like any other.
+many fine ranges. Ranges that turn out overfull in bytes or rows are subdivided by another hash of the key, which keeps
+equal texts together; only a heavy text, one that fills a mean range by itself, is dealt by a hash of a number written
+with each row, so null and repeated ids and rows repeated whole are split like any other. There are at most twice as
+many heavy texts as ranges, whatever the input.
 The pieces, in key order, are then cut into shards where the running sum of their exact sizes passes each share. A
 document's slot is the piece's offset in its shard plus its rank in the piece, so no task needs a whole shard.
 
@@ -72,8 +74,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     found = rows.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where(means > OVERFULL)
     full = {r["range"]: r["parts"] for r in found.select("range", F.ceil(means).cast("int").alias("parts")).collect()}
     parts = F.split(F.lit(",".join(str(full.get(k, 1)) for k in range(RANGES))), ",").cast("array<int>")
-    part = F.when(parts[F.col("range")] > 1, F.pmod(F.xxhash64("row", F.lit(1)), parts[F.col("range")])).otherwise(F.lit(0))
-    rows = rows.withColumn("part", part.cast("int"))
+    rows = rows.withColumn("parts", parts[F.col("range")])
+    keys = rows.where("parts > 1").groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    heavy = [r["key"] for r in keys.where((means > 1) & (F.col("n") > 1)).select("key").collect()]
+    dealt_by = F.when(F.col("key").isin(heavy), F.xxhash64("row", F.lit(1))).otherwise(F.xxhash64("key", F.lit(1)))
+    rows = rows.withColumn("part", F.when(F.col("parts") > 1, F.pmod(dealt_by, "parts")).otherwise(F.lit(0)).cast("int")).drop("parts")
     # At most four times as many pieces as ranges, whatever the input.
     pieces = rows.groupBy("range", "part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("range", "part").collect()
     upto, slots, placed = 0, [0] * shards, []
