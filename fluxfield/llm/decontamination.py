@@ -7,7 +7,8 @@ documents with such a block, and compares every window of theirs, as text, with
 benchmark's blocks and windows are broadcast if they are small enough as written, else the joins shuffle.
 
 Null and empty texts have no words. Rows that repeat an id with another text are judged apart; a row repeated whole is
-judged once and returned as often as it is there. Items without words have no window; items without an id have windows
+returned as often as it is there: each row keeps a number of its own until its blocks are counted, and verdicts are
+joined to the written rows, so that copies of one row, however many, are dealt like any others. Items without words have no window; items without an id have windows
 that hit words, but are not counted. Empty tables give empty results or no hits; other columns are ignored.
 """
 
@@ -82,19 +83,15 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_
     grams, blocks = sized(grams.distinct(), "grams"), sized(blocks.distinct().withColumn("found", F.lit(True)), "blocks")
 
     docs = docs.select(F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_text_hash"), F.col(text_col).alias("_text"))
-    read = docs.select("_id", "_text_hash", normal_words(F.col("_text")).alias("words"))
+    read = docs.select("_id", "_text_hash", F.monotonically_increasing_id().alias("row"), normal_words(F.col("_text")).alias("words"))
     hashes = F.concat(no_hashes, *[block_hashes(F.col("words"), k, block_of(k)[1]) for k in widths])
     seen = (
-        read.select("_id", "_text_hash", F.size("words").alias("n_words"), F.posexplode_outer(hashes).alias("nth", "block"))
+        read.select("_id", "_text_hash", "row", F.size("words").alias("n_words"), F.explode_outer(hashes).alias("block"))
         .join(blocks, "block", "left")
-        .groupBy("_id", "_text_hash")
-        .agg(
-            F.max("n_words").cast("long").alias("n_words"),
-            F.max(F.coalesce("found", F.lit(False))).alias("found"),
-            F.count_if(F.coalesce("nth", F.lit(0)) == 0).cast("int").alias("rows"),
-        )
+        .groupBy("row", "_id", "_text_hash")
+        .agg(F.max("n_words").cast("long").alias("n_words"), F.max(F.coalesce("found", F.lit(False))).alias("found"))
     )
-    seen = stored(seen.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "row"), "seen")
+    seen = stored(seen.drop("row"), "seen")
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_text_hash"] == b["_text_hash"])
     maybe = sized(seen.where("found").select("_id", "_text_hash").distinct(), "maybe")
     some = docs.join(maybe, same(docs, maybe), "left_semi")
@@ -113,8 +110,9 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_
     )["n"]
     found = found.select(F.col("_id").alias("_id2"), F.col("_text_hash").alias("_hash2"), covered.cast("long").alias("n_hit"), "items", "spans")
     both = seen["_id"].eqNullSafe(F.col("_id2")) & (seen["_text_hash"] == F.col("_hash2"))
-    # The documents with hits have no bound: a shuffled join of narrow rows.
-    return seen.join(found.hint("merge"), both, "left").select(
+    # The documents with hits have no bound: broadcast if they are few as written, else a shuffled join, in which copies
+    # of one row beyond a partition's size are split.
+    return seen.join(sized(found, "found"), both, "left").select(
         F.col("_id").alias(id_col),
         "_text_hash",
         "n_words",
