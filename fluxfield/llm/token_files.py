@@ -14,8 +14,9 @@ Ids are encoded piece by piece for the one make of tokenizer where that is the s
 the file is loaded; for any other, texts are encoded whole.
 
 Null texts count as empty and have the end id alone. Ids may be integers or strings, which the files keep as they are.
-Rows with the same id are all written, ordered among themselves by a hash of the text. Null ids come first. An empty
-table writes no file. Other columns are ignored.
+Rows with the same id are all written, ordered among themselves by a hash of the text, and divided among files like any
+others: ranges are of id, hash and the row's number. Null ids come first. An empty table writes no file. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -232,8 +233,9 @@ def write_token_files(
     parts = -(-size // min(MOST_BYTES, max(LEAST_BYTES, size // TASKS))) or 1
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ["id", "hash", "row"]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "text")
     manifest = rows.mapInArrow(_write(folder, vocabulary, end_id, kind), "part int, name string, n_docs bigint, n_tokens bigint")
     return stored(manifest, "manifest").orderBy("part").collect()
 
