@@ -12,7 +12,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fluxfield.llm import merkle, queries, resampling, sentence_pieces
+from fluxfield.llm import decontamination, merkle, queries, resampling, sentence_pieces, sharding, token_files
+from fluxfield.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, id string, rank long, score string, block long, group string, ids string, pos int"
 LONG = " ".join(f"Word{i % 911} ab" for i in range(60_000))
@@ -239,3 +240,45 @@ def test_a_group_of_a_third_is_in_many_blocks(spark, monkeypatch):
 
 def test_registered():
     assert {"op11_resampling", "op12_sentence_pieces", "op13_merkle_manifest"} <= set(queries.queries())
+
+
+def test_sharding_keeps_small_groups_beside_a_heavy_text(spark):
+    """A third of the rows are one text, the others groups of four: only the heavy one is in several shards."""
+    n = 60_000
+    text = F.when(F.col("id") % 3 == 0, "the one text of a third of all rows").otherwise(F.concat(F.lit("group "), F.expr("id div 6")))
+    rows = sharding.shard_documents(spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))).collect()
+    shards, sizes = {}, Counter()
+    for r in rows:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+        sizes[r.shard] += r.size
+    assert len(rows) == n and sum(len(s) > 1 for s in shards.values()) == 1
+    assert max(sizes.values()) - min(sizes.values()) < 0.03 * sum(sizes.values()) / 8
+
+
+def test_decontamination_of_many_equal_rows(spark):
+    """A third of the rows are one contaminated document, a third one clean one: each comes back as often as it is there."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    hot = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 2, F.col("id")).otherwise(F.col("id") % 3).alias("doc_id"), F.when(F.col("id") % 3 == 0, passage).when(F.col("id") % 3 == 1, "clean words").otherwise(F.concat(F.lit("word "), "id")).alias("text")
+    )
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    found = decontamination.find_benchmark_windows(hot.repartition(7), bench)
+    n = {r.doc_id: r["count"] for r in found.where("doc_id < 2").groupBy("doc_id", "n_hit", "n_words", "contaminated").count().collect()}
+    assert found.count() == 6000 and n == {0: 2000, 1: 2000}
+    assert found.where("contaminated").count() == 2000 and found.where("contaminated and (n_hit <> 11 or n_items <> 1)").isEmpty()
+    assert decontamination.clean_documents(hot, bench).count() == 4000
+
+
+def test_token_files_divide_one_id(spark, monkeypatch):
+    """A third of the rows have one id, a third none: no file has more than twice the mean."""
+    monkeypatch.setattr(token_files, "LEAST_BYTES", 20_000)
+    doc_id = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    docs = spark.range(6000).select(doc_id.alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 40).alias("text"), F.lit(1).alias("hash"), F.lit(2).alias("row"))
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    folder = new_path(spark, "tokens")
+    manifest = token_files.write_token_files(docs, vocabulary, folder)
+    assert len(manifest) > 4 and max(m.n_docs for m in manifest) < 2 * 6000 / len(manifest)
+    rows = sorted(token_files.read_token_files(spark, manifest, vocabulary, folder).collect(), key=lambda r: r.start)
+    keys = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert keys == sorted(keys) and len(rows) == 6000
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))][: len(rows)]
