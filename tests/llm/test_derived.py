@@ -111,12 +111,12 @@ def library(texts):
     return ids, [found.decode(x) for x in ids]
 
 
-@pytest.mark.parametrize("block_bytes", [1, 4096, 2 << 20])
-def test_sentence_pieces_equal_the_library(docs, block_bytes):
+@pytest.mark.parametrize("block_chars, bucket_bytes", [(1, 1 << 20), (4096, 4096), (16 << 20, 50_000)])
+def test_sentence_pieces_equal_the_library(docs, block_chars, bucket_bytes):
     rows = docs.select("doc_id", "text").collect()
     ids, texts = library([r.text for r in rows])
     want = sorted(((r.doc_id, i, t) for r, i, t in zip(rows, ids, texts, strict=True)), key=str)
-    found = sentence_pieces.encode(docs, MODEL, block_bytes)
+    found = sentence_pieces.encode(docs, MODEL, block_chars, bucket_bytes)
     assert sorted((tuple(r) for r in found.collect()), key=str) == want
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = sorted(((d, len(i), digest(",".join(map(str, i))), digest(t)) for d, i, t in want), key=str)
