@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxfield.functions.scalar import sgn_deadzone
 from fluxfield.plans.staging import sized
 
-from .graph import strengths
+from .graph import run_keys, strengths
 
 
 def init_field(residual: DataFrame, nodes: DataFrame, eps: float | Column = 1e-9) -> DataFrame:
@@ -21,15 +21,18 @@ def init_field(residual: DataFrame, nodes: DataFrame, eps: float | Column = 1e-9
 def init_field_exact(edges: DataFrame, eps: float = 1e-9) -> DataFrame:
     """init_field of the sparse residual without its rounding: k_out (total - in-strength of targets) / total.
 
-    For whole weights the difference is exact, so nodes whose targets take all in-strength get exactly 0.
+    For whole weights the difference is exact, so nodes whose targets take all in-strength get exactly 0. Edges may be
+    those of several graphs under run_id, as the field then is.
     """
+    keys = run_keys(edges)
     s = sized(strengths(edges), "strengths")
-    total = edges.agg(F.sum("weight").alias("total"))
-    targets = edges.join(s.select(F.col("node").alias("dst"), "k_in"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("k_in").alias("taken"))
-    # Every node has a row of strengths; total has one row.
-    joined = s.select("node", "k_out").join(targets.hint("merge"), "node", "left").join(F.broadcast(total))
+    total = edges.groupBy(*keys).agg(F.sum("weight").alias("total"))
+    targets = edges.join(s.select(*keys, F.col("node").alias("dst"), "k_in"), [*keys, "dst"]).groupBy(*keys, F.col("src").alias("node")).agg(F.sum("k_in").alias("taken"))
+    # Every node has a row of strengths; total has a row for each graph.
+    joined = s.select(*keys, "node", "k_out").join(targets.hint("merge"), [*keys, "node"], "left")
+    joined = joined.join(F.broadcast(total), keys) if keys else joined.join(F.broadcast(total))
     sums = F.when(F.col("total") > 0, F.coalesce("k_out", F.lit(0.0)) * (F.col("total") - F.coalesce("taken", F.lit(0.0))) / F.col("total")).otherwise(F.lit(0.0))
-    return joined.select("node", sgn_deadzone(sums, eps).alias("value"))
+    return joined.select(*keys, "node", sgn_deadzone(sums, eps).alias("value"))
 
 
 def field_balance(state: DataFrame, keys: list[str] | None = None) -> DataFrame:

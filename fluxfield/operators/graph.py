@@ -23,12 +23,19 @@ def graph_size(edges: DataFrame) -> DataFrame:
     return nodes.join(F.broadcast(edges.agg(F.count("*").alias("n_edges"))))  # one row each
 
 
+def run_keys(df: DataFrame) -> list[str]:
+    """run_id, where a table has several graphs or states under it."""
+    return [c for c in ("run_id",) if c in df.columns]
+
+
 def strengths(edges: DataFrame) -> DataFrame:
-    """(node, k_out, k_in) of every node, in one shuffle."""
+    """([run_id,] node, k_out, k_in) of every node, in one shuffle."""
+    keys = run_keys(edges)
     ends = edges.select(
+        *keys,
         F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("weight").alias("out"), F.lit(0.0).alias("in")), F.struct(F.col("dst").alias("node"), F.lit(0.0).alias("out"), F.col("weight").alias("in")))).alias("e")
     )
-    return ends.groupBy("e.node").agg(F.sum("e.out").alias("k_out"), F.sum("e.in").alias("k_in"))
+    return ends.groupBy(*keys, "e.node").agg(F.sum("e.out").alias("k_out"), F.sum("e.in").alias("k_in"))
 
 
 def total_strength(edges: DataFrame) -> DataFrame:

@@ -86,21 +86,23 @@ class Flow:
     state: DataFrame
 
 
-def _fingerprint(keys: list[str], own: Column | None = None) -> dict[str, Column]:
-    """Sums over the rows of one run that tell its states apart."""
-    own = F.lit(True) if own is None else own
+def _marks(keys: list[str]) -> dict[str, Column]:
+    """Over the rows of a run's state: sums that tell it from others, its cells, and how many of them have changed."""
     row = F.xxhash64("node", *[k for k in keys if k != "run_id"], "value")
-    return {"s": F.sum(F.when(own, row.cast("decimal(38,0)"))), "x": F.bit_xor(F.when(own, row)), "n": F.count_if(own)}
-
-
-def _marks(runs: list[str], keys: list[str]) -> dict[str, Column]:
-    """For each run, by its place: the number of changed cells, and a fingerprint of its state."""
-    marks: dict[str, Column] = {}
-    for i, run in enumerate(runs):
-        own = F.col("run_id") == run
-        marks |= {f"{k}{i}": c for k, c in _fingerprint(keys, own).items()}
-        marks[f"d{i}"] = F.count_if(own & (F.col("prev") != F.col("value")))
-    return marks
+    changed = F.count_if(F.col("prev") != F.col("value"))
+    return {"s": F.sum(row.cast("decimal(38,0)")), "x": F.bit_xor(row), "n": F.count(F.lit(1)), "d": changed}
+
+
+def _add(table: Rounds, state: DataFrame, step: int, runs: list[str], keys: list[str]) -> tuple[DataFrame, dict[str, dict]]:
+    """The written step and each run's marks: of one run as it is written, of more by a grouped pass over the step, so
+    that plans do not grow with the number of runs."""
+    marks = _marks(keys)
+    if len(runs) == 1:
+        now, seen = table.add(state, step, **marks)
+        return now, {runs[0]: seen}
+    now, _ = table.add(state, step)
+    # As many rows as runs.
+    return now, {r["run_id"]: r.asDict() for r in now.groupBy("run_id").agg(*[c.alias(k) for k, c in marks.items()]).collect()}
 
 
 def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams(), steps: int = 20, cycle_check: bool = True) -> Flow:
@@ -114,10 +116,11 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     if "run_id" not in state.columns:
         state = state.withColumn("run_id", F.lit("0"))
     columns, keys, table = state.columns, _keys(state), Rounds(spark, "flow")
-    now, _ = table.add(state.withColumn("value", F.col("value").cast("tinyint")), 0)
+    state = state.withColumn("value", F.col("value").cast("tinyint"))
+    now, _ = table.add(state.withColumn("prev", F.col("value")), 0)
     edges = stored(edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
     # As many rows as runs.
-    first = now.groupBy("run_id").agg(*[c.alias(k) for k, c in _fingerprint(keys).items()]).collect()
+    first = now.groupBy("run_id").agg(*[c.alias(k) for k, c in _marks(keys).items()]).collect()
     runs = sorted(r["run_id"] for r in first)
     active, seen = set(runs), {r["run_id"]: {(r["s"], r["x"], r["n"]): [0]} for r in first}
     parts, ended, curve = [now], {}, []
@@ -126,10 +129,10 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
             break
         left = now.where(F.col("run_id").isin(*active)) if len(active) < len(runs) else now
         names = sorted(active)
-        now, got = table.add(kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params), step, **_marks(names, keys))
+        now, got = _add(table, kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params), step, names, keys)
         parts.append(now)
-        for i, run in enumerate(names):
-            mark, defect = (got[f"s{i}"], got[f"x{i}"], got[f"n{i}"]), got[f"d{i}"]
+        for run in names:
+            mark, defect = (got[run]["s"], got[run]["x"], got[run]["n"]), got[run]["d"]
             curve.append((run, step, defect))
             if defect == 0:
                 ended[run] = ("converged", step, None)
@@ -143,8 +146,7 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
         active -= ended.keys()
     ended |= {run: ("max_steps", steps, None) for run in active}
     status = spark.createDataFrame([(run, *end) for run, end in sorted(ended.items())], "run_id string, status string, step int, cycle_start int")
-    rows = table.all()
-    prev = F.col("prev") if "prev" in rows.columns else F.col("value")
+    rows, prev = table.all(), F.col("prev")
     changes = rows.where((F.col("round") > 0) & (prev != F.col("value")))
     last = F.create_map(*[F.lit(x) for run, end in ended.items() for x in (run, end[1])])[F.col("run_id")] if ended else F.lit(0)
     return Flow(

@@ -14,6 +14,7 @@ from fluxfield.operators.distances import component_counts
 from fluxfield.operators.field import coarse_field, field_balance, init_field, init_field_exact
 from fluxfield.operators.graph import collapse_edges, dense_index, graph_size, nodes_of
 from fluxfield.operators.kernel import Flow, KernelParams, flips, kernel_flow, kernel_step
+from fluxfield.operators.nulls import Rewired, rewired
 from fluxfield.operators.report import label_counts, partition_summary, top_purity
 from fluxfield.sources import sinks
 from fluxfield.sources.edges import scan_edges, validate_edges
@@ -184,6 +185,13 @@ def subsampled(edges: DataFrame, share: float, seed: int = 0) -> DataFrame:
     return edges.where(key < int(share * (1 << 32)))
 
 
+def null_runs(edges: DataFrame, runs: int = 10, rounds: int = 10, seed: int = 0, deadzone: float = 1e-9, steps: int = 20) -> tuple[Flow, Rewired]:
+    """The flow over `runs` null models of a graph, as runs of one set of joins, and the null models."""
+    nulls = rewired(edges, rounds, seed, runs)
+    first = stored(init_field_exact(nulls.edges, deadzone), "null-first")
+    return kernel_flow(nulls.edges, first, KernelParams(deadzone=deadzone), steps), nulls
+
+
 def degree_deadzone(edges: DataFrame, per_strength: float) -> DataFrame:
     """(node, eps): a dead zone in proportion to out-strength, to join to a state and pass as a column."""
     return edges.groupBy(F.col("src").alias("node")).agg((per_strength * F.sum("weight")).alias("eps"))
@@ -240,7 +248,7 @@ def voxel_run(spark: SparkSession, edge_path: str, metadata_path: str, out: str,
 
 def validate_job(spark: SparkSession, path: str, **how) -> DataFrame:
     """The summary of an edge file, weight column needed; an error names what is wrong."""
-    return validate_edges(scan_edges(spark, path, need_weight=True, **how))[0]
+    return validate_edges(scan_edges(spark, path, need_weight=True, numbered=True, **how))[0]
 
 
 def enrichment_job(attributes: DataFrame, names: dict[str, str], json_col: str, point_col: str, midline: float | None = None, status: str | None = None) -> DataFrame:

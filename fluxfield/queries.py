@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import sgn_deadzone
-from fluxfield.operators import baseline, blocks, distances, field, graph, kernel, report
+from fluxfield.operators import baseline, blocks, distances, field, graph, kernel, neighbours, nulls, report
 from fluxfield.operators.kernel import KernelParams
 from fluxfield.plans import jobs
 from fluxfield.plans.staging import new_path, stored
@@ -718,6 +718,74 @@ def metadata_align(spark, sf_dir):
     return metadata.align(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), meta)
 
 
+# Null models and neighbourhoods in space
+
+
+@query(
+    with_sql(
+        g_sql(G3),
+        "d AS (SELECT node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(k_out, 0)::DOUBLE AS k_out FROM n LEFT JOIN (SELECT src AS node, count(*) AS n_out, sum(weight) AS k_out FROM e GROUP BY 1) USING (node) LEFT JOIN (SELECT dst AS node, count(*) AS n_in FROM e GROUP BY 1) USING (node))",
+        select="SELECT run_id, d.* FROM d, (SELECT unnest(['null-0', 'null-1']) AS run_id)",
+    )
+)
+def null_model_degrees(spark, sf_dir):
+    """What two null models of the whole graph keep: edges out and in of every node, none twice, and its out-strength."""
+    edges = nulls.rewired(g(spark, sf_dir, G3), 4, 7, 2).edges.groupBy("run_id", "src", "dst").agg(F.max("weight").alias("weight"))
+    out = edges.groupBy("run_id", F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.sum("weight").alias("k_out"))
+    into = edges.groupBy("run_id", F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
+    joined = out.join(into.hint("merge"), ["run_id", "node"], "full")
+    return joined.select("run_id", "node", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "n_in")], F.coalesce("k_out", F.lit(0.0)).alias("k_out"))
+
+
+def null_model_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defect curves of the graph and of three null models of it."""
+    edges = g(spark, sf_dir)
+    flow, _ = jobs.null_runs(edges, 3, 6, 7, EPS, STEPS)
+    own = kernel.kernel_flow(edges, first(edges), KernelParams(deadzone=EPS), STEPS)
+    return flow.curve.union(own.curve.withColumn("run_id", F.lit("graph")))
+
+
+QUERIES["null_model_flow"] = null_model_flow
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points: balance, dearest order and number of orders. Those without orders have no place."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.max("o_totalprice") / 100).alias("soma_y"), (F.count("*") * 100.0).alias("soma_z"))
+    rows = table(spark, sf_dir, "customer").join(orders.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return rows.select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("soma_x"), "soma_y", "soma_z")
+
+
+POINTS = """pt AS MATERIALIZED (
+  SELECT c_custkey AS node, c_acctbal AS x, y, z FROM customer JOIN (SELECT o_custkey, max(o_totalprice) / 100 AS y, count(*) * 100.0::DOUBLE AS z FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+pp AS (SELECT a.node AS src, b.node AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS square FROM pt a JOIN pt b ON a.node <> b.node)"""
+NEAREST = f"{POINTS}, nn AS MATERIALIZED (SELECT src, dst, square, row_number() OVER (PARTITION BY src ORDER BY square, dst) AS rank FROM pp QUALIFY rank <= 6)"
+
+
+@query(f"WITH {POINTS} SELECT src, dst, round(sqrt(square), 6) AS distance FROM pp WHERE square <= 250000")
+def radius_graph(spark, sf_dir):
+    found = neighbours.radius_graph(customers(spark, sf_dir), 500.0)
+    return found.select("src", "dst", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {NEAREST} SELECT src, dst, rank, round(sqrt(square), 6) AS distance FROM nn")
+def nearest_graph(spark, sf_dir):
+    found = neighbours.nearest_graph(customers(spark, sf_dir), 6)
+    return found.select("src", "dst", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    f"""WITH {NEAREST}, s AS (SELECT node, CASE WHEN node % 3 = 0 THEN -1 WHEN node % 5 = 0 THEN 0 ELSE 1 END AS value FROM pt),
+t AS (SELECT src AS node, sum(value) AS total FROM nn JOIN s ON s.node = nn.dst GROUP BY 1)
+SELECT node, CASE WHEN total > 0 THEN 1 WHEN total < 0 THEN -1 ELSE 0 END AS value FROM s LEFT JOIN t USING (node)"""
+)
+def nearest_step(spark, sf_dir):
+    """A kernel step over neighbourhoods in space."""
+    edges = neighbours.nearest_graph(customers(spark, sf_dir), 6)
+    at = F.when(F.col("node") % 3 == 0, -1).when(F.col("node") % 5 == 0, 0).otherwise(1)
+    state = neighbours.located(customers(spark, sf_dir)).select("node", at.alias("value"))
+    return values(kernel.kernel_step(stored(edges, "near"), state, KernelParams(deadzone=EPS)))
+
+
 # Files: what loaders read of edge lists and metadata written as CSV, and what sinks write
 
 
@@ -763,6 +831,52 @@ def loaded_metadata(spark, sf_dir):
     return metadata.last_row(metadata.load_metadata(spark, path)).select("node", "flag", F.col("tax").cast("double").alias("tax"))
 
 
+#: Lines in the order of orders, numbered, with blank ends, text for weights and negative weights among them.
+ODD_SQL = f"""odd AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY l_orderkey, {', '.join(ORD)}) - 1 AS seq, CASE WHEN l_discount = 0.07 AND l_linenumber = 3 THEN '' ELSE l_partkey::VARCHAR END AS source, l_suppkey::VARCHAR AS target,
+         CASE WHEN l_tax = 0.04 AND l_linenumber = 2 THEN 'many' WHEN l_tax = 0.02 AND l_linenumber = 5 THEN '-2' WHEN l_tax = 0 THEN '' ELSE l_quantity::VARCHAR END AS weight FROM lineitem),
+kinds AS (SELECT *, CASE WHEN source = '' THEN 'blank endpoint' WHEN weight = 'many' THEN 'weight is not a number' WHEN weight = '-2' THEN 'negative weight' END AS violation FROM odd)"""
+
+
+def odd_csv(spark: SparkSession, sf_dir: str, sep: str = ",") -> str:
+    """Several files with the rows of ODD_SQL in order, each with a header."""
+    lines = table(spark, sf_dir, "lineitem").orderBy("l_orderkey", *ORD)
+    source = F.when((F.col("l_discount") == 0.07) & (F.col("l_linenumber") == 3), "").otherwise(F.col("l_partkey").cast("string"))
+    line = F.col("l_linenumber")
+    weight = F.when((F.col("l_tax") == 0.04) & (line == 2), "many").when((F.col("l_tax") == 0.02) & (line == 5), "-2").when(F.col("l_tax") == 0, "").otherwise(F.col("l_quantity").cast("string"))
+    path = new_path(spark, "odd-csv")
+    rows = lines.select(source.alias("source_id"), F.col("l_suppkey").cast("string").alias("target_id"), weight.alias("weight"), F.lit("a,b;c,d").alias("remark, quoted"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("sep", sep).csv(path)
+    return path
+
+
+@query(f"WITH {ODD_SQL} SELECT violation, count(*) AS n, min(seq) AS seq, min_by(source, seq) AS source, min_by(target, seq) AS target, min_by(weight, seq) AS weight FROM kinds WHERE violation IS NOT NULL GROUP BY 1")
+def first_bad_rows(spark, sf_dir):
+    """The first bad row of each kind by its number over all files, and how many there are."""
+    rows = edge_source.scan_edges(spark, odd_csv(spark, sf_dir), numbered=True)
+    kinds = edge_source.violation_kinds(edge_source.validate_edges(rows, "quarantine")[1])
+    return kinds.select("violation", "n", "first.seq", F.coalesce("first.source", F.lit("")).alias("source"), "first.target", F.col("first.weight_text").alias("weight"))
+
+
+@query(
+    f"""WITH {ODD_SQL}, m AS (
+  SELECT node, min(place) AS place FROM (SELECT source AS node, 2 * seq AS place FROM odd UNION ALL SELECT target, 2 * seq + 1 FROM odd) GROUP BY 1)
+SELECT nullif(node, '') AS node, row_number() OVER (ORDER BY place) - 1 AS node_index FROM m"""
+)
+def loaded_index(spark, sf_dir):
+    """Nodes in the order in which several files mention them."""
+    rows = edge_source.scan_edges(spark, odd_csv(spark, sf_dir), numbered=True)
+    return graph.first_seen_index(rows)
+
+
+@query(f"WITH {ODD_SQL} SELECT source AS src, target AS dst, sum(CASE WHEN weight = '' THEN 1 ELSE weight::DOUBLE END)::DOUBLE AS weight FROM kinds WHERE violation IS NULL GROUP BY 1, 2 HAVING sum(CASE WHEN weight = '' THEN 1 ELSE weight::DOUBLE END) >= 40")
+def sniffed_edges(spark, sf_dir):
+    """A file with bars between quoted fields that hold commas and semicolons; loaded edges of weight 40 or more."""
+    rows = edge_source.edge_violations(edge_source.scan_edges(spark, odd_csv(spark, sf_dir, "|"), numbered=True)).where("violation is null")
+    path = csv(rows.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.col("weight_text").alias("weight")), "good-csv")
+    return edge_source.load_edge_list(spark, path, validate=True, min_weight=40.0)
+
+
 TYPED = """te AS MATERIALIZED (
   SELECT src, dst, channel, sum(l_quantity) AS weight FROM (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {0}) AS dst, l_quantity, l_returnflag AS channel FROM lineitem)

@@ -4,25 +4,46 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import default_weight
+from fluxfield.operators.graph import first_seen_index
+from fluxfield.plans.staging import sized, stored
 
 CANDIDATES = (",", "\t", ";", "|")
+#: What a delimiter is told from: so many characters at the start of a file.
+SAMPLE_CHARS = 4096
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """The first line of a file, or of the first file of a folder."""
-    header = spark.read.text(path).limit(1).collect()
-    return header[0][0] if header else ""
+def first_lines(spark: SparkSession, path: str) -> list[str]:
+    """Whole lines of the first SAMPLE_CHARS characters of a file, or of the first file of a folder."""
+    rows = spark.read.text(path).limit(SAMPLE_CHARS // 2).select(F.substring("value", 1, SAMPLE_CHARS).alias("value")).collect()
+    lines, left = [], SAMPLE_CHARS
+    for r in rows:
+        left -= len(r["value"]) + 1
+        if lines and left < 0:
+            break
+        lines.append(r["value"])
+    return lines
+
+
+def outside_quotes(line: str) -> str:
+    """A line without what stands in double quotes; a doubled quote in them leaves and enters again."""
+    return "".join(line.split('"')[::2])
 
 
 def infer_delimiter(spark: SparkSession, path: str) -> str:
-    """The candidate most frequent in the header row; a comma if none occurs."""
-    line = header_line(spark, path)
-    best = max(CANDIDATES, key=line.count)
-    return best if best in line else ","
+    """The candidate that most of the first lines have equally often outside quotes, of two such the more frequent one;
+    a comma if none occurs. Lines without any other character count for nothing."""
+    lines = [outside_quotes(x) for x in first_lines(spark, path) if x.strip()]
+
+    def score(delimiter: str) -> tuple[int, int]:
+        counts = [x.count(delimiter) for x in lines]
+        return max(((counts.count(n), n) for n in set(counts) if n), default=(0, 0))
+
+    best = max(CANDIDATES, key=score)
+    return best if score(best)[0] else ","
 
 
 def scan_edges(
@@ -34,25 +55,49 @@ def scan_edges(
     delimiter: str | None = None,
     need_weight: bool = False,
     type_col: str | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """A delimited file as (source, target, weight_text[, channel]) of strings.
 
     A missing weight column gives nulls, or a KeyError if it is needed. type_col is a column whose values are channels.
+    numbered: also file, row (from 1 in the file, the header and empty lines not counted) and seq (from 0 over all
+    files by name); the rows are then written once. A quoted field cannot hold a line break, as files are read in parts.
     """
     raw = spark.read.option("header", True).option("escape", '"').option("sep", delimiter or infer_delimiter(spark, path)).csv(path)
     if not raw.columns:
         raise ValueError("no header row")
-    return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col)
+    if not numbered:
+        return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("met")]
+    return number_rows(pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col, place))
+
 
+def number_rows(rows: DataFrame) -> DataFrame:
+    """rows with (file, block, met) numbered: row from 1 in each file and seq from 0 over all files, by name.
 
-def pick_columns(raw: DataFrame, source_col: str = "source_id", target_col: str = "target_id", weight_col: str = "weight", need_weight: bool = False, type_col: str | None = None) -> DataFrame:
-    """Columns of any table as (source, target, weight_text[, channel]); a missing one is a KeyError."""
+    A task reads a part of a file from its start to its end, so rows of one part are in the order in which they were
+    met. Parts are counted, and the rows before each are the sum of the counts before it.
+    """
+    rows = stored(rows, "numbered")
+    parts = rows.groupBy("file", "block").agg(F.count("*").alias("here"), F.min("met").alias("first"))
+    # A row for each part of a file.
+    before = lambda *keys: F.coalesce(F.sum("here").over(Window.partitionBy(*keys).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "block", "first", before("file").alias("_row"), before().alias("_seq"))
+    at = F.col("met") - F.col("first")
+    numbered = rows.join(sized(parts, "parts"), ["file", "block"])
+    return numbered.withColumns({"row": F.col("_row") + at + 1, "seq": F.col("_seq") + at}).drop("block", "met", "first", "_row", "_seq")
+
+
+def pick_columns(
+    raw: DataFrame, source_col: str = "source_id", target_col: str = "target_id", weight_col: str = "weight", need_weight: bool = False, type_col: str | None = None, more: list[Column] | None = None
+) -> DataFrame:
+    """Columns of any table as (source, target, weight_text[, channel]), and more; a missing one is a KeyError."""
     for c in (source_col, target_col, *([weight_col] if need_weight else []), *([type_col] if type_col else [])):
         if c not in raw.columns:
             raise KeyError(c)
     weight = F.col(weight_col).cast("string") if weight_col in raw.columns else F.lit(None).cast("string")
     channel = [F.col(type_col).cast("string").alias("channel")] if type_col else []
-    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"), *channel)
+    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"), *channel, *(more or []))
 
 
 def violation(end_check: bool = True) -> Column:
@@ -74,12 +119,24 @@ def edge_violations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("violation", violation())
 
 
+def violation_kinds(bad: DataFrame) -> DataFrame:
+    """(violation, n, first): how many rows there are of each kind, and one of them as (source, target, weight_text); of
+    numbered rows it is the first, with seq, file and row in front."""
+    place = ["seq", "file", "row"] if "seq" in bad.columns else []
+    return bad.groupBy("violation").agg(F.count("*").alias("n"), F.min(F.struct(*place, "source", "target", "weight_text")).alias("first"))
+
+
 def raise_violations(bad: DataFrame) -> None:
-    """An error that names one row of each kind of violation, with its count; none if there are no bad rows."""
-    example = F.min(F.struct("source", "target", "weight_text")).alias("first")
-    kinds = bad.groupBy("violation").agg(F.count("*").alias("n"), example).orderBy("violation").collect()
-    if kinds:
-        raise ValueError("; ".join(f"{k['violation']}: {k['n']} rows, such as {tuple(k['first'])}" for k in kinds))
+    """An error that names one row of each kind of violation, with its count; none if there are no bad rows. Of numbered
+    rows it is the first one, and the kind that comes first is named first."""
+    numbered, told = "seq" in bad.columns, []
+    kinds = violation_kinds(bad).collect()  # a few kinds
+    for k in sorted(kinds, key=lambda k: k["first"]["seq"] if numbered else k["violation"]):
+        row = k["first"]
+        where = f"first at row {row['row']} of {row['file']}: " if numbered else "such as "
+        told.append(f"{k['violation']}: {k['n']} rows, {where}{(row['source'], row['target'], row['weight_text'])}")
+    if told:
+        raise ValueError("; ".join(told))
 
 
 def validate_edges(rows: DataFrame, mode: str = "raise") -> tuple[DataFrame, DataFrame]:
@@ -118,18 +175,24 @@ def collapse(rows: DataFrame, blank_weight: float | None = 1.0) -> DataFrame:
     return rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"), *channel).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"))
 
 
-def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_weight: float | None = None, blank_weight: float | None = 1.0, **how) -> DataFrame:
-    """Read, check and collapse an edge list.
-
-    Negative weights and text that is no number are errors either way; validation also needs the weight column, both
-    ends, finite weights and at least one row. how: column names, delimiter, type_col of scan_edges.
-    """
-    rows = scan_edges(spark, path, need_weight=validate, **how)
+def checked_rows(spark: SparkSession, path: str, validate: bool = False, **how) -> DataFrame:
+    """Numbered rows of an edge file. Negative weights and text that is no number are errors either way; validation also
+    needs the weight column, both ends, finite weights and at least one row. how: of scan_edges."""
+    rows = scan_edges(spark, path, need_weight=validate, numbered=True, **how)
     if validate:
         validate_edges(rows)
     else:
         kinds = ("weight is not a number", "negative weight")
         raise_violations(rows.withColumn("violation", violation(end_check=False)).where(F.col("violation").isin(*kinds)))
+    return rows
+
+
+def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_weight: float | None = None, blank_weight: float | None = 1.0, **how) -> DataFrame:
+    """Read, check (see checked_rows) and collapse an edge list. how: column names, delimiter, type_col of scan_edges."""
+    return _edges(checked_rows(spark, path, validate, **how), min_weight, blank_weight)
+
+
+def _edges(rows: DataFrame, min_weight: float | None = None, blank_weight: float | None = 1.0) -> DataFrame:
     edges = collapse(rows, blank_weight)
     return edges if min_weight is None else edges.where(F.col("weight") >= min_weight)
 
@@ -137,28 +200,41 @@ def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_w
 @dataclass(frozen=True)
 class Graph:
     """edges (src, dst[, channel], weight); nodes (node); metadata (node, fields), aligned to nodes, and partitions
-    (node, field, label), both None if not asked for."""
+    (node, field, label), both None if not asked for; index (node, node_index) in the order in which the file mentions
+    nodes, if asked for."""
 
     edges: DataFrame
     nodes: DataFrame
     metadata: DataFrame | None = None
     partitions: DataFrame | None = None
+    index: DataFrame | None = None
 
 
 def load_graph(
-    spark: SparkSession, path: str, metadata_path: str | None = None, metadata_id_col: str = "neuron_id", partition_fields: list[str] | None = None, validate: bool = False, **how
+    spark: SparkSession,
+    path: str,
+    metadata_path: str | None = None,
+    metadata_id_col: str = "neuron_id",
+    partition_fields: list[str] | None = None,
+    validate: bool = False,
+    first_seen: bool = False,
+    min_weight: float | None = None,
+    blank_weight: float | None = 1.0,
+    **how,
 ) -> Graph:
     """An edge list, its nodes, their metadata and the fields asked for as partitions, in one call.
 
-    Partitions without metadata are an error; a field that the metadata lacks is a KeyError.
+    first_seen: also the index of nodes by their first mention in the file, a source before its target, over all rows
+    whatever their weight. Partitions without metadata are an error; a field that the metadata lacks is a KeyError.
     """
     from .metadata import align, load_metadata, partition_labels
 
-    edges = load_edge_list(spark, path, validate, **how)
+    rows = checked_rows(spark, path, validate, **how)
+    edges, index = _edges(rows, min_weight, blank_weight), first_seen_index(rows) if first_seen else None
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     if not metadata_path:
         if partition_fields:
             raise ValueError("partitions need metadata")
-        return Graph(edges, nodes)
+        return Graph(edges, nodes, index=index)
     aligned = align(nodes, load_metadata(spark, metadata_path, metadata_id_col, how.get("delimiter")))
-    return Graph(edges, nodes, aligned, partition_labels(aligned, partition_fields) if partition_fields else None)
+    return Graph(edges, nodes, aligned, partition_labels(aligned, partition_fields) if partition_fields else None, index)
