@@ -83,37 +83,46 @@ def stretched(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Byte by byte of all numbers, as the higher ones are mostly zero."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def packed_texts(texts: list[str]) -> bytes:
     data = [t.encode() for t in texts]
-    return squeezed(np.cumsum([len(data), *map(len, data)], dtype=np.int64).tobytes(), *data)
+    return squeezed(len(data).to_bytes(4, "little"), planes(np.fromiter(map(len, data), np.int64, len(data))), *data)
 
 
 def unpacked_texts(data: bytes) -> list[str]:
     data = stretched(data)
-    n = int.from_bytes(data[:8], "little")
-    ends = np.frombuffer(data, np.int64, n + 1) - n
-    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data[8 * (n + 1) :])).to_pylist()
+    n = int.from_bytes(data[:4], "little")
+    ends = np.concatenate([[0], np.cumsum(numbers_of(data[4 : 4 + 4 * n]), dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(data[4 + 4 * n :])).to_pylist()
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
-    """Byte by byte of all numbers, as the higher ones are mostly zero."""
-    return squeezed(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return squeezed(planes(codes))
 
 
 def unpacked_codes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(stretched(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return numbers_of(stretched(data))
 
 
 def packed_ids(ids: list[list[int]]) -> bytes:
-    sizes = np.fromiter(map(len, ids), "<u4", len(ids))
-    values = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
-    return squeezed(len(ids).to_bytes(4, "little"), sizes.tobytes(), values.astype("<u4").tobytes())
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    values = np.fromiter((x for one in ids for x in one), np.int64, int(sizes.sum()))
+    return squeezed(len(ids).to_bytes(4, "little"), planes(sizes), planes(values))
 
 
 def unpacked_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, ids)."""
-    both = np.frombuffer(stretched(data), "<u4")
-    return both[1 : both[0] + 1], both[both[0] + 1 :]
+    data = stretched(data)
+    end = 4 + 4 * int.from_bytes(data[:4], "little")
+    return numbers_of(data[4:end]), numbers_of(data[end:])
 
 
 def _blocks(model_path: str, room: int, buckets: int) -> Callable:
