@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxfield.functions.scalar import sgn_deadzone
-from fluxfield.plans.staging import Rounds, stored
+from fluxfield.plans.staging import BROADCAST_BYTES, Rounds, bucketed, row_bytes, stored
 
 EPS = 0.0
 
@@ -37,42 +37,53 @@ def _keys(state: DataFrame) -> list[str]:
     return [c for c in ("run_id", "channel") if c in state.columns]
 
 
-def neighbour_sums(edges: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """(src, keys, total): weighted sums over out-neighbours. Zero values are left out of the join."""
+def _products(edges: DataFrame, values: DataFrame, keys: list[str], hint: str | None = None) -> DataFrame:
+    """(src, keys, total): a row for each edge to a node with a value other than zero. hint: how to join, if known."""
     on = [F.col("dst") == F.col("_node")]
     shared = [k for k in keys if k in edges.columns]
     some = values.where("value <> 0").select(F.col("node").alias("_node"), F.col("value").alias("_value"), *[F.col(k).alias(f"_{k}") for k in keys])
     on += [F.col(k) == F.col(f"_{k}") for k in shared]
-    joined = edges.join(some, on)
-    return joined.groupBy("src", *[F.col(f"_{k}").alias(k) for k in keys]).agg(F.sum(F.col("weight") * F.col("_value")).alias("total"))
+    joined = edges.join(some.hint(hint) if hint else some, on)
+    return joined.select("src", *[F.col(f"_{k}").alias(k) for k in keys], (F.col("weight") * F.col("_value")).alias("total"))
+
+
+def neighbour_sums(edges: DataFrame, values: DataFrame, keys: list[str], hint: str | None = None) -> DataFrame:
+    """(src, keys, total): weighted sums over out-neighbours. Zero values are left out of the join."""
+    return _products(edges, values, keys, hint).groupBy("src", *keys).agg(F.sum("total").alias("total"))
 
 
-def kernel_step(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams()) -> DataFrame:
+def kernel_step(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams(), hint: str | None = None) -> DataFrame:
     """The state's columns with `value` replaced by the sign of the weighted sum over out-neighbours.
 
     With hops of 2 or more the sums over longer walks are added by repeated joins, without a table of walks; that is
     the sum over k_hop's table as long as no weight is negative. Coupling mixes channels before the sign; with one
-    channel it is ignored.
+    channel it is ignored. A state has a row for each node (and run and channel). Products and the state's own rows are
+    added up in one grouping, so a step of one hop shuffles partial sums once and joins nothing to the state.
     """
     if "value" not in state.columns or "node" not in state.columns:
         raise ValueError("a state has the columns node and value")
     keys = _keys(state)
-    sums = neighbour_sums(edges, state, keys)
-    levels = [sums]
-    for _ in range(params.hops - 1):
-        before = levels[-1].select(F.col("src").alias("node"), *keys, F.col("total").alias("value"))
-        levels.append(neighbour_sums(edges, before, keys))
-    if len(levels) > 1:
-        sums = reduce(DataFrame.unionByName, levels).groupBy("src", *keys).agg(F.sum("total").alias("total"))
-    if params.coupling is not None and "channel" in keys:
+    coupled = params.coupling is not None and "channel" in keys
+    if params.hops <= 1 and not coupled:
+        parts = [_products(edges, state, keys, hint)]
+    else:
+        parts = [neighbour_sums(edges, state, keys, hint)]
+        for _ in range(params.hops - 1):
+            before = parts[-1].select(F.col("src").alias("node"), *keys, F.col("total").alias("value"))
+            parts.append(neighbour_sums(edges, before, keys))
+    if coupled:
+        sums = reduce(DataFrame.unionByName, parts).groupBy("src", *keys).agg(F.sum("total").alias("total"))
         c = params.coupling.select(F.col("c_in").alias("channel"), "c_out", "coef")
-        others = [k for k in keys if k != "channel"]
         # As many rows as pairs of channels.
-        mixed = sums.join(F.broadcast(c), "channel").groupBy("src", *others, F.col("c_out").alias("channel"))
-        sums = mixed.agg(F.sum(F.col("coef") * F.col("total")).alias("total"))
-    joined = state.join(sums.withColumnRenamed("src", "node"), ["node", *keys], "left")
-    value = sgn_deadzone(F.coalesce("total", F.lit(0.0)), _deadzone(params))
-    return joined.withColumn("value", value).select(*state.columns)
+        mixed = sums.join(F.broadcast(c), "channel")
+        parts = [mixed.select("src", *[k for k in keys if k != "channel"], F.col("c_out").alias("channel"), (F.col("coef") * F.col("total")).alias("total"))]
+    more = [c for c in state.columns if c not in ("node", *keys)]
+    own = state.select(F.col("node").alias("src"), *keys, *[F.col(c).alias(f"_{c}") for c in more], F.lit(True).alias("_own"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [own, *parts])
+    # Sums have nulls where the state's row has its columns, and max passes over them.
+    found = rows.groupBy("src", *keys).agg(F.sum("total").alias("total"), *[F.max(f"_{c}").alias(c) for c in more], F.max("_own").alias("_own"))
+    found = found.where("_own").select(F.col("src").alias("node"), *keys, *more, "total")
+    return found.withColumn("value", sgn_deadzone(F.coalesce("total", F.lit(0.0)), _deadzone(params))).select(*state.columns)
 
 
 @dataclass(frozen=True)
@@ -105,6 +116,14 @@ def _add(table: Rounds, state: DataFrame, step: int, runs: list[str], keys: list
     return now, {r["run_id"]: r.asDict() for r in now.groupBy("run_id").agg(*[c.alias(k) for k, c in marks.items()]).collect()}
 
 
+def _staying(edges: DataFrame, keys: list[str], state: DataFrame) -> tuple[DataFrame, str]:
+    """Edges, written so that no step shuffles them, and how states join them: a state that fits, by its rows' weight,
+    is broadcast; a larger one is dealt to the buckets that edges lie in by their targets."""
+    if (state.agg(F.sum(row_bytes(state))).first()[0] or 0) <= BROADCAST_BYTES:
+        return stored(edges, "flow-edges"), "broadcast"
+    return bucketed(edges, ["dst", *[k for k in keys if k in edges.columns]], "flow-edges"), "merge"
+
+
 def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams(), steps: int = 20, cycle_check: bool = True) -> Flow:
     """Iterate kernel_step until nothing changes, a state comes back, or steps have been made.
 
@@ -118,7 +137,8 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     columns, keys, table = state.columns, _keys(state), Rounds(spark, "flow")
     state = state.withColumn("value", F.col("value").cast("tinyint"))
     now, _ = table.add(state.withColumn("prev", F.col("value")), 0)
-    edges = stored(edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns]), "flow-edges")
+    edges = edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns])
+    edges, hint = _staying(edges, keys, now)
     # As many rows as runs.
     first = now.groupBy("run_id").agg(*[c.alias(k) for k, c in _marks(keys).items()]).collect()
     runs = sorted(r["run_id"] for r in first)
@@ -129,7 +149,7 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
             break
         left = now.where(F.col("run_id").isin(*active)) if len(active) < len(runs) else now
         names = sorted(active)
-        now, got = _add(table, kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params), step, names, keys)
+        now, got = _add(table, kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params, hint), step, names, keys)
         parts.append(now)
         for run in names:
             mark, defect = (got[run]["s"], got[run]["x"], got[run]["n"]), got[run]["d"]

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 96 << 20
 #: What a row in a hash table takes besides its values.
 ROW_BYTES = 32
+#: How names of bucketed tables begin; the application's id follows.
+BUCKETED = "fluxfield_"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +40,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _own_tables(spark: SparkSession) -> str:
+    """What the names of this application's bucketed tables begin with."""
+    return BUCKETED + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId.lower()) + "_"
+
+
+def bucketed(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """df written in as many buckets by these columns as shuffles have partitions, so that joins on them shuffle the
+    other side only. A table of the session's catalog with its files in the shared folder; clear_stored drops it."""
+    spark = df.sparkSession
+    table = f"{_own_tables(spark)}{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = new_path(spark, name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def clear_stored(spark: SparkSession) -> bool:
     """Delete all tables that this application has written; frames that still read them are of no use then."""
+    for table in spark.catalog.listTables(pattern=f"{_own_tables(spark)}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -80,10 +99,15 @@ def value_bytes(value: Column, kind: T.DataType) -> Column:
     return F.lit(8 if isinstance(kind, T.NumericType | T.BooleanType | T.DateType | T.TimestampType) else 64).cast("long")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes in a hash table."""
+    return sum((value_bytes(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+
+
 def sized(small: DataFrame, name: str = "side", limit: int = BROADCAST_BYTES) -> DataFrame:
     """small, written, with a join hint: broadcast if its rows, weighed as they are written, take at most limit bytes in
     memory, else a shuffled join."""
-    width = sum((value_bytes(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType) for f in small.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    width = row_bytes(small)
     out, seen = observed(small, name, bytes=F.sum(width))
     return F.broadcast(out) if (seen["bytes"] or 0) <= limit else out.hint("merge")
 

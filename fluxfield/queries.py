@@ -339,6 +339,17 @@ def k_hop_2(spark, sf_dir):
     return graph.k_hop(g(spark, sf_dir, G3), 2)
 
 
+SIGNED = """e2 AS MATERIALIZED (SELECT src, dst, weight - 25 AS weight FROM e),
+k2 AS (SELECT a.src, b.dst, greatest(sum(a.weight * b.weight), 0) AS weight FROM e2 a JOIN e2 b ON a.dst = b.src GROUP BY 1, 2)"""
+
+
+@query(with_sql(g_sql(G3), SIGNED, select="SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e2 UNION ALL SELECT * FROM k2) GROUP BY 1, 2 HAVING sum(weight) <> 0"))
+def k_hop_2_signed(spark, sf_dir):
+    """Walks over weights of both signs, so that negative sums are clipped."""
+    edges = g(spark, sf_dir, G3).withColumn("weight", F.col("weight") - 25)
+    return graph.k_hop(stored(edges, "signed"), 2)
+
+
 @query(with_sql(g_sql(G3), TERNARY, WALKS, select="SELECT n.node, CASE WHEN sum(weight * value) > 1e-9 THEN 1 WHEN sum(weight * value) < -1e-9 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN m ON m.src = n.node LEFT JOIN ts ON ts.node = m.dst GROUP BY n.node"))
 def kernel_step_hops2(spark, sf_dir):
     edges = g(spark, sf_dir, G3)
@@ -877,6 +888,67 @@ def sniffed_edges(spark, sf_dir):
     return edge_source.load_edge_list(spark, path, validate=True, min_weight=40.0)
 
 
+@query(SQL["defect_curve"])
+def written_curve(spark, sf_dir):
+    path = new_path(spark, "curve")
+    sinks.write_curve(flow_of(spark, sf_dir)[2].curve, path, fmt="csv")
+    return spark.read.option("header", True).schema("step int, defect bigint").csv(path)
+
+
+@query(
+    with_sql(
+        g_sql(),
+        flow_sql(),
+        "ix AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS node_index FROM n)",
+        select="SELECT b.step, node_index, b.node AS body_id, a.value AS prev_value, b.value AS new_value FROM f a JOIN f b ON b.node = a.node AND b.step = a.step + 1 JOIN ix ON ix.node = b.node, t WHERE a.value <> b.value AND b.step <= last",
+    )
+)
+def written_defect_nodes(spark, sf_dir):
+    _, start, flow = flow_of(spark, sf_dir)
+    path = new_path(spark, "changes")
+    sinks.write_defect_nodes(flow.changes, jobs.node_index(start), path)
+    return spark.read.parquet(path).select("step", "node_index", "body_id", *[F.col(c).cast("int").alias(c) for c in ("prev_value", "new_value")])
+
+
+@query(SQL["partition_summary"])
+def written_summary(spark, sf_dir):
+    edges, _, flow = flow_of(spark, sf_dir)
+    path = new_path(spark, "summary")
+    sinks.write_partition_summary(report.partition_summary(last(flow), part_labels(spark, sf_dir, edges)), path)
+    return spark.read.parquet(path)
+
+
+@query(SQL["metadata_enrich"])
+def written_metadata(spark, sf_dir):
+    path = new_path(spark, "metadata")
+    sinks.write_metadata(QUERIES["metadata_enrich"](spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@query(with_sql(REGION, select="SELECT label AS roi_label, row_number() OVER (ORDER BY label) - 1 AS roi_index, count(*) AS neuron_count FROM rl GROUP BY label"))
+def written_labels(spark, sf_dir):
+    (edges, meta), out = region_inputs(spark, sf_dir), new_path(spark, "region-run")
+    jobs.region_run(spark, edges, meta, out, use_side=True)
+    return spark.read.parquet(f"{out}/labels")
+
+
+@query(
+    f"""WITH r AS (SELECT l_partkey AS node, CASE WHEN l_tax > 0.03 THEN (l_tax * 100)::BIGINT::VARCHAR WHEN l_tax > 0 THEN 'tax' END AS tax, l_orderkey, {', '.join(ORD)} FROM lineitem)
+SELECT node::VARCHAR AS node, tax, try_cast(tax AS DOUBLE) AS tax_number FROM (SELECT node, last(tax ORDER BY l_orderkey, {', '.join(ORD)}) AS tax FROM r GROUP BY 1)"""
+)
+def metadata_numbers(spark, sf_dir):
+    """A field that spells numbers in some rows, other text in some, and nothing in others."""
+    tax = F.when(F.col("l_tax") > 0.03, F.round(F.col("l_tax") * 100).cast("bigint").cast("string")).when(F.col("l_tax") > 0, "tax")
+    lines = table(spark, sf_dir, "lineitem").orderBy("l_orderkey", *ORD).select(F.col("l_partkey").alias("neuron_id"), tax.alias("tax"))
+    meta = metadata.last_row(metadata.load_metadata(spark, csv(lines, "tax-csv")))
+    return metadata.with_numbers(meta, ["tax"])
+
+
+@query(SQL["edge_validation_summary"])
+def validated_edges(spark, sf_dir):
+    return jobs.validate_job(spark, edge_csv(spark, sf_dir))
+
+
 TYPED = """te AS MATERIALIZED (
   SELECT src, dst, channel, sum(l_quantity) AS weight FROM (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {0}) AS dst, l_quantity, l_returnflag AS channel FROM lineitem)

