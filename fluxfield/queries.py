@@ -1,7 +1,8 @@
 """The registered queries of the graph operators over the driver's tables, each with SQL for the same result.
 
-Graphs are made from `lineitem`: parts that follow one another in an order are linked, with the first one's quantity as
-weight. Narrower filters give sparser graphs; G4 links parts and suppliers both ways.
+Three graphs, each of all rows of its table. Parts that follow one another in an order are linked, with the first one's
+quantity as weight: dense, one component, closed in a step (LINES). Orders are linked to the customer's next one: sparse,
+long and many components (ORDERS; see order_links). Parts and suppliers are linked both ways (g4).
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 ORD = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-G1, G2, G3 = "l_returnflag = 'R' AND l_linestatus = 'F'", "l_quantity >= 46", "true"
-EPS, STEPS = 1e-9, 25
+ORDERS, LINES = "orders", "lines"
+#: More steps than any chain of orders is long.
+EPS, STEPS = 1e-9, 60
 
 
 def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
@@ -41,29 +43,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def succession(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    """(src, dst, quantity) of each line with a next line in its order."""
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, l_quantity) of orders: each leads to its customer's next one. Of every three customers, the first one's
+    last order leads back to the first and on to the third one's first, and the second one's last order to the first
+    one's first: rings that stay, chains that lead to them, and chains that fade from their end."""
+    follow = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    weight = F.floor(F.col("o_totalprice") / 10000) + 1.0
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(follow).alias("dst"), weight.alias("l_quantity"), F.row_number().over(follow).alias("place"))
+    rows = stored(rows, "orders")
+    kind, links = F.col("o_custkey") % 3, rows.where("dst is not null").select("src", "dst", "l_quantity")
+    leads = F.when(kind == 0, F.array(F.col("o_custkey"), F.col("o_custkey") + 2)).when(kind == 1, F.array(F.col("o_custkey") - 1))
+    ends = rows.where("dst is null").select("src", "l_quantity", F.explode(leads).alias("o_custkey"))
+    firsts = rows.where("place = 1").select("o_custkey", F.col("src").alias("dst"))
+    return links.unionByName(ends.join(firsts.hint("merge"), "o_custkey").select("src", "dst", "l_quantity"))
+
+
+def succession(spark: SparkSession, sf_dir: str, which: str = LINES) -> DataFrame:
+    """(src, dst, quantity) of each line with a next line in its order, or of order_links."""
+    if which == ORDERS:
+        return order_links(spark, sf_dir)
     follow = Window.partitionBy("l_orderkey").orderBy(*ORD)
-    lines = table(spark, sf_dir, "lineitem").where(where)
-    rows = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(follow).alias("dst"), "l_quantity", "l_tax", "l_discount")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(follow).alias("dst"), "l_quantity", "l_tax", "l_discount")
     return rows.where("dst is not null")
 
 
-def g(spark: SparkSession, sf_dir: str, where: str = G1) -> DataFrame:
-    rows = succession(spark, sf_dir, where)
+def g(spark: SparkSession, sf_dir: str, which: str = ORDERS) -> DataFrame:
+    rows = succession(spark, sf_dir, which)
     return stored(graph.collapse_edges(rows.select("src", "dst", F.col("l_quantity").alias("weight"))), "graph")
 
 
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity >= 40")
-    pairs = pairs.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     return stored(pairs.union(pairs.select("dst", "src")).withColumn("weight", F.lit(1.0)), "graph")
 
 
-def raw_sql(where: str = G1) -> str:
+ORDERS_SQL = """o AS MATERIALIZED (
+  SELECT o_custkey AS cust, o_orderkey AS src, lead(o_orderkey) OVER k AS dst, floor(o_totalprice / 10000) + 1 AS l_quantity, row_number() OVER k AS place
+  FROM orders WINDOW k AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+raw AS MATERIALIZED (
+  SELECT src, dst, l_quantity FROM o WHERE dst IS NOT NULL
+  UNION ALL
+  SELECT a.src, b.src, a.l_quantity FROM o a JOIN o b ON b.place = 1 AND b.cust = CASE a.cust % 3 WHEN 0 THEN a.cust WHEN 1 THEN a.cust - 1 END WHERE a.dst IS NULL
+  UNION ALL
+  SELECT a.src, b.src, a.l_quantity FROM o a JOIN o b ON b.place = 1 AND b.cust = a.cust + 2 WHERE a.dst IS NULL AND a.cust % 3 = 0),
+e AS MATERIALIZED (SELECT src, dst, sum(l_quantity) AS weight FROM raw GROUP BY src, dst)"""
+
+
+def raw_sql(which: str = ORDERS) -> str:
+    if which == ORDERS:
+        return ORDERS_SQL
     return f"""raw AS MATERIALIZED (
   SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ORD)}) AS dst,
-                        l_quantity, l_tax, l_discount FROM lineitem WHERE {where}) WHERE dst IS NOT NULL),
+                        l_quantity, l_tax, l_discount FROM lineitem) WHERE dst IS NOT NULL),
 e AS MATERIALIZED (SELECT src, dst, sum(l_quantity) AS weight FROM raw GROUP BY src, dst)"""
 
 
@@ -83,8 +114,8 @@ s0 AS MATERIALIZED (
   FROM k LEFT JOIN taken USING (node), tot)"""
 
 
-def g_sql(where: str = G1) -> str:
-    return f"{raw_sql(where)}, {NODES}, {FIELD}"
+def g_sql(which: str = ORDERS) -> str:
+    return f"{raw_sql(which)}, {NODES}, {FIELD}"
 
 
 def flow_sql(steps: int = STEPS, eps: float = EPS, start: str = "s0") -> str:
@@ -110,8 +141,8 @@ def first(edges: DataFrame) -> DataFrame:
     return stored(field.init_field_exact(edges, EPS), "first")
 
 
-def flow_of(spark: SparkSession, sf_dir: str, where: str = G1) -> tuple[DataFrame, DataFrame, kernel.Flow]:
-    edges = g(spark, sf_dir, where)
+def flow_of(spark: SparkSession, sf_dir: str, which: str = ORDERS) -> tuple[DataFrame, DataFrame, kernel.Flow]:
+    edges = g(spark, sf_dir, which)
     start = first(edges)
     return edges, start, kernel.kernel_flow(edges, start, KernelParams(deadzone=EPS), STEPS)
 
@@ -123,30 +154,30 @@ def last(flow: kernel.Flow) -> DataFrame:
 # Edge lists and their checks
 
 
-@query(with_sql(g_sql(G3), select="SELECT * FROM e"))
+@query(with_sql(g_sql(LINES), select="SELECT * FROM e"))
 def edge_list(spark, sf_dir):
-    return g(spark, sf_dir, G3)
+    return g(spark, sf_dir, LINES)
 
 
-@query(with_sql(g_sql(G3), select="SELECT node FROM n"))
+@query(with_sql(g_sql(LINES), select="SELECT node FROM n"))
 def node_set(spark, sf_dir):
-    return graph.nodes_of(g(spark, sf_dir, G3))
+    return graph.nodes_of(g(spark, sf_dir, LINES))
 
 
-@query(with_sql(g_sql(G3), select="SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges"))
+@query(with_sql(g_sql(LINES), select="SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM e) AS n_edges"))
 def graph_size(spark, sf_dir):
-    return graph.graph_size(g(spark, sf_dir, G3))
+    return graph.graph_size(g(spark, sf_dir, LINES))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as a file would have them: blank weights where there is no tax, zeros and negative ones by discount."""
     weight = F.when(F.col("l_tax") == 0, "").when(F.col("l_discount") == 0, "0").when(F.col("l_discount") == 0.1, "-1").otherwise(F.col("l_quantity").cast("string"))
-    return succession(spark, sf_dir, G3).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), weight.alias("weight_text"))
+    return succession(spark, sf_dir, LINES).select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), weight.alias("weight_text"))
 
 
 @query(
     with_sql(
-        g_sql(G3),
+        g_sql(LINES),
         "good AS (SELECT * FROM raw WHERE l_tax = 0 OR l_discount <> 0.1)",
         select="""SELECT count(*) AS n_rows, count(*) FILTER (l_tax <> 0 AND l_discount = 0) AS n_zero, count(*) FILTER (l_tax = 0) AS n_missing,
         (SELECT count(*) FROM (SELECT src FROM good UNION SELECT dst FROM good)) AS n_nodes FROM good""",
@@ -156,13 +187,13 @@ def edge_validation_summary(spark, sf_dir):
     return edge_source.validate_edges(texts(spark, sf_dir), "quarantine")[0]
 
 
-@query(with_sql(g_sql(G3), select="SELECT src::VARCHAR AS source, dst::VARCHAR AS target, 'negative weight' AS violation, count(*) AS n FROM raw WHERE l_tax <> 0 AND l_discount = 0.1 GROUP BY 1, 2"))
+@query(with_sql(g_sql(LINES), select="SELECT src::VARCHAR AS source, dst::VARCHAR AS target, 'negative weight' AS violation, count(*) AS n FROM raw WHERE l_tax <> 0 AND l_discount = 0.1 GROUP BY 1, 2"))
 def edge_violations(spark, sf_dir):
     bad = edge_source.validate_edges(texts(spark, sf_dir), "quarantine")[1]
     return bad.groupBy("source", "target", "violation").agg(F.count("*").alias("n"))
 
 
-@query(with_sql(g_sql(G3), select="SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN 1 WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2"))
+@query(with_sql(g_sql(LINES), select="SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN 1 WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2"))
 def edge_collapse(spark, sf_dir):
     rows = edge_source.edge_violations(texts(spark, sf_dir)).where("violation is null")
     return edge_source.collapse(rows)
@@ -180,33 +211,33 @@ def first_seen_index(spark, sf_dir):
     return graph.first_seen_index(rows)
 
 
-@query(with_sql(g_sql(G3), select="SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
+@query(with_sql(g_sql(LINES), select="SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
 def symmetric_edges(spark, sf_dir):
-    return graph.symmetric(g(spark, sf_dir, G3))
+    return graph.symmetric(g(spark, sf_dir, LINES))
 
 
-@query(with_sql(g_sql(G3), select="SELECT e.* FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_size <= 10 AND b.p_size <= 10"))
+@query(with_sql(g_sql(LINES), select="SELECT e.* FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_size <= 10 AND b.p_size <= 10"))
 def induced_subgraph(spark, sf_dir):
     mask = table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("node"))
-    return graph.induced(g(spark, sf_dir, G3), mask)
+    return graph.induced(g(spark, sf_dir, LINES), mask)
 
 
-@query(with_sql(g_sql(G3), select="SELECT * FROM e WHERE weight >= 30"))
+@query(with_sql(g_sql(LINES), select="SELECT * FROM e WHERE weight >= 30"))
 def edge_threshold(spark, sf_dir):
-    return g(spark, sf_dir, G3).where("weight >= 30")
+    return g(spark, sf_dir, LINES).where("weight >= 30")
 
 
 # Strengths, residuals, first field
 
 
-@query(with_sql(g_sql(G3), select="SELECT node, k_out::DOUBLE AS k_out, k_in::DOUBLE AS k_in FROM k"))
+@query(with_sql(g_sql(LINES), select="SELECT node, k_out::DOUBLE AS k_out, k_in::DOUBLE AS k_in FROM k"))
 def strengths(spark, sf_dir):
-    return graph.strengths(g(spark, sf_dir, G3))
+    return graph.strengths(g(spark, sf_dir, LINES))
 
 
-@query(with_sql(g_sql(G3), select="SELECT node, (k_out + k_in)::DOUBLE AS strength FROM k"))
+@query(with_sql(g_sql(LINES), select="SELECT node, (k_out + k_in)::DOUBLE AS strength FROM k"))
 def total_strength(spark, sf_dir):
-    return graph.total_strength(g(spark, sf_dir, G3))
+    return graph.total_strength(g(spark, sf_dir, LINES))
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -216,19 +247,19 @@ def rounded(df: DataFrame) -> DataFrame:
 ROUNDED = "SELECT src, dst, weight, round(expected, 6) AS expected, round(residual, 6) AS residual FROM x"
 
 
-@query(with_sql(g_sql(G3), select=ROUNDED))
+@query(with_sql(g_sql(LINES), select=ROUNDED))
 def sparse_dc_residual(spark, sf_dir):
-    return rounded(baseline.sparse_residual(g(spark, sf_dir, G3)))
+    return rounded(baseline.sparse_residual(g(spark, sf_dir, LINES)))
 
 
-@query(with_sql(g_sql(G3), select=ROUNDED))
+@query(with_sql(g_sql(LINES), select=ROUNDED))
 def dense_dc_residual(spark, sf_dir):
-    return rounded(baseline.residuals(g(spark, sf_dir, G3), "dense_dc"))
+    return rounded(baseline.residuals(g(spark, sf_dir, LINES), "dense_dc"))
 
 
-@query(with_sql(g_sql(G3), select="SELECT src, dst, weight, (a.p_size + b.p_size)::DOUBLE AS expected, weight - (a.p_size + b.p_size) AS residual FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst"))
+@query(with_sql(g_sql(LINES), select="SELECT src, dst, weight, (a.p_size + b.p_size)::DOUBLE AS expected, weight - (a.p_size + b.p_size) AS residual FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst"))
 def custom_expectation_residual(spark, sf_dir):
-    edges, part = g(spark, sf_dir, G3), table(spark, sf_dir, "part")
+    edges, part = g(spark, sf_dir, LINES), table(spark, sf_dir, "part")
     a, b = (part.select(F.col("p_partkey").alias(c), F.col("p_size").alias(f"_{c}")) for c in ("src", "dst"))
     given = edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("_src") + F.col("_dst")).alias("expected"))
     return baseline.residual_against(edges, given)
@@ -237,25 +268,25 @@ def custom_expectation_residual(spark, sf_dir):
 BALANCE = "count(*) FILTER ({0} > 1e-9) AS positive, count(*) FILTER (abs({0}) <= 1e-9) AS zero, count(*) FILTER ({0} < -1e-9) AS negative"
 
 
-@query(with_sql(g_sql(G3), select=f"SELECT {BALANCE.format('residual')} FROM x"))
+@query(with_sql(g_sql(LINES), select=f"SELECT {BALANCE.format('residual')} FROM x"))
 def residual_balance(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return baseline.sign_balance(baseline.sparse_residual(edges), EPS, edges)
 
 
-@query(with_sql(g_sql(G3), select=f"SELECT {BALANCE.format('weight')} FROM e"))
+@query(with_sql(g_sql(LINES), select=f"SELECT {BALANCE.format('weight')} FROM e"))
 def raw_balance(spark, sf_dir):
-    return baseline.sign_balance(baseline.residuals(g(spark, sf_dir, G3), "raw"), EPS)
+    return baseline.sign_balance(baseline.residuals(g(spark, sf_dir, LINES), "raw"), EPS)
 
 
-@query(with_sql(g_sql(G3), select="SELECT node, value FROM s0"))
+@query(with_sql(g_sql(LINES), select="SELECT node, value FROM s0"))
 def init_field(spark, sf_dir):
-    return values(field.init_field_exact(g(spark, sf_dir, G3), EPS))
+    return values(field.init_field_exact(g(spark, sf_dir, LINES), EPS))
 
 
-@query(with_sql(g_sql(G3), "w AS (SELECT src AS node, sum(residual) AS total FROM x GROUP BY 1)", select="SELECT node, CASE WHEN total > 1e-6 THEN 1 WHEN total < -1e-6 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN w USING (node)"))
+@query(with_sql(g_sql(LINES), "w AS (SELECT src AS node, sum(residual) AS total FROM x GROUP BY 1)", select="SELECT node, CASE WHEN total > 1e-6 THEN 1 WHEN total < -1e-6 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN w USING (node)"))
 def init_field_from_residual(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return values(field.init_field(baseline.sparse_residual(edges), graph.nodes_of(edges), 1e-6))
 
 
@@ -270,15 +301,15 @@ def ternary(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     return graph.nodes_of(edges).join(part, "node")
 
 
-@query(with_sql(g_sql(G3), TERNARY, flow_sql(1, start="ts"), select="SELECT node, value FROM f WHERE step = 1"))
+@query(with_sql(g_sql(LINES), TERNARY, flow_sql(1, start="ts"), select="SELECT node, value FROM f WHERE step = 1"))
 def kernel_step_1(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return values(kernel.kernel_step(edges, ternary(spark, sf_dir, edges), KernelParams(deadzone=EPS)))
 
 
-@query(with_sql(g_sql(G3), TERNARY, flow_sql(3, start="ts"), select="SELECT node, value FROM f WHERE step = 3"))
+@query(with_sql(g_sql(LINES), TERNARY, flow_sql(3, start="ts"), select="SELECT node, value FROM f WHERE step = 3"))
 def kernel_step_3(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     state = ternary(spark, sf_dir, edges)
     for _ in range(3):
         state = stored(kernel.kernel_step(edges, state, KernelParams(deadzone=EPS)), "step")
@@ -306,13 +337,13 @@ def flow_status(spark, sf_dir):
     return flow_of(spark, sf_dir)[2].status.drop("run_id")
 
 
-@query(with_sql(g_sql(), TERNARY, flow_sql(5, start="ts"), select="SELECT node, value FROM f WHERE step = 5"))
+@query(with_sql(g_sql(LINES), TERNARY, flow_sql(5, start="ts"), select="SELECT node, value FROM f WHERE step = 5"))
 def kernel_flow_ternary(spark, sf_dir):
-    edges = g(spark, sf_dir)
+    edges = g(spark, sf_dir, LINES)
     return values(last(kernel.kernel_flow(edges, ternary(spark, sf_dir, edges), KernelParams(deadzone=EPS), 5)))
 
 
-G4_SQL = """p AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 40),
+G4_SQL = """p AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
 e AS (SELECT src, dst, 1.0 AS weight FROM p UNION ALL SELECT dst, src, 1.0 FROM p),
 s0 AS (SELECT DISTINCT src AS node, CASE WHEN src LIKE 'p%' THEN 1 ELSE -1 END AS value FROM e)"""
 
@@ -334,25 +365,25 @@ def kernel_flow_cycle(spark, sf_dir):
 WALKS = "k2 AS (SELECT a.src, b.dst, sum(a.weight * b.weight) AS weight FROM e a JOIN e b ON a.dst = b.src GROUP BY 1, 2), m AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT * FROM k2) GROUP BY 1, 2 HAVING sum(weight) <> 0)"
 
 
-@query(with_sql(g_sql(G3), WALKS, select="SELECT src, dst, weight FROM m"))
+@query(with_sql(g_sql(LINES), WALKS, select="SELECT src, dst, weight FROM m"))
 def k_hop_2(spark, sf_dir):
-    return graph.k_hop(g(spark, sf_dir, G3), 2)
+    return graph.k_hop(g(spark, sf_dir, LINES), 2)
 
 
 SIGNED = """e2 AS MATERIALIZED (SELECT src, dst, weight - 25 AS weight FROM e),
 k2 AS (SELECT a.src, b.dst, greatest(sum(a.weight * b.weight), 0) AS weight FROM e2 a JOIN e2 b ON a.dst = b.src GROUP BY 1, 2)"""
 
 
-@query(with_sql(g_sql(G3), SIGNED, select="SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e2 UNION ALL SELECT * FROM k2) GROUP BY 1, 2 HAVING sum(weight) <> 0"))
+@query(with_sql(g_sql(LINES), SIGNED, select="SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM e2 UNION ALL SELECT * FROM k2) GROUP BY 1, 2 HAVING sum(weight) <> 0"))
 def k_hop_2_signed(spark, sf_dir):
     """Walks over weights of both signs, so that negative sums are clipped."""
-    edges = g(spark, sf_dir, G3).withColumn("weight", F.col("weight") - 25)
+    edges = g(spark, sf_dir, LINES).withColumn("weight", F.col("weight") - 25)
     return graph.k_hop(stored(edges, "signed"), 2)
 
 
-@query(with_sql(g_sql(G3), TERNARY, WALKS, select="SELECT n.node, CASE WHEN sum(weight * value) > 1e-9 THEN 1 WHEN sum(weight * value) < -1e-9 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN m ON m.src = n.node LEFT JOIN ts ON ts.node = m.dst GROUP BY n.node"))
+@query(with_sql(g_sql(LINES), TERNARY, WALKS, select="SELECT n.node, CASE WHEN sum(weight * value) > 1e-9 THEN 1 WHEN sum(weight * value) < -1e-9 THEN -1 ELSE 0 END AS value FROM n LEFT JOIN m ON m.src = n.node LEFT JOIN ts ON ts.node = m.dst GROUP BY n.node"))
 def kernel_step_hops2(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return values(kernel.kernel_step(edges, ternary(spark, sf_dir, edges), KernelParams(2, None, EPS)))
 
 
@@ -366,9 +397,9 @@ def channels(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     return stored(graph.nodes_of(edges).join(state.hint("merge"), "node"), "channels")
 
 
-@query(with_sql(g_sql(G3), CHANNELS, select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN a USING (node, channel)"))
+@query(with_sql(g_sql(LINES), CHANNELS, select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN a USING (node, channel)"))
 def multichannel_step(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return values(kernel.kernel_step(edges, channels(spark, sf_dir, edges), KernelParams(deadzone=EPS)), "channel")
 
 
@@ -377,14 +408,14 @@ COUPLING = [(0, 1, 1.0), (1, 0, 1.0), (1, 2, -0.5), (2, 2, 1.0), (2, 0, 0.25)]
 
 @query(
     with_sql(
-        g_sql(G3),
+        g_sql(LINES),
         CHANNELS,
         f"m(c_out, c_in, coef) AS (VALUES {', '.join(map(str, COUPLING))}), b AS (SELECT node, c_out AS channel, sum(coef * total) AS total FROM a JOIN m ON c_in = channel GROUP BY 1, 2)",
         select="SELECT node, channel, CASE WHEN total > 1e-9 THEN 1 WHEN total < -1e-9 THEN -1 ELSE 0 END AS value FROM cs LEFT JOIN b USING (node, channel)",
     )
 )
 def coupled_step(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     coupling = spark.createDataFrame(COUPLING, "c_out int, c_in int, coef double")
     return values(kernel.kernel_step(edges, channels(spark, sf_dir, edges), KernelParams(1, coupling, EPS)), "channel")
 
@@ -409,19 +440,19 @@ comp AS (SELECT node, min(root) AS component FROM q GROUP BY node)"""
 POSITIVE = "WHERE src IN (SELECT node FROM z WHERE value = 1) AND dst IN (SELECT node FROM z WHERE value = 1)"
 
 
-@query(with_sql(g_sql(G2), REACH.format("", "n"), select="SELECT component, count(*) AS size FROM comp GROUP BY 1"))
+@query(with_sql(g_sql(ORDERS), REACH.format("", "n"), select="SELECT component, count(*) AS size FROM comp GROUP BY 1"))
 def component_sizes(spark, sf_dir):
-    edges = g(spark, sf_dir, G2)
+    edges = g(spark, sf_dir, ORDERS)
     return distances.component_sizes(edges, graph.nodes_of(edges))
 
 
 def closed_positive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, _, flow = flow_of(spark, sf_dir, G2)
+    edges, _, flow = flow_of(spark, sf_dir, ORDERS)
     state = stored(last(flow), "closed")
     return edges, state, state.where("value = 1").select("node")
 
 
-@query(with_sql(g_sql(G2), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), select="SELECT count(DISTINCT component) AS n_components, coalesce(max(c), 0)::BIGINT AS largest FROM (SELECT component, count(*) OVER (PARTITION BY component) AS c FROM comp)"))
+@query(with_sql(g_sql(ORDERS), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), select="SELECT count(DISTINCT component) AS n_components, coalesce(max(c), 0)::BIGINT AS largest FROM (SELECT component, count(*) OVER (PARTITION BY component) AS c FROM comp)"))
 def pos_components(spark, sf_dir):
     edges, _, mask = closed_positive(spark, sf_dir)
     return distances.component_counts(edges, mask)
@@ -431,7 +462,7 @@ BFS = """a AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 b(node, component, distance) AS (
   SELECT node, component, 0 FROM comp
   UNION ALL
-  SELECT a.dst, min(b.component), min(b.distance) + 1 FROM b JOIN a ON a.src = b.node WHERE b.distance < (SELECT count(*) FROM n) GROUP BY a.dst),
+  SELECT a.dst, min(b.component), min(b.distance) + 1 FROM b JOIN a ON a.src = b.node WHERE b.distance < 200 GROUP BY a.dst),
 d1 AS (SELECT node, min(distance) AS distance FROM b GROUP BY node),
 d AS (SELECT node, distance, min(component) AS component FROM b JOIN d1 USING (node, distance) GROUP BY 1, 2),
 zero AS (SELECT node FROM z WHERE value = 0)"""
@@ -445,7 +476,7 @@ def reached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def bfs_sql(select: str) -> str:
-    return with_sql(g_sql(G2), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), BFS, select=select)
+    return with_sql(g_sql(ORDERS), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), BFS, select=select)
 
 
 @query(bfs_sql("SELECT distance, count(*) AS n FROM zero LEFT JOIN d USING (node) GROUP BY 1"))
@@ -481,6 +512,14 @@ def part_labels(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame
 
 
 LABELS = "lab AS (SELECT node, 'p_brand' AS field, p_brand AS label FROM n JOIN part ON p_partkey = node UNION ALL SELECT node, 'p_type', p_type FROM n JOIN part ON p_partkey = node)"
+ORDER_LABELS = "lab AS (SELECT o_orderkey AS node, unnest(['o_orderstatus', 'o_orderpriority']) AS field, unnest([o_orderstatus, o_orderpriority]) AS label FROM orders WHERE o_orderkey IN (SELECT node FROM n))"
+
+
+def order_labels(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    meta = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderstatus", "o_orderpriority", F.lit(0).alias("row_order"))
+    return metadata.partition_labels(metadata.align(graph.nodes_of(edges), meta), ["o_orderstatus", "o_orderpriority"])
+
+
 SUMMARY = """ps AS (
   SELECT field, label, count(*) AS n, count(*) FILTER (value = 1) AS positive, count(*) FILTER (value = 0) AS zero, count(*) FILTER (value = -1) AS negative
   FROM z JOIN lab USING (node) WHERE label IS NOT NULL GROUP BY 1, 2),
@@ -489,21 +528,21 @@ pe AS (
                     + coalesce(negative / n * log2(nullif(negative, 0) / n), 0)), 6) + 0.0 AS entropy, round(greatest(positive, zero, negative) / n, 6) AS purity FROM ps)"""
 
 
-@query(with_sql(g_sql(G3), LABELS, select="SELECT field, label, count(*) AS n FROM lab GROUP BY 1, 2"))
+@query(with_sql(g_sql(LINES), LABELS, select="SELECT field, label, count(*) AS n FROM lab GROUP BY 1, 2"))
 def label_counts(spark, sf_dir):
-    return report.label_counts(part_labels(spark, sf_dir, g(spark, sf_dir, G3)))
+    return report.label_counts(part_labels(spark, sf_dir, g(spark, sf_dir, LINES)))
 
 
-@query(with_sql(g_sql(), flow_sql(), LABELS, SUMMARY, select="SELECT * FROM pe"))
+@query(with_sql(g_sql(), flow_sql(), ORDER_LABELS, SUMMARY, select="SELECT * FROM pe"))
 def partition_summary(spark, sf_dir):
     edges, _, flow = flow_of(spark, sf_dir)
-    return report.partition_summary(last(flow), part_labels(spark, sf_dir, edges))
+    return report.partition_summary(last(flow), order_labels(spark, sf_dir, edges))
 
 
-@query(with_sql(g_sql(), flow_sql(), LABELS, SUMMARY, select="SELECT field, label, purity FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY purity DESC, label) AS r FROM pe) WHERE r = 1"))
+@query(with_sql(g_sql(), flow_sql(), ORDER_LABELS, SUMMARY, select="SELECT field, label, purity FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY purity DESC, label) AS r FROM pe) WHERE r = 1"))
 def top_purity(spark, sf_dir):
     edges, _, flow = flow_of(spark, sf_dir)
-    return report.top_purity(report.partition_summary(last(flow), part_labels(spark, sf_dir, edges)))
+    return report.top_purity(report.partition_summary(last(flow), order_labels(spark, sf_dir, edges)))
 
 
 # Blocks
@@ -517,31 +556,31 @@ DEGREE = "rb AS (SELECT node, (row_number() OVER (ORDER BY k_out + k_in, node) -
 COARSE = "ce AS (SELECT a.block_id AS src, b.block_id AS dst, sum(weight) AS weight FROM e JOIN rb a ON a.node = src JOIN rb b ON b.node = dst GROUP BY 1, 2 HAVING sum(weight) <> 0)"
 
 
-@query(with_sql(g_sql(G3), random_sql(50, 0), select="SELECT * FROM rb"))
+@query(with_sql(g_sql(LINES), random_sql(50, 0), select="SELECT * FROM rb"))
 def random_blocks(spark, sf_dir):
-    return blocks.random_blocks(graph.nodes_of(g(spark, sf_dir, G3)), 50, 0)
+    return blocks.random_blocks(graph.nodes_of(g(spark, sf_dir, LINES)), 50, 0)
 
 
-@query(with_sql(g_sql(G3), random_sql(50, 0), COARSE, select="SELECT * FROM ce"))
+@query(with_sql(g_sql(LINES), random_sql(50, 0), COARSE, select="SELECT * FROM ce"))
 def random_block_edges(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return blocks.block_edges(edges, blocks.random_blocks(graph.nodes_of(edges), 50, 0))
 
 
-@query(with_sql(g_sql(G3), DEGREE, select="SELECT * FROM rb"))
+@query(with_sql(g_sql(LINES), DEGREE, select="SELECT * FROM rb"))
 def degree_blocks(spark, sf_dir):
-    return blocks.degree_blocks(g(spark, sf_dir, G3), 50)
+    return blocks.degree_blocks(g(spark, sf_dir, LINES), 50)
 
 
-@query(with_sql(g_sql(G3), DEGREE, COARSE, select="SELECT * FROM ce"))
+@query(with_sql(g_sql(LINES), DEGREE, COARSE, select="SELECT * FROM ce"))
 def degree_block_edges(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     return blocks.block_edges(edges, blocks.degree_blocks(edges, 50))
 
 
-@query(with_sql(g_sql(G3), random_sql(50, 0), COARSE, select="SELECT (SELECT count(DISTINCT block_id) FROM rb) AS n_blocks, (SELECT count(*) / count(DISTINCT block_id) FROM rb) AS mean_size, (SELECT count(*) FROM ce) AS n_edges"))
+@query(with_sql(g_sql(LINES), random_sql(50, 0), COARSE, select="SELECT (SELECT count(DISTINCT block_id) FROM rb) AS n_blocks, (SELECT count(*) / count(DISTINCT block_id) FROM rb) AS mean_size, (SELECT count(*) FROM ce) AS n_edges"))
 def block_summary(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     own = stored(blocks.random_blocks(graph.nodes_of(edges), 50, 0), "blocks")
     return blocks.block_summary(own, blocks.block_edges(edges, own))
 
@@ -561,19 +600,19 @@ rb AS (SELECT node, owner AS block_id FROM (SELECT unnest(o) AS owner, unnest(ra
 ONE, TWO = "one", "list_concat(one, list_filter(flatten(list_transform(one, lambda q: near[q])), lambda q: o[q] = -1))"
 
 
-@query(with_sql(g_sql(G2), RADIUS.format(ONE), select="SELECT * FROM rb"))
+@query(with_sql(g_sql(ORDERS), RADIUS.format(ONE), select="SELECT * FROM rb"))
 def radius_blocks_r1(spark, sf_dir):
-    return blocks.radius_blocks(g(spark, sf_dir, G2), 1)
+    return blocks.radius_blocks(g(spark, sf_dir, ORDERS), 1)
 
 
-@query(with_sql(g_sql(G2), RADIUS.format(TWO), select="SELECT * FROM rb"))
+@query(with_sql(g_sql(ORDERS), RADIUS.format(TWO), select="SELECT * FROM rb"))
 def radius_blocks_r2(spark, sf_dir):
-    return blocks.radius_blocks(g(spark, sf_dir, G2), 2)
+    return blocks.radius_blocks(g(spark, sf_dir, ORDERS), 2)
 
 
-@query(with_sql(g_sql(G2), RADIUS.format(ONE), COARSE, select="SELECT * FROM ce"))
+@query(with_sql(g_sql(ORDERS), RADIUS.format(ONE), COARSE, select="SELECT * FROM ce"))
 def radius_block_edges(spark, sf_dir):
-    edges = g(spark, sf_dir, G2)
+    edges = g(spark, sf_dir, ORDERS)
     return blocks.block_edges(edges, blocks.radius_blocks(edges, 1))
 
 
@@ -603,9 +642,9 @@ def region_map(spark, sf_dir):
 LABEL_EDGES = "SELECT coalesce(a.label, 'unknown') AS src, coalesce(b.label, 'unknown') AS dst, sum(weight) AS weight FROM e LEFT JOIN rl a ON a.node = e.src LEFT JOIN rl b ON b.node = e.dst {0} GROUP BY 1, 2"
 
 
-@query(with_sql(g_sql(G3), REGION, select=LABEL_EDGES.format("")))
+@query(with_sql(g_sql(LINES), REGION, select=LABEL_EDGES.format("")))
 def region_edges(spark, sf_dir):
-    return blocks.label_edges(g(spark, sf_dir, G3), regions(spark, sf_dir))
+    return blocks.label_edges(g(spark, sf_dir, LINES), regions(spark, sf_dir))
 
 
 @query(with_sql(REGION, select="SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_index, count(*) AS n_members FROM rl GROUP BY label"))
@@ -628,9 +667,9 @@ def voxel_map(spark, sf_dir):
     return voxels(spark, sf_dir).select("node", "label")
 
 
-@query(with_sql(g_sql(G3), VOXEL, select=LABEL_EDGES.format("WHERE coalesce(a.label, 'unknown') <> 'unknown' AND coalesce(b.label, 'unknown') <> 'unknown'")))
+@query(with_sql(g_sql(LINES), VOXEL, select=LABEL_EDGES.format("WHERE coalesce(a.label, 'unknown') <> 'unknown' AND coalesce(b.label, 'unknown') <> 'unknown'")))
 def voxel_edges(spark, sf_dir):
-    return blocks.label_edges(g(spark, sf_dir, G3), voxels(spark, sf_dir), drop_unknown=True)
+    return blocks.label_edges(g(spark, sf_dir, LINES), voxels(spark, sf_dir), drop_unknown=True)
 
 
 @query(with_sql(VOXEL, select="SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_index, count(*) AS n_members FROM rl GROUP BY label"))
@@ -641,9 +680,9 @@ def voxel_table(spark, sf_dir):
 # Coarse fields, sweeps, enrichment
 
 
-@query(with_sql(g_sql(G3), TERNARY, random_sql(50, 0), select="SELECT block_id, CASE WHEN sum(value) > 0 THEN 1 WHEN sum(value) < 0 THEN -1 ELSE 0 END AS value FROM ts JOIN rb USING (node) GROUP BY 1"))
+@query(with_sql(g_sql(LINES), TERNARY, random_sql(50, 0), select="SELECT block_id, CASE WHEN sum(value) > 0 THEN 1 WHEN sum(value) < 0 THEN -1 ELSE 0 END AS value FROM ts JOIN rb USING (node) GROUP BY 1"))
 def field_coarse(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     coarse = field.coarse_field(ternary(spark, sf_dir, edges), blocks.random_blocks(graph.nodes_of(edges), 50, 0))
     return coarse.select("block_id", F.col("value").cast("int").alias("value"))
 
@@ -653,7 +692,7 @@ SIGN = "CASE WHEN sum({0}) > 0 THEN 1 WHEN sum({0}) < 0 THEN -1 ELSE 0 END"
 
 @query(
     with_sql(
-        g_sql(G3),
+        g_sql(LINES),
         TERNARY,
         random_sql(20, 0),
         COARSE,
@@ -665,7 +704,7 @@ SIGN = "CASE WHEN sum({0}) > 0 THEN 1 WHEN sum({0}) < 0 THEN -1 ELSE 0 END"
     )
 )
 def commutation_defect(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     own = stored(blocks.random_blocks(graph.nodes_of(edges), 20, 0), "blocks")
     return jobs.commutation_defect(edges, ternary(spark, sf_dir, edges), own)
 
@@ -734,14 +773,14 @@ def metadata_align(spark, sf_dir):
 
 @query(
     with_sql(
-        g_sql(G3),
+        g_sql(LINES),
         "d AS (SELECT node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(k_out, 0)::DOUBLE AS k_out FROM n LEFT JOIN (SELECT src AS node, count(*) AS n_out, sum(weight) AS k_out FROM e GROUP BY 1) USING (node) LEFT JOIN (SELECT dst AS node, count(*) AS n_in FROM e GROUP BY 1) USING (node))",
         select="SELECT run_id, d.* FROM d, (SELECT unnest(['null-0', 'null-1']) AS run_id)",
     )
 )
 def null_model_degrees(spark, sf_dir):
     """What two null models of the whole graph keep: edges out and in of every node, none twice, and its out-strength."""
-    edges = nulls.rewired(g(spark, sf_dir, G3), 4, 7, 2).edges.groupBy("run_id", "src", "dst").agg(F.max("weight").alias("weight"))
+    edges = nulls.rewired(g(spark, sf_dir, LINES), 4, 7, 2).edges.groupBy("run_id", "src", "dst").agg(F.max("weight").alias("weight"))
     out = edges.groupBy("run_id", F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.sum("weight").alias("k_out"))
     into = edges.groupBy("run_id", F.col("dst").alias("node")).agg(F.count("*").alias("n_in"))
     joined = out.join(into.hint("merge"), ["run_id", "node"], "full")
@@ -815,17 +854,17 @@ def edge_csv(spark: SparkSession, sf_dir: str) -> str:
 LOADED = "l AS (SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(CASE WHEN l_tax = 0 THEN {0} WHEN l_discount = 0 THEN 0 ELSE l_quantity END)::DOUBLE AS weight FROM raw WHERE l_tax = 0 OR l_discount <> 0.1 GROUP BY 1, 2)"
 
 
-@query(with_sql(g_sql(G3), LOADED.format("1"), select="SELECT * FROM l"))
+@query(with_sql(g_sql(LINES), LOADED.format("1"), select="SELECT * FROM l"))
 def loaded_edges(spark, sf_dir):
     return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), validate=True)
 
 
-@query(with_sql(g_sql(G3), LOADED.format("NULL"), select="SELECT src, dst, coalesce(weight, 0) AS weight FROM l"))
+@query(with_sql(g_sql(LINES), LOADED.format("NULL"), select="SELECT src, dst, coalesce(weight, 0) AS weight FROM l"))
 def loaded_edges_without_blanks(spark, sf_dir):
     return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), blank_weight=None)
 
 
-@query(with_sql(g_sql(G3), LOADED.format("1"), select="SELECT node, field, label FROM (SELECT src AS node FROM l UNION SELECT dst FROM l) JOIN (SELECT p_partkey::VARCHAR AS node, p_brand, p_type FROM part) USING (node) UNPIVOT (label FOR field IN (p_brand, p_type))"))
+@query(with_sql(g_sql(LINES), LOADED.format("1"), select="SELECT node, field, label FROM (SELECT src AS node FROM l UNION SELECT dst FROM l) JOIN (SELECT p_partkey::VARCHAR AS node, p_brand, p_type FROM part) USING (node) UNPIVOT (label FOR field IN (p_brand, p_type))"))
 def loaded_partitions(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("neuron_id"), "p_brand", "p_type", "p_size")
     return edge_source.load_graph(spark, edge_csv(spark, sf_dir), csv(part, "meta-csv"), partition_fields=["p_brand", "p_type"]).partitions
@@ -914,7 +953,7 @@ def written_defect_nodes(spark, sf_dir):
 def written_summary(spark, sf_dir):
     edges, _, flow = flow_of(spark, sf_dir)
     path = new_path(spark, "summary")
-    sinks.write_partition_summary(report.partition_summary(last(flow), part_labels(spark, sf_dir, edges)), path)
+    sinks.write_partition_summary(report.partition_summary(last(flow), order_labels(spark, sf_dir, edges)), path)
     return spark.read.parquet(path)
 
 
@@ -980,9 +1019,9 @@ def written_state(spark, sf_dir):
     return spark.read.parquet(path).withColumn("value", F.col("value").cast("int"))
 
 
-@query(with_sql(g_sql(G3), random_sql(50, 0), select="SELECT row_number() OVER (ORDER BY node) - 1 AS node_index, node AS body_id, block_id FROM rb"))
+@query(with_sql(g_sql(LINES), random_sql(50, 0), select="SELECT row_number() OVER (ORDER BY node) - 1 AS node_index, node AS body_id, block_id FROM rb"))
 def written_blocks(spark, sf_dir):
-    edges, path = g(spark, sf_dir, G3), new_path(spark, "blocks-run")
+    edges, path = g(spark, sf_dir, LINES), new_path(spark, "blocks-run")
     jobs.block_run(edges, stored(blocks.random_blocks(graph.nodes_of(edges), 50, 0), "blocks"), path)
     return spark.read.parquet(f"{path}/blocks")
 
@@ -995,7 +1034,7 @@ def region_inputs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 REGION_RUN = "SELECT coalesce(a.label, 'unknown') AS source_id, coalesce(b.label, 'unknown') AS target_id, sum(coalesce(weight, 0)) AS weight FROM l LEFT JOIN rl a ON a.node::VARCHAR = l.src LEFT JOIN rl b ON b.node::VARCHAR = l.dst GROUP BY 1, 2"
 
 
-@query(with_sql(g_sql(G3), LOADED.format("NULL"), REGION, select=REGION_RUN))
+@query(with_sql(g_sql(LINES), LOADED.format("NULL"), REGION, select=REGION_RUN))
 def region_run(spark, sf_dir):
     (edges, meta), out = region_inputs(spark, sf_dir), new_path(spark, "region-run")
     jobs.region_run(spark, edges, meta, out, use_side=True)
@@ -1026,7 +1065,7 @@ def run_report(spark, sf_dir):
 
 
 def geometry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges, _, flow = flow_of(spark, sf_dir, G2)
+    edges, _, flow = flow_of(spark, sf_dir, ORDERS)
     return jobs.geometry_report(edges, stored(last(flow), "closed"), flow.changes)
 
 
@@ -1034,7 +1073,7 @@ DEFECTS = "dn AS (SELECT DISTINCT b.node FROM f a JOIN f b ON b.node = a.node AN
 
 
 def geometry_sql(select: str) -> str:
-    return with_sql(g_sql(G2), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), BFS, DEFECTS, select=select)
+    return with_sql(g_sql(ORDERS), flow_sql(), REACH.format(POSITIVE, "(SELECT node FROM z WHERE value = 1)"), BFS, DEFECTS, select=select)
 
 
 def attached(nodes: str, more: str = "") -> str:
@@ -1063,14 +1102,14 @@ def geometry_report(spark, sf_dir):
     return row.select(F.col("graph.nodes").alias("nodes"), F.col("components.count").alias("n_components"), *told)
 
 
-@query(with_sql(g_sql(G3), select="SELECT * FROM e WHERE ('0x' || substr(md5('7:' || src || ':' || dst), 1, 8))::BIGINT < 1073741824"))
+@query(with_sql(g_sql(LINES), select="SELECT * FROM e WHERE ('0x' || substr(md5('7:' || src || ':' || dst), 1, 8))::BIGINT < 1073741824"))
 def perturbed_edges(spark, sf_dir):
-    return jobs.subsampled(g(spark, sf_dir, G3), 0.25, 7)
+    return jobs.subsampled(g(spark, sf_dir, LINES), 0.25, 7)
 
 
-@query(with_sql(g_sql(G3), TERNARY, "a AS (SELECT n.node, coalesce(sum(weight * value), 0) AS total FROM n LEFT JOIN e ON e.src = n.node LEFT JOIN ts ON ts.node = e.dst GROUP BY 1)", select="SELECT node, CASE WHEN total > 0.25 * k_out THEN 1 WHEN total < -0.25 * k_out THEN -1 ELSE 0 END AS value FROM a JOIN k USING (node)"))
+@query(with_sql(g_sql(LINES), TERNARY, "a AS (SELECT n.node, coalesce(sum(weight * value), 0) AS total FROM n LEFT JOIN e ON e.src = n.node LEFT JOIN ts ON ts.node = e.dst GROUP BY 1)", select="SELECT node, CASE WHEN total > 0.25 * k_out THEN 1 WHEN total < -0.25 * k_out THEN -1 ELSE 0 END AS value FROM a JOIN k USING (node)"))
 def degree_deadzone_step(spark, sf_dir):
-    edges = g(spark, sf_dir, G3)
+    edges = g(spark, sf_dir, LINES)
     eps = stored(jobs.degree_deadzone(edges, 0.25), "eps")
     state = ternary(spark, sf_dir, edges).join(eps, "node", "left").fillna(0.0, ["eps"])
     return values(kernel.kernel_step(edges, state, KernelParams(deadzone=F.col("eps"))))
