@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxfield.plans.staging import Rounds, stored
 
+from .chains import contracted
 from .components import connected_components
 from .graph import induced, symmetric
 
@@ -29,24 +30,33 @@ def component_counts(edges: DataFrame, mask: DataFrame) -> DataFrame:
     return component_sizes(edges, mask).agg(F.count("*").alias("n_components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
 
 
+def _nearest(ways: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, best): the least (distance, component) at the start of each way to a known node."""
+    known = known.select(F.col("node").alias("end"), "distance", "component")
+    best = F.min(F.struct((F.col("distance") + F.col("length")).alias("distance"), "component")).alias("best")
+    return ways.join(known, "end").groupBy(F.col("src").alias("node")).agg(best)
+
+
 def hop_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, distance, component) of all nodes that reach a source over undirected edges, however far.
 
-    sources are (node, component); on ties the least component is kept. One join and one written frontier a hop, until
-    a hop finds no new node.
+    sources are (node, component); on ties, of sources too, the least component is kept. Edges with a null end and
+    self-loops lead nowhere. Chains of nodes with two neighbours are contracted first; then distances spread over what
+    is left, one join and one written part of improved nodes a round, until a round improves none; last, inner nodes of
+    chains take the nearer end's. So long chains cost rounds by the logarithm of their length.
     """
-    near, reached = stored(symmetric(edges), "near"), Rounds(edges.sparkSession, "reached")
-    frontier, seen = reached.add(sources.select("node", "component"), 0)
-    before, hop = [frontier], 0
+    near, reached = stored(symmetric(edges).where("src <> dst"), "near"), Rounds(edges.sparkSession, "reached")
+    start = sources.where("node is not null").groupBy("node").agg(F.min("component").alias("component"))
+    frontier, seen = reached.add(start.select("node", F.lit(0).alias("distance"), "component"), 0)
+    ways, hop = contracted(near, frontier), 0
+    best = reached.all().groupBy("node").agg(F.min(F.struct("distance", "component")).alias("known"))
     while seen["n"]:
         hop += 1
-        step = near.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("component"))
-        # Neighbours of a frontier are in it, in the one before, or new: nothing older can be next to it.
-        for known in before:
-            step = step.join(known.select("node"), "node", "left_anti")
-        new, seen = reached.add(step, hop)
-        before, frontier = [frontier, new], new
-    return reached.all().select("node", F.col("round").alias("distance"), "component")
+        step = _nearest(ways.where("not inner"), frontier).join(best, "node", "left").where("known is null or best < known")
+        frontier, seen = reached.add(step.select("node", "best.*"), hop)
+        best = reached.all().groupBy("node").agg(F.min(F.struct("distance", "component")).alias("known"))
+    ends = best.select("node", "known.*")
+    return stored(ends.union(_nearest(ways.where("inner"), ends).select("node", "best.*")), "distances")
 
 
 def distance_histogram(distances: DataFrame, asked: DataFrame) -> DataFrame:
