@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a token-efficiency test for strings that no pattern knows.
 
 A byte-pair vocabulary spends few tokens on language and many on random characters. Runs of at least MIN_CHARS letters,
-digits and the signs of encodings are random if they have fewer than MAX_RATIO characters a token, unless they are
-known digests or identifiers: numbers, UUIDs, hexadecimal digests that the text before them names as such, members of
-a given list, or runs of one character. A run that passes as a whole is tested in parts: outside known parts and fixed
+digits, the signs of encodings and single dots between them are random if they have fewer than MAX_RATIO characters a
+token, unless they are known digests or identifiers: numbers, UUIDs, hexadecimal digests that the text before them
+names as such, members of a given list, runs of one character, or names whose pieces between separators all are words
+of at most 15 letters, camel case, numbers, times, or a few letters and a short number (rare words of any language take
+as many tokens as chance does). A run that passes as a whole is tested in parts: outside known parts and fixed
 patterns, every window of tokens of just MIN_CHARS characters or more, so that a path or a name around a secret cannot
-hide it; rows of numbers, as in dates, and windows without letters do not count. Random windows that overlap are one span. Spans of the fixed
+hide it; rows of numbers, as in dates, windows without letters and windows that are names do not count. Random windows that overlap are one span. Spans of the fixed
 patterns are always reported; a random string is added unless it lies inside one of them.
 
 One scan without a shuffle; plain searches of bytes skip the texts that cannot match, so the expressions and the
@@ -35,10 +37,13 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CHARS},}}")
-SEPARATORS = "/=_-"
+DOTTED = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_CHARS},}}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+SEPARATORS = "/=_.-"
 LETTER = re.compile("[A-Za-z]")
-NUMBERS = re.compile("(?<![A-Za-z0-9+])[0-9]+([/=_-]+[0-9]+)+(?![A-Za-z0-9+])")
+NUMBERS = re.compile("(?<![A-Za-z0-9+])[0-9]+([/=_.-]+[0-9]+)+(?![A-Za-z0-9+])")
+WORD = "[A-Z]?[a-z]{1,14}|[A-Z]{1,15}|[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+|[0-9]{1,20}e?|[a-z]{1,6}[0-9]{1,3}|[0-9]{1,3}[a-z]{1,2}|[0-9]{2,8}T[0-9]{2,6}Z?|[a-z]{1,10}[+]{1,2}"
+NAME = re.compile(f"[/=_.-]*(?:{WORD})(?:[/=_.-]+(?:{WORD}))*[/=_.-]*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_NAME = re.compile(r"""(md5|sha-?1|sha-?256|sha-?512|commit|checksum|digest|integrity)["']?[\s:=-]*$""", re.IGNORECASE)
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}")
@@ -52,7 +57,7 @@ def marks(chars: bytes) -> bytes:
 
 
 HEX_MARKS = marks(b"0123456789abcdef")
-RUN_MARKS = marks(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+RUN_MARKS = marks(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
 
 
 def base_spans(text: str, data: bytes) -> list[tuple[int, int, int]]:
@@ -79,7 +84,7 @@ def known_parts(text: str, start: int, run: str, base: list, known: frozenset[st
             parts.append(m.span())
     if known:
         lengths = {len(k) for k in known}
-        begins = [0, *(m.end() for m in re.finditer("[/=_-]", run))]
+        begins = [0, *(m.end() for m in re.finditer("[/=_.-]", run))]
         parts += [(a, a + n) for a in begins for n in lengths if n and a + n <= len(run) and run[a : a + n] in known and whole(a, a + n)]
     return sorted(parts)
 
@@ -97,7 +102,7 @@ def random_windows(part: str, token_lengths: Callable[[str], list[int]]) -> list
         if j == len(ends):
             break
         window = part[a : ends[j]]
-        if ends[j] - a < MAX_RATIO * (j - i) and len(set(window)) > 1 and LETTER.search(window):
+        if ends[j] - a < MAX_RATIO * (j - i) and len(set(window)) > 1 and LETTER.search(window) and not NAME.fullmatch(window):
             if found and a <= found[-1][1]:
                 found[-1] = found[-1][0], ends[j]
             else:
@@ -105,26 +110,34 @@ def random_windows(part: str, token_lengths: Callable[[str], list[int]]) -> list
     return found
 
 
+def runs(text: str) -> Iterator[tuple[int, str]]:
+    """(start, run) of the runs of MIN_CHARS characters or more."""
+    for rough in DOTTED.finditer(text):
+        for m in RUN.finditer(rough[0]):
+            if len(m[0]) >= MIN_CHARS:
+                yield rough.start() + m.start(), m[0]
+
+
 def random_spans(text: str, data: bytes, base: list, token_lengths: Callable[[str], list[int]], known: frozenset[str]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of random strings outside the base spans."""
     if b"x" * MIN_CHARS not in data.translate(RUN_MARKS):
         return []
     found = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if run.isdigit() or len(set(run)) == 1 or UUID.fullmatch(run) or run in known:
+    for start, run in runs(text):
+        end = start + len(run)
+        if run.isdigit() or len(set(run)) == 1 or UUID.fullmatch(run) or run in known or NUMBERS.fullmatch(run) or NAME.fullmatch(run):
             continue
-        if DIGEST.fullmatch(run) and DIGEST_NAME.search(text[max(0, m.start() - 20) : m.start()]):
+        if DIGEST.fullmatch(run) and DIGEST_NAME.search(text[max(0, start - 20) : start]):
             continue
-        if any(a <= m.start() and m.end() <= b for a, _, b in base):
+        if any(a <= start and end <= b for a, _, b in base):
             continue
         if len(run) < MAX_RATIO * len(token_lengths(run)):
-            found.append((m.start(), 3, m.end()))
+            found.append((start, 3, end))
             continue
         at = 0
-        for a, b in [*known_parts(text, m.start(), run, base, known), (len(run), len(run))]:
+        for a, b in [*known_parts(text, start, run, base, known), (len(run), len(run))]:
             if a - at >= MIN_CHARS:
-                found += [(m.start() + at + x, 3, m.start() + at + y) for x, y in random_windows(run[at:a], token_lengths)]
+                found += [(start + at + x, 3, start + at + y) for x, y in random_windows(run[at:a], token_lengths)]
             at = max(at, b)
     return found
 

@@ -259,6 +259,56 @@ def test_secret_scan_inside_longer_runs():
     assert scan(f"com/account/settings/download/archive/{s}/documents/list", frozenset({s})) == []
 
 
+def plain_scan():
+    encoding = secret_scan.load_encoding(public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    lengths = lambda s: list(map(len, encoding.decode_tokens_bytes(encoding.encode_ordinary(s))))
+    return lambda t: secret_scan.random_spans(t, t.encode(), secret_scan.base_spans(t, t.encode()), lengths, frozenset())
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("letters", [LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", LOWER + UPPER + DIGITS + "-_.", LOWER, LOWER + DIGITS, DIGITS + "ABCDEF", UPPER + "234567", LOWER + UPPER])
+def test_secret_scan_finds_random_strings(letters):
+    import random
+
+    scan, rng = plain_scan(), random.Random(1)
+    for n, least in ((20, 250), (24, 280), (32, 285), (40, 290)):
+        hit = 0
+        for _ in range(300):
+            s = "".join(rng.choices(letters, k=n))
+            hit += any(b > 4 and a < 4 + n for a, _, b in scan(f"key {s} end"))
+        assert hit >= least, (n, hit)
+
+
+def test_secret_scan_leaves_names_alone():
+    import random
+
+    scan, rng = plain_scan(), random.Random(2)
+    names = """
+        org/wiki/Rzeczpospolita_Obojga_Narodow_historia x86_64-pc-linux-gnu-gcc-ar-4-9-2 usr/share/doc/libstdc++-12-dev/changelog.Debian.gz
+        org.apache.spark.sql.catalyst.expressions www.example.co.uk/path/to/page.html 1.2345678901234567e-05 192.168.100.200-10.20.30.40
+        node_modules/helper-plugin-utils/lib/index.js.map getElementsByClassName.innerHTML.toLowerCase archive-2023-11-28T10-22-33.tar.gz
+        Przedsiebiorstwo-Produkcyjno-Uslugowe Szczebrzeszyn-Zamosc-Lublin.html kubernetes-sigs/controller-runtime/v0.15.0
+        python3.11/site-packages/numpy/core en.wikipedia.org/wiki/Tchaikovsky_Symphony_No.6 Hyvinkaa-Riihimaki-Hameenlinna-Tampere
+        Ho_Chi_Minh_City-Nguyen-Van-Linh linux-image-5.15.0-91-generic Donaudampfschifffahrtsgesellschaft
+    """.split()
+    words = """
+        Lublin Wroclaw szczescie Hameenlinna yhdistys kirjasto Eyjafjallajokull vatn Llandudno eglwys Nguyen duong Tchaikovsky dvorets Szekesfehervar
+        konyvtar Strasse Bibliothek verjaardag gemeente Kobenhavn tidsskrift ordbok Ljubljana knjiznica Dubrovnik zupanija Bucuresti judetul Ankara
+        kutuphane Izmir Nairobi maktaba Zanzibar Ouagadougou Antananarivo fianarana Popocatepetl Tenochtitlan biblioteca ayuntamiento
+    """.split()
+    while len(names) < 219:
+        names.append("".join(rng.choice(words) + rng.choice("/_-.") for _ in range(rng.randint(3, 6))) + rng.choice(["html", "pdf", "2023", "v2"]))
+    alarms = [n for n in names if scan(f"see {n} now")]
+    assert not alarms
+
+
+def test_secret_scan_of_no_rows(spark, docs):
+    found = secret_scan.scan_secrets(docs.limit(0), public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    assert found.columns[:4] == ["doc_id", "n_assign", "n_access", "n_hex"] and found.isEmpty()
+
+
 def test_token_counts(spark, docs):
     ranks, pattern = public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN
     encoding = secret_scan.load_encoding(ranks, pattern)
