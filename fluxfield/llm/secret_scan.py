@@ -4,7 +4,7 @@ A byte-pair vocabulary spends few tokens on language and many on random characte
 digits, the signs of encodings and single dots between them are random if they have fewer than MAX_RATIO characters a
 token, unless they are known digests or identifiers: numbers, UUIDs, hexadecimal digests that the text before them
 names as such, members of a given list, runs of one character, or names whose pieces between separators all are words
-of at most 15 letters, camel case, numbers, times, or a few letters and a short number (rare words of any language take
+of at most 17 letters, camel case, numbers, times, or a few letters and a short number (rare words of any language take
 as many tokens as chance does). A run that passes as a whole is tested in parts: outside known parts and fixed
 patterns, every window of tokens of just MIN_CHARS characters or more, so that a path or a name around a secret cannot
 hide it; rows of numbers, as in dates, windows without letters and windows that are names do not count. Random windows that overlap are one span. Spans of the fixed
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_CHARS = 20
-MAX_RATIO = 1.9
+MAX_RATIO = 2.05
 #: The patterns of the base rules and the least length of what they find.
 ASSIGN = re.compile(
     r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,7 +42,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 SEPARATORS = "/=_.-"
 LETTER = re.compile("[A-Za-z]")
 NUMBERS = re.compile("(?<![A-Za-z0-9+])[0-9]+([/=_.-]+[0-9]+)+(?![A-Za-z0-9+])")
-WORD = "[A-Z]?[a-z]{1,14}|[A-Z]{1,15}|[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+|[0-9]{1,20}e?|[a-z]{1,6}[0-9]{1,3}|[0-9]{1,3}[a-z]{1,2}|[0-9]{2,8}T[0-9]{2,6}Z?|[a-z]{1,10}[+]{1,2}"
+WORD = "[A-Z]?[a-z]{1,16}|[A-Z]{1,17}|[A-Z]?[a-z]{2,14}(?:[A-Z][a-z]{2,14})+|[0-9]{1,20}e?|[a-z]{1,8}[0-9]{1,5}[a-z]?|[A-Z]{1,8}[0-9]{1,5}|[A-Z][a-z]{2,8}[0-9]{1,3}|[0-9]{1,3}[a-z]{1,2}|[0-9]{2,8}T[0-9]{2,6}Z?|[a-z]{1,10}[+]{1,2}"
 NAME = re.compile(f"[/=_.-]*(?:{WORD})(?:[/=_.-]+(?:{WORD}))*[/=_.-]*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST_NAME = re.compile(r"""(md5|sha-?1|sha-?256|sha-?512|commit|checksum|digest|integrity)["']?[\s:=-]*$""", re.IGNORECASE)

@@ -273,7 +273,7 @@ def test_secret_scan_finds_random_strings(letters):
     import random
 
     scan, rng = plain_scan(), random.Random(1)
-    for n, least in ((20, 250), (24, 280), (32, 285), (40, 290)):
+    for n, least in ((20, 270), (24, 270), (32, 285), (40, 285)):
         hit = 0
         for _ in range(300):
             s = "".join(rng.choices(letters, k=n))
