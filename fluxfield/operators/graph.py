@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import stored
+from fluxfield.plans.staging import BROADCAST_BYTES, observed, row_bytes, stored
+
+#: Edges of a node, in or out, above which its paths are joined block by block.
+HUB_BLOCK = 1024
 
 
 def collapse_edges(edges: DataFrame) -> DataFrame:
@@ -65,11 +68,36 @@ def add_graphs(a: DataFrame, b: DataFrame) -> DataFrame:
     return collapse_edges(a.select("src", "dst", "weight").unionByName(b.select("src", "dst", "weight")))
 
 
-def path_product(a: DataFrame, b: DataFrame) -> DataFrame:
+def paths(a: DataFrame, b: DataFrame, block: int = HUB_BLOCK) -> DataFrame:
+    """(src, mid, dst, weight): an edge of a followed by one of b, with the product of their weights.
+
+    A middle node with more than `block` edges on a side makes as many paths as the product of its degrees. Its edges
+    are dealt to blocks of about that many by their other end, and each pair of an incoming and an outgoing block is
+    joined by itself, so no task has all paths of a hub. Copies of edges that this takes are at most a 2/block of the
+    paths. Other nodes are joined as they are.
+    """
+    left = a.where("dst is not null").select("src", F.col("dst").alias("mid"), "weight")
+    right = b.where("src is not null").select(F.col("src").alias("mid"), F.col("dst").alias("_end"), F.col("weight").alias("_w"))
+    into, out = left.groupBy("mid").agg(F.count("*").alias("n_in")), right.groupBy("mid").agg(F.count("*").alias("n_out"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    hubs = into.join(out, "mid").where(F.greatest("n_in", "n_out") > block).select("mid", blocks("n_in").alias("ins"), blocks("n_out").alias("outs"))
+    hubs, seen = observed(hubs, "hubs", n=F.count(F.lit(1)), bytes=F.sum(row_bytes(hubs)))
+    keys = ["mid"]
+    if seen["n"]:
+        hubs = hubs.hint("broadcast" if seen["bytes"] <= BROADCAST_BYTES else "merge")
+        left, right = (side.join(hubs, "mid", "left").fillna(1, ["ins", "outs"]) for side in (left, right))
+        dealt = lambda end, n: F.pmod(F.xxhash64(end), F.col(n)).cast("int")
+        copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = left.select("src", "mid", "weight", dealt("src", "ins").alias("_in"), copies("outs").alias("_out"))
+        right = right.select("mid", "_end", "_w", dealt("_end", "outs").alias("_out"), copies("ins").alias("_in")).hint("merge")
+        keys += ["_in", "_out"]
+    return left.join(right, keys).select("src", "mid", F.col("_end").alias("dst"), (F.col("weight") * F.col("_w")).alias("weight"))
+
+
+def path_product(a: DataFrame, b: DataFrame, block: int = HUB_BLOCK) -> DataFrame:
     """Sums over middle nodes of products of weights, clipped at zero; pairs of weight zero are left out."""
-    right = b.select(F.col("src").alias("_mid"), F.col("dst").alias("_end"), F.col("weight").alias("_w"))
-    paths = a.join(right, F.col("dst") == F.col("_mid")).groupBy("src", F.col("_end").alias("dst"))
-    return paths.agg(F.greatest(F.sum(F.col("weight") * F.col("_w")), F.lit(0.0)).alias("weight")).where("weight <> 0")
+    pairs = paths(a, b, block).groupBy("src", "dst")
+    return pairs.agg(F.greatest(F.sum("weight"), F.lit(0.0)).alias("weight")).where("weight <> 0")
 
 
 def k_hop(edges: DataFrame, hops: int) -> DataFrame:
