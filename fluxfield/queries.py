@@ -1120,3 +1120,15 @@ def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["persistence"] = persistence
+
+
+def distance_baseline(spark, sf_dir):
+    """Residuals of all part successions against a baseline fitted to strengths and to bins of the keys' difference.
+
+    A fit until it closes is beyond SQL; tests hold the operator against brute force."""
+    edges = g(spark, sf_dir, LINES).withColumn("distance", F.abs(F.col("src") - F.col("dst")))
+    found = baseline.distance_residual(edges, 100.0)
+    return found.select("src", "dst", "weight", F.round("expected", 6).alias("expected"))
+
+
+QUERIES["distance_baseline"] = distance_baseline
