@@ -12,6 +12,8 @@ from fluxfield.functions.scalar import sgn_deadzone
 from fluxfield.plans.staging import BROADCAST_BYTES, Rounds, bucketed, row_bytes, stored
 
 EPS = 0.0
+#: Whole multiples of 2^-k add up exactly in any order while sums stay below 2^53; values and their changes are below 2^8.
+EXACT_SUM, SHIFTS = 2.0**45, (0, 16, 32)
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,11 @@ def kernel_step(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     channel it is ignored. A state has a row for each node (and run and channel). Products and the state's own rows are
     added up in one grouping, so a step of one hop shuffles partial sums once and joins nothing to the state.
     """
+    return _stepped(edges, state, params, hint).select(*state.columns)
+
+
+def _stepped(edges: DataFrame, state: DataFrame, params: KernelParams, hint: str | None = None) -> DataFrame:
+    """kernel_step, and the sums that the signs are taken of as `total`."""
     if "value" not in state.columns or "node" not in state.columns:
         raise ValueError("a state has the columns node and value")
     keys = _keys(state)
@@ -82,8 +89,8 @@ def kernel_step(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [own, *parts])
     # Sums have nulls where the state's row has its columns, and max passes over them.
     found = rows.groupBy("src", *keys).agg(F.sum("total").alias("total"), *[F.max(f"_{c}").alias(c) for c in more], F.max("_own").alias("_own"))
-    found = found.where("_own").select(F.col("src").alias("node"), *keys, *more, "total")
-    return found.withColumn("value", sgn_deadzone(F.coalesce("total", F.lit(0.0)), _deadzone(params))).select(*state.columns)
+    found = found.where("_own").select(F.col("src").alias("node"), *keys, *more, F.coalesce("total", F.lit(0.0)).alias("total"))
+    return found.withColumn("value", sgn_deadzone(F.col("total"), _deadzone(params))).select(*state.columns, "total")
 
 
 @dataclass(frozen=True)
@@ -97,39 +104,116 @@ class Flow:
     state: DataFrame
 
 
+def _row_hash(keys: list[str], value: str) -> Column:
+    return F.xxhash64("node", *[k for k in keys if k != "run_id"], value)
+
+
 def _marks(keys: list[str]) -> dict[str, Column]:
     """Over the rows of a run's state: sums that tell it from others, its cells, and how many of them have changed."""
-    row = F.xxhash64("node", *[k for k in keys if k != "run_id"], "value")
+    row = _row_hash(keys, "value")
     changed = F.count_if(F.col("prev") != F.col("value"))
     return {"s": F.sum(row.cast("decimal(38,0)")), "x": F.bit_xor(row), "n": F.count(F.lit(1)), "d": changed}
 
 
-def _add(table: Rounds, state: DataFrame, step: int, runs: list[str], keys: list[str]) -> tuple[DataFrame, dict[str, dict]]:
+def _turns(keys: list[str]) -> dict[str, Column]:
+    """Over the rows that a step has reached: what _marks' sums change by, the rows, and how many have changed."""
+    old, new, changed = _row_hash(keys, "prev"), _row_hash(keys, "value"), F.col("prev") != F.col("value")
+    apart = new.cast("decimal(38,0)") - old.cast("decimal(38,0)")
+    return {"s": F.sum(F.when(changed, apart)), "x": F.bit_xor(F.when(changed, new.bitwiseXOR(old))), "n": F.count(F.lit(1)), "d": F.count_if(changed)}
+
+
+def _add(table: Rounds, rows: DataFrame, step: int, runs: list[str], marks: dict[str, Column]) -> tuple[DataFrame, dict[str, dict]]:
     """The written step and each run's marks: of one run as it is written, of more by a grouped pass over the step, so
     that plans do not grow with the number of runs."""
-    marks = _marks(keys)
     if len(runs) == 1:
-        now, seen = table.add(state, step, **marks)
+        now, seen = table.add(rows, step, **marks)
         return now, {runs[0]: seen}
-    now, _ = table.add(state, step)
+    now, _ = table.add(rows, step)
     # As many rows as runs.
     return now, {r["run_id"]: r.asDict() for r in now.groupBy("run_id").agg(*[c.alias(k) for k, c in marks.items()]).collect()}
 
 
+def _fits(rows: DataFrame) -> bool:
+    """Whether rows, weighed, may be broadcast."""
+    return (rows.agg(F.sum(row_bytes(rows))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _staying(edges: DataFrame, keys: list[str], state: DataFrame) -> tuple[DataFrame, str]:
     """Edges, written so that no step shuffles them, and how states join them: a state that fits, by its rows' weight,
     is broadcast; a larger one is dealt to the buckets that edges lie in by their targets."""
-    if (state.agg(F.sum(row_bytes(state))).first()[0] or 0) <= BROADCAST_BYTES:
+    if _fits(state):
         return stored(edges, "flow-edges"), "broadcast"
     return bucketed(edges, ["dst", *[k for k in keys if k in edges.columns]], "flow-edges"), "merge"
 
 
+def exact_sums(edges: DataFrame) -> bool:
+    """Whether sums of weights times values are exact in doubles whatever their order, so that they can be kept up to
+    date by adding changes: all weights are whole multiples of one power of two, and small enough."""
+    w = F.col("weight").cast("double")
+    off = [F.count_if(w * 2.0**k != F.rint(w * 2.0**k)).alias(f"off_{k}") for k in SHIFTS]
+    found = edges.agg(F.sum(F.abs(w)).alias("total"), *off).first()
+    return any(found[f"off_{k}"] == 0 and (found["total"] or 0.0) * 2.0**k < EXACT_SUM for k in SHIFTS)
+
+
+class _Base:
+    """A state of all cells with their sums, and the step it is of: what increments are added to.
+
+    It is broadcast if it fits, else it lies in buckets by cell, so that no step shuffles it. Once the rows that steps
+    have written since are more than its own, they are folded into a new one, so steps read a bounded number of rows.
+    """
+
+    def __init__(self, cells: DataFrame, step: int, keys: list[str], columns: list[str]) -> None:
+        self.keys, self.columns, self.step, self.since = keys, columns, step, 0
+        cells = cells.select(*columns, "total")
+        fits, self.cells = _fits(cells), cells.count()
+        self.hint, self.table = ("broadcast", cells) if fits else ("merge", bucketed(cells, ["node", *keys], "flow-base"))
+
+    def _log(self, table: Rounds) -> DataFrame:
+        """(src, keys, past, turned): what later steps have added to sums and values."""
+        rows = table.all().where(F.col("round") > self.step)
+        return rows.select(F.col("node").alias("src"), *self.keys, F.col("added").alias("past"), (F.col("value") - F.col("prev")).alias("turned"))
+
+    def _with(self, sums: DataFrame, how: str) -> DataFrame:
+        """The cells that sums (src, keys, past, turned, more) have: columns, prev, added and total."""
+        named = sums.select(*[F.col(c).alias(f"_{c}") for c in ("src", *self.keys, "past", "turned", "more")])
+        on = [F.col("node") == F.col("_src"), *[F.col(k) == F.col(f"_{k}") for k in self.keys]]
+        # Of an inner join the base is the side that stays or is broadcast; a left join keeps all of its rows.
+        joined = named.join(self.table.hint(self.hint), on) if how == "inner" else self.table.join(named.hint("merge"), on, "left")
+        zero = F.lit(0.0)
+        prev = (F.col("value") + F.coalesce("_turned", F.lit(0))).cast("tinyint")
+        total = F.col("total") + F.coalesce("_past", zero) + F.coalesce("_more", zero)
+        return joined.select(*[c for c in self.columns if c != "value"], prev.alias("prev"), F.col("_more").alias("added"), total.alias("total"))
+
+    def reached(self, edges: DataFrame, changed: DataFrame, hint: str, table: Rounds, params: KernelParams) -> DataFrame:
+        """The next step's rows of cells with a neighbour among the changed rows (node, keys, prev, value): columns,
+        prev and added. What reached them and what earlier steps have added meet in one grouping."""
+        by = changed.select("node", *self.keys, (F.col("value") - F.coalesce("prev", F.lit(0))).alias("value"))
+        rows = _products(edges, by, self.keys, hint).withColumnRenamed("total", "more")
+        if self.since:
+            rows = rows.unionByName(self._log(table), allowMissingColumns=True)
+        else:
+            rows = rows.withColumns({"past": F.lit(None).cast("double"), "turned": F.lit(None).cast("int")})
+        sums = rows.groupBy("src", *self.keys).agg(*[F.sum(c).alias(c) for c in ("past", "turned", "more")]).where("more is not null")
+        found = self._with(sums, "inner")
+        return found.withColumn("value", sgn_deadzone(F.col("total"), _deadzone(params)).cast("tinyint")).select(*self.columns, "prev", "added")
+
+    def folded(self, table: Rounds, step: int) -> _Base:
+        sums = self._log(table).groupBy("src", *self.keys).agg(F.sum("past").alias("past"), F.sum("turned").alias("turned"))
+        cells = self._with(sums.withColumn("more", F.lit(None).cast("double")), "left").withColumn("value", F.col("prev"))
+        return _Base(stored(cells.select(*self.columns, "total"), "flow-cells"), step, self.keys, self.columns)
+
+
 def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = KernelParams(), steps: int = 20, cycle_check: bool = True) -> Flow:
     """Iterate kernel_step until nothing changes, a state comes back, or steps have been made.
 
     State may hold several runs under run_id, which are stepped together in one set of joins; a run leaves when it has
     ended. Each step is a part of one table, written with both values, which changes and last states are read from.
-    A state that comes back is told by a fingerprint and confirmed row by row.
+    A state that comes back is told by a fingerprint and confirmed cell by cell: nothing may have changed on balance.
+
+    The first step works on all cells. With one hop, no coupling and weights whose sums are exact in any order (see
+    exact_sums), later ones only work on cells that an out-neighbour's change has reached: their sums grow by weight
+    times change, only they are written, and the fingerprint moves by what they turn. Rows written follow the defect
+    then, and are the same as those of whole steps. Other flows make whole steps.
     """
     spark = state.sparkSession
     if "run_id" not in state.columns:
@@ -139,41 +223,67 @@ def kernel_flow(edges: DataFrame, state: DataFrame, params: KernelParams = Kerne
     now, _ = table.add(state.withColumn("prev", F.col("value")), 0)
     edges = edges.select(*[c for c in ("run_id", "channel", "src", "dst", "weight") if c in edges.columns])
     edges, hint = _staying(edges, keys, now)
+    exact = params.hops <= 1 and not (params.coupling is not None and "channel" in keys) and exact_sums(edges)
     # As many rows as runs.
     first = now.groupBy("run_id").agg(*[c.alias(k) for k, c in _marks(keys).items()]).collect()
     runs = sorted(r["run_id"] for r in first)
-    active, seen = set(runs), {r["run_id"]: {(r["s"], r["x"], r["n"]): [0]} for r in first}
-    parts, ended, curve = [now], {}, []
+    marks = {r["run_id"]: (r["s"], r["x"], r["n"]) for r in first}
+    active, seen, base = set(runs), {run: {mark: [0]} for run, mark in marks.items()}, None
+    ended, curve = {}, []
     for step in range(1, steps + 1):
         if not active:
             break
         left = now.where(F.col("run_id").isin(*active)) if len(active) < len(runs) else now
         names = sorted(active)
-        now, got = _add(table, kernel_step(edges, left.select(*columns, F.col("value").alias("prev")), params, hint), step, names, keys)
-        parts.append(now)
+        if base:
+            changed = left.where("prev <> value" if step > 2 else "not prev <=> value").select("node", *keys, "prev", "value")
+            how = hint if hint == "broadcast" or not _fits(changed) else "broadcast"
+            now, got = _add(table, base.reached(edges, changed, how, table, params), step, names, _turns(keys))
+            base.since += sum(m["n"] for m in got.values())
+            for run in names:
+                s, x, n = marks[run]
+                turn = got.get(run) or {"s": None, "x": None, "d": 0}
+                marks[run], got[run] = (s + (turn["s"] or 0), x ^ (turn["x"] or 0), n), turn
+        else:
+            whole = _stepped(edges, left.select(*columns, F.col("value").alias("prev")), params, hint)
+            now, got = _add(table, whole.withColumn("value", F.col("value").cast("tinyint")), step, names, _marks(keys))
+            marks |= {run: (got[run]["s"], got[run]["x"], got[run]["n"]) for run in names}
         for run in names:
-            mark, defect = (got[run]["s"], got[run]["x"], got[run]["n"]), got[run]["d"]
+            defect = got[run]["d"]
             curve.append((run, step, defect))
             if defect == 0:
                 ended[run] = ("converged", step, None)
             elif cycle_check:
-                for start in seen[run].get(mark, []):
-                    old, new = (parts[k].select(*columns).where(F.col("run_id") == run) for k in (start, step))
-                    if new.join(old, columns, "left_anti").isEmpty():
+                for start in seen[run].get(marks[run], []):
+                    since = table.all().where((F.col("round") > start) & (F.col("run_id") == run) & (F.col("prev") != F.col("value")))
+                    if since.groupBy("node", *keys).agg(F.sum(F.col("value") - F.col("prev")).alias("turned")).where("turned <> 0").isEmpty():
                         ended[run] = ("cycle", step, start)
                         break
-            seen[run].setdefault(mark, []).append(step)
+            seen[run].setdefault(marks[run], []).append(step)
         active -= ended.keys()
+        if exact and active and step < steps:
+            if not base:
+                base = _Base(now, step, keys, columns)
+            elif base.since > base.cells:
+                base = base.folded(table, step)
     ended |= {run: ("max_steps", steps, None) for run in active}
     status = spark.createDataFrame([(run, *end) for run, end in sorted(ended.items())], "run_id string, status string, step int, cycle_start int")
     rows, prev = table.all(), F.col("prev")
     changes = rows.where((F.col("round") > 0) & (prev != F.col("value")))
     last = F.create_map(*[F.lit(x) for run, end in ended.items() for x in (run, end[1])])[F.col("run_id")] if ended else F.lit(0)
+    # The first step is the last with rows of all cells, if increments follow it.
+    whole = 1 if base else steps
+    ends = sorted({min(end[1], whole) for end in ended.values()})
+    final = rows.where(F.col("round").isin(ends) & (F.col("round") == F.least(last, F.lit(whole)))).select(*columns)
+    if base:
+        later = changes.where((F.col("round") > whole) & (F.col("round") <= last)).groupBy("node", *keys).agg(F.sum(F.col("value") - prev).alias("_turned"))
+        value = (F.col("value") + F.coalesce("_turned", F.lit(0))).cast("tinyint")
+        final = final.join(later.hint("merge"), ["node", *keys], "left").withColumn("value", value).select(*columns)
     return Flow(
         status,
         spark.createDataFrame(curve, "run_id string, step int, defect bigint"),
         changes.select("run_id", F.col("round").alias("step"), "node", *[k for k in keys if k != "run_id"], prev.alias("prev"), F.col("value").alias("new")),
-        rows.where(F.col("round").isin(sorted({end[1] for end in ended.values()})) & (F.col("round") == last)).select(*columns),
+        final,
     )
 
 
