@@ -37,21 +37,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = (public_tokenizers.path(v) for v in (BYTE_VOCABULARY, MULTI_VOCABULARY))
     keep = ["doc_id", "text_hash", "row", "lang", "source", "n_chars"]
     foreign = ~F.col("lang").eqNullSafe("en")
-    counted = token_counts.with_tokens(docs, first, public_tokenizers.PATTERN, [*keep, "text"]).withColumn("text", F.when(foreign, F.col("text")))
-    counted = stored(token_counts.with_tokens(counted, second, public_tokenizers.PATTERN, [*keep, "n_tokens"], name="n_tokens_2"), "counts")
-    firsts = counted.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    firsts = stored(firsts.select("text_hash", F.col("first.row").alias("first_row")), "firsts")
-    copies = lambda rows: rows.join(firsts.hint("merge"), "text_hash").where(F.col("row") != F.col("first_row"))
+    counted = stored(token_counts.with_tokens(docs, first, public_tokenizers.PATTERN, keep, other={"n_tokens_2": (second, foreign)}), "counts")
+    # What is left of equal texts is one row, found in one grouping; the copies are all rows less these.
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "lang", "source", "n_chars", "n_tokens", "n_tokens_2"))
+    firsts = stored(counted.groupBy("text_hash").agg(kept.alias("first")).select("first.*"), "firsts")
     rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
     v1, v2 = BYTE_VOCABULARY, MULTI_VOCABULARY
     rollup.commit("1-insert", token_counts.delta(counted, 1, v1))
-    gone = token_counts.delta(copies(counted), -1, v1)
-    rollup.commit("2-copies", gone)
-    old = counted.where(foreign)
-    other = old.withColumn("n_tokens", F.col("n_tokens_2"))
-    revised = [token_counts.delta(old, -1, v1), token_counts.delta(copies(old), 1, v1), token_counts.delta(other, 1, v2), token_counts.delta(copies(other), -1, v2)]
-    rollup.commit("3-revise", *revised)
-    rollup.commit("2-copies", gone)
+    gone = [token_counts.delta(counted, -1, v1), token_counts.delta(firsts, 1, v1)]
+    rollup.commit("2-copies", *gone)
+    old = firsts.where(foreign)
+    rollup.commit("3-revise", token_counts.delta(old, -1, v1), token_counts.delta(old.withColumn("n_tokens", F.col("n_tokens_2")), 1, v2))
+    rollup.commit("2-copies", *gone)
     return rollup.totals()
 
 

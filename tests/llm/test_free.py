@@ -503,3 +503,40 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_thousand_batches_read_a_bounded_log(spark):
+    """Commits and readers start at the last settled version; ids of settled and of vacuumed versions stay known."""
+    rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
+    one = spark.createDataFrame([("a", "en", "v1", 1, 5, 20)], token_counts.SCHEMA)
+    assert rollup.commit("0", one)
+    totals, reads = rollup.tail()[0]["totals"], []
+    for k in range(1, 1000):  # a batch that changes nothing, without the jobs
+        if k % token_counts.SPAN == 0:
+            rollup._settle(rollup.tail())
+        assert rollup._claim(k + 1, str(k), totals)
+    read = rollup._read
+    rollup._read = lambda version: reads.append(version) or read(version)
+    assert rollup.committed("0") and rollup.committed("999") and not rollup.committed("1000")
+    assert len(reads) <= 3 * (token_counts.SPAN + 2)
+    assert not rollup.commit("3", one) and rollup.commit("1000", one)
+    reads.clear()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 10, 40)]
+    assert len(reads) <= token_counts.SPAN + 2 and len(rollup._names("settled")) == 1
+    rollup._read = read
+    rollup.vacuum()
+    assert len(rollup.log()) <= token_counts.SPAN + 1 and not rollup.commit("7", one) and not rollup.commit("1000", one)
+    assert rollup.totals().first()["n_docs"] == 2
+
+
+def test_commits_settle_by_themselves(spark, monkeypatch):
+    """Every commit past a span settles what is there; a settling that was cut off is done again."""
+    monkeypatch.setattr(token_counts, "SPAN", 2)
+    rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
+    one = spark.createDataFrame([("a", None, "v1", 1, 5, 20)], token_counts.SCHEMA)
+    for k in range(7):
+        assert rollup.commit(f"batch {k}", one) and len(rollup.tail()) <= 4
+    path, system = rollup._batch("batch 6")
+    system.create(path, True).close()  # a file without a settled version, as a lost writer leaves it
+    assert [rollup.commit(f"batch {k}", one) for k in range(7)] == [False] * 7
+    assert rollup._names("settled") and rollup.totals().first()["n_docs"] == 7
