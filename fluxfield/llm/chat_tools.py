@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import counted, let, sized, stored, words_of
+from .common import Rounds, counted, let, sized, stored, words_of
 
 TURN_BLOCK = 256
 SCHEMA_COLUMNS = "name string, field string, type string, required boolean"
@@ -86,17 +86,28 @@ def joined_levels(levels: DataFrame, joins: DataFrame, anchors: DataFrame) -> Da
     # Needs in the middle of chains are replaced by the chains' ends; needs in circles never become ready.
     anchor_of = anchors.select("conv_id", F.col("call_id").alias("needs"), "anchor", "steps")
     joins = joins.join(hashed(anchor_of), ["conv_id", "needs"], "left")
-    joins = stored(joins.select(*KEY, "n_needs", F.coalesce("anchor", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps")), "joins")
-    n = 1
+    joins, left = counted(joins.select(*KEY, "n_needs", F.coalesce("anchor", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps")), "joins")
+    found, met, number, done = Rounds(levels.sparkSession, "levels"), Rounds(levels.sparkSession, "met"), 0, 0
+    new, seen = found.add(levels.select(*KEY, F.lit(0).cast("bigint").alias("n_needs"), "level"), 0)
+    n = seen["n"]
     while n:
-        known = levels.select("conv_id", F.col("call_id").alias("needs"), "level")
-        ready = joins.join(hashed(known), ["conv_id", "needs"]).groupBy(*KEY, "n_needs")
-        ready = ready.agg(F.count("*").alias("n"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).where("n = n_needs").select(*KEY, "level")
-        new, n = counted(ready, "ready")
-        levels = stored(levels.unionByName(new), "levels")
-        # Calls that are ready leave the rest, which each round reads.
-        joins = stored(joins.join(hashed(new.select(*KEY)), KEY, "left_anti"), "joins")
-    return levels
+        # A need is met in the round after its call got a level, once; only such rows and new levels are written.
+        number += 1
+        known = new.select("conv_id", F.col("call_id").alias("needs"), "level")
+        arrived = joins.join(hashed(known), ["conv_id", "needs"]).groupBy(*KEY, "n_needs")
+        met.add(arrived.agg(F.count("*").alias("n"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")), number)
+        totals = met.all().groupBy(*KEY, "n_needs").agg(F.sum("n").alias("n"), F.max("level").alias("level"), F.max("round").alias("at"))
+        ready = totals.where((F.col("n") == F.col("n_needs")) & (F.col("at") == number)).select(*KEY, "n_needs", "level")
+        new, seen = found.add(ready, number, n=F.count(F.lit(1)), needs=F.sum("n_needs"))
+        n, done = seen["n"], done + (seen["needs"] or 0)
+        if n and 2 * done > left:
+            # Calls that are ready leave the rest, which rounds read, when they are over half of it: few rows in sum.
+            ends = hashed(found.all().select(*KEY))
+            joins, left = counted(joins.join(ends, KEY, "left_anti"), "joins")
+            waiting, done = Rounds(levels.sparkSession, "met"), 0
+            waiting.add(totals.where("n < n_needs").select(*KEY, "n_needs", "n", "level"), number)
+            met = waiting
+    return found.all().select(*KEY, "level")
 
 
 def is_type(given: Column, wanted: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxfield.plans.staging import counted, new_path, sized, stored  # noqa: F401
+from fluxfield.plans.staging import Rounds, counted, new_path, sized, stored  # noqa: F401
 
 #: White space between words, as a regular expression that Java, RE2 and Python read alike.
 SPACES = r"[\x20\x09-\x0D]+"

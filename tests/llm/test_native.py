@@ -325,3 +325,22 @@ def test_chat_tools_types_and_depth(spark):
     assert {k: found["c", k].errors for k in cases} == {k: want for k, (_, want) in cases.items()}
     assert found["c", "g"].seq == 0 and found["c", "a"].status == "ok" and len(found["c", "g"].json) > 250_000
     assert [found["deep", f"k{i:02d}"].level for i in range(40)] == list(range(40))
+
+
+def test_levels_of_calls_with_several_needs_in_a_row(spark, monkeypatch):
+    """A ladder of calls that each need the two before, beside calls that wait for its end: every round writes new rows
+    only, so the parts of all rounds hold each call once."""
+    from fluxfield.llm import chat_tools
+
+    rows = [("c", str(k), [str(j) for j in (k - 1, k - 2) if j >= 0]) for k in range(14)]
+    rows += [("c", f"w{k}", ["0", "13", "gone"]) for k in range(4)] + [("c", "x", ["y", "0"]), ("c", "y", ["x", "1"]), ("d", "0", [])]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, depends_on array<string>")
+    tables, rounds = [], chat_tools.Rounds
+    monkeypatch.setattr(chat_tools, "Rounds", lambda spark, name: tables.append((name, rounds(spark, name))) or tables[-1][1])
+    got = {(r.conv_id, r.call_id): r.level for r in chat_tools.call_levels(calls).collect()}
+    assert got == {("c", str(k)): k for k in range(14)} | {("c", f"w{k}"): 14 for k in range(4)} | {("d", "0"): 0}
+    written = dict(tables[:1])["levels"].all().groupBy("conv_id", "call_id").count()
+    assert written.where("`count` > 1").isEmpty()
+    # What was met is written again only when over half of the rest is done.
+    met = [t.all().count() for name, t in tables if name == "met"]
+    assert len(met) > 1 and sum(met) <= 3 * (2 * 14 + 2 * 4 + 4)
