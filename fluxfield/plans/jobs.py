@@ -25,13 +25,15 @@ from .staging import stored
 
 @dataclass(frozen=True)
 class DefectConfig:
-    """The flow always runs on the weights themselves; the baseline only sets the first field."""
+    """The flow always runs on the weights themselves; the baseline only sets the first field. The baseline `distance`
+    needs edges with a distance and the width of its bins, in the unit of distances."""
 
     baseline: str = "sparse_dc"
     deadzone: float = 1e-9
     steps: int = 20
     hops: int = 1
     expectation: DataFrame | None = field(default=None, compare=False)
+    distance_width: float | None = None
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class DefectRun:
 
 def first_field(edges: DataFrame, config: DefectConfig) -> tuple[DataFrame, DataFrame]:
     """(residuals, first field)."""
-    residual = B.residuals(edges, config.baseline, config.expectation)
+    residual = B.residuals(edges, config.baseline, config.expectation, config.distance_width)
     if config.baseline == "sparse_dc" and config.expectation is None:
         return residual, init_field_exact(edges, config.deadzone)
     return residual, init_field(residual, nodes_of(edges), config.deadzone)

@@ -859,6 +859,14 @@ def loaded_edges(spark, sf_dir):
     return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), validate=True)
 
 
+@query(with_sql(g_sql(LINES), select="SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, sum(l_quantity)::DOUBLE AS weight, min(CASE WHEN l_tax <> 0 THEN round(l_discount * 100) END)::DOUBLE AS distance FROM raw GROUP BY 1, 2"))
+def loaded_distances(spark, sf_dir):
+    """An edge file with a column of distances, some of them blank."""
+    far = F.when(F.col("l_tax") != 0, F.round(F.col("l_discount") * 100).cast("int").cast("string"))
+    rows = succession(spark, sf_dir).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("l_quantity").alias("weight"), far.alias("far"))
+    return edge_source.load_edge_list(spark, csv(rows, "distances-csv"), validate=True, distance_col="far")
+
+
 @query(with_sql(g_sql(LINES), LOADED.format("NULL"), select="SELECT src, dst, coalesce(weight, 0) AS weight FROM l"))
 def loaded_edges_without_blanks(spark, sf_dir):
     return edge_source.load_edge_list(spark, edge_csv(spark, sf_dir), blank_weight=None)

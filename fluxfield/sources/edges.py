@@ -56,10 +56,12 @@ def scan_edges(
     need_weight: bool = False,
     type_col: str | None = None,
     numbered: bool = False,
+    distance_col: str | None = None,
 ) -> DataFrame:
-    """A delimited file as (source, target, weight_text[, channel]) of strings.
+    """A delimited file as (source, target, weight_text[, channel][, distance_text]) of strings.
 
-    A missing weight column gives nulls, or a KeyError if it is needed. type_col is a column whose values are channels.
+    A missing weight column gives nulls, or a KeyError if it is needed. type_col is a column whose values are channels,
+    distance_col one of distances in any unit.
     numbered: also file, row (from 1 in the file, the header and empty lines not counted) and seq (from 0 over all
     files by name); the rows are then written once. A quoted field cannot hold a line break, as files are read in parts.
     """
@@ -67,9 +69,9 @@ def scan_edges(
     if not raw.columns:
         raise ValueError("no header row")
     if not numbered:
-        return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col)
+        return pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col, distance_col=distance_col)
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("met")]
-    return number_rows(pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col, place))
+    return number_rows(pick_columns(raw, source_col, target_col, weight_col, need_weight, type_col, place, distance_col))
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
@@ -89,34 +91,47 @@ def number_rows(rows: DataFrame) -> DataFrame:
 
 
 def pick_columns(
-    raw: DataFrame, source_col: str = "source_id", target_col: str = "target_id", weight_col: str = "weight", need_weight: bool = False, type_col: str | None = None, more: list[Column] | None = None
+    raw: DataFrame,
+    source_col: str = "source_id",
+    target_col: str = "target_id",
+    weight_col: str = "weight",
+    need_weight: bool = False,
+    type_col: str | None = None,
+    more: list[Column] | None = None,
+    distance_col: str | None = None,
 ) -> DataFrame:
-    """Columns of any table as (source, target, weight_text[, channel]), and more; a missing one is a KeyError."""
-    for c in (source_col, target_col, *([weight_col] if need_weight else []), *([type_col] if type_col else [])):
+    """Columns of any table as (source, target, weight_text[, channel][, distance_text]), and more; a missing one is a
+    KeyError."""
+    optional = {"channel": type_col, "distance_text": distance_col}
+    for c in (source_col, target_col, *([weight_col] if need_weight else []), *filter(None, optional.values())):
         if c not in raw.columns:
             raise KeyError(c)
     weight = F.col(weight_col).cast("string") if weight_col in raw.columns else F.lit(None).cast("string")
-    channel = [F.col(type_col).cast("string").alias("channel")] if type_col else []
-    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"), *channel, *(more or []))
+    given = [F.col(c).cast("string").alias(name) for name, c in optional.items() if c]
+    return raw.select(F.col(source_col).cast("string").alias("source"), F.col(target_col).cast("string").alias("target"), weight.alias("weight_text"), *given, *(more or []))
 
 
-def violation(end_check: bool = True) -> Column:
-    """What is wrong with a row of (source, target, weight_text), or null; blank weights are fine."""
+def violation(end_check: bool = True, distance: bool = False) -> Column:
+    """What is wrong with a row of (source, target, weight_text[, distance_text]), or null; blank weights and distances
+    are fine."""
     w = F.trim(F.coalesce("weight_text", F.lit("")))
     number = w.try_cast("double")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     ends = (blank(F.col("source")) | blank(F.col("target"))) & F.lit(end_check)
+    far = F.trim(F.coalesce("distance_text", F.lit(""))) if distance else F.lit("")
+    away = far.try_cast("double")
     return (
         F.when(ends, "blank endpoint")
         .when((w != "") & number.isNull(), "weight is not a number")
         .when(F.isnan(number) | (F.abs(number) == float("inf")), "weight is not finite")
         .when(number < 0, "negative weight")
+        .when((far != "") & (away.isNull() | F.isnan(away) | (away < 0) | (away == float("inf"))), "distance is not a number from 0 on")
     )
 
 
 def edge_violations(rows: DataFrame) -> DataFrame:
-    """Rows with what is wrong: a blank end, text that is no number, an infinite or NaN weight, a negative weight."""
-    return rows.withColumn("violation", violation())
+    """Rows with what is wrong: a blank end, text that is no number, an infinite or NaN weight, a negative weight, a distance that is no number from 0 on."""
+    return rows.withColumn("violation", violation(distance="distance_text" in rows.columns))
 
 
 def violation_kinds(bad: DataFrame) -> DataFrame:
@@ -166,29 +181,31 @@ def edge_summary(rows: DataFrame) -> DataFrame:
 
 
 def collapse(rows: DataFrame, blank_weight: float | None = 1.0) -> DataFrame:
-    """(src, dst[, channel], weight): the sum of weights per pair, and channel where rows have one. Zero sums stay.
+    """(src, dst[, channel], weight[, distance]): the sum of weights per pair, and channel where rows have one. Zero sums
+    stay. The distance is the least that rows of the pair give, null if none does.
 
     blank_weight None leaves blanks out of sums. Text that is no number is an error of the query.
     """
     weight = default_weight(F.col("weight_text"), blank_weight)
     channel = ["channel"] if "channel" in rows.columns else []
-    return rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"), *channel).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"))
+    distance = [F.min(F.trim("distance_text").try_cast("double")).alias("distance")] if "distance_text" in rows.columns else []
+    return rows.groupBy(F.col("source").alias("src"), F.col("target").alias("dst"), *channel).agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight"), *distance)
 
 
 def checked_rows(spark: SparkSession, path: str, validate: bool = False, **how) -> DataFrame:
-    """Numbered rows of an edge file. Negative weights and text that is no number are errors either way; validation also
-    needs the weight column, both ends, finite weights and at least one row. how: of scan_edges."""
+    """Numbered rows of an edge file. Negative weights, text that is no number and wrong distances are errors either way;
+    validation also needs the weight column, both ends, finite weights and at least one row. how: of scan_edges."""
     rows = scan_edges(spark, path, need_weight=validate, numbered=True, **how)
     if validate:
         validate_edges(rows)
     else:
-        kinds = ("weight is not a number", "negative weight")
-        raise_violations(rows.withColumn("violation", violation(end_check=False)).where(F.col("violation").isin(*kinds)))
+        kinds = ("weight is not a number", "negative weight", "distance is not a number from 0 on")
+        raise_violations(rows.withColumn("violation", violation(False, "distance_text" in rows.columns)).where(F.col("violation").isin(*kinds)))
     return rows
 
 
 def load_edge_list(spark: SparkSession, path: str, validate: bool = False, min_weight: float | None = None, blank_weight: float | None = 1.0, **how) -> DataFrame:
-    """Read, check (see checked_rows) and collapse an edge list. how: column names, delimiter, type_col of scan_edges."""
+    """Read, check (see checked_rows) and collapse an edge list. how: column names, delimiter, type_col, distance_col of scan_edges."""
     return _edges(checked_rows(spark, path, validate, **how), min_weight, blank_weight)
 
 
@@ -199,7 +216,7 @@ def _edges(rows: DataFrame, min_weight: float | None = None, blank_weight: float
 
 @dataclass(frozen=True)
 class Graph:
-    """edges (src, dst[, channel], weight); nodes (node); metadata (node, fields), aligned to nodes, and partitions
+    """edges (src, dst[, channel], weight[, distance]); nodes (node); metadata (node, fields), aligned to nodes, and partitions
     (node, field, label), both None if not asked for; index (node, node_index) in the order in which the file mentions
     nodes, if asked for."""
 
