@@ -165,8 +165,9 @@ class _Base:
     def __init__(self, cells: DataFrame, step: int, keys: list[str], columns: list[str]) -> None:
         self.keys, self.columns, self.step, self.since = keys, columns, step, 0
         cells = cells.select(*columns, "total")
-        fits, self.cells = _fits(cells), cells.count()
-        self.hint, self.table = ("broadcast", cells) if fits else ("merge", bucketed(cells, ["node", *keys], "flow-base"))
+        found = cells.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(cells)).alias("bytes")).first()
+        self.cells = found["n"]
+        self.hint, self.table = ("broadcast", cells) if (found["bytes"] or 0) <= BROADCAST_BYTES else ("merge", bucketed(cells, ["node", *keys], "flow-base"))
 
     def _log(self, table: Rounds) -> DataFrame:
         """(src, keys, past, turned): what later steps have added to sums and values."""
