@@ -262,3 +262,12 @@ def test_flow_over_buckets_is_the_same(spark, monkeypatch):
         curve = sorted((r.step, r.defect) for r in flow.curve.collect())
         assert curve == want[: len(curve)] and len(curve) == flow.status.first()["step"]
     assert sorted(map(tuple, small.state.collect())) == sorted(map(tuple, large.state.collect()))
+
+
+def test_near_places(spark):
+    """Copies at a place are joined once, as lists of nodes, and lose no pair."""
+    rows = [(i, float(i % 3), 0.0, 0.0) for i in range(900)] + [(900, 50.0, 0.0, 0.0), (901, 0.0, None, 0.0)]
+    points = spark.createDataFrame(rows, "node long, soma_x double, soma_y double, soma_z double").repartition(3)
+    found = neighbours.near_places(points, 1.0, full=200).cache()
+    assert found.count() <= 40 and sum(len(r.nodes) * len(r.others) for r in found.collect()) == 1 + 900 * 300 + 2 * 2 * 300 * 300
+    assert neighbours.radius_graph(points, 1.0, full=200).distinct().count() == 900 * 299 + 2 * 2 * 300 * 300
