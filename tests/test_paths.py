@@ -51,3 +51,18 @@ def test_paths_of_a_hub_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert sum(r["count"] for r in tasks) == 360_000 == sum(r["count"] for r in whole)
     assert len(tasks) == 4 and max(r["count"] for r in tasks) <= 2 * 360_000 / 4
+
+
+def test_two_hops_write_no_walks(spark, monkeypatch):
+    """Walks of the last length are grouped with the edges; a table of them is not written."""
+    rows, names, write = _hubs(5), [], graph.stored
+    want, edge = Counter(), Counter()
+    for s, m, w in rows:
+        edge[s, m] += w
+        for m2, d, v in rows:
+            if m == m2:
+                want[s, d] += w * v
+    monkeypatch.setattr(graph, "stored", lambda df, name="table": names.append(name) or write(df, name))
+    got = {(r.src, r.dst): r.weight for r in graph.k_hop(spark.createDataFrame(rows, EDGES), 2).collect()}
+    total = {k: edge[k] + max(want[k], 0.0) for k in edge.keys() | want.keys()}
+    assert got == {k: w for k, w in total.items() if w} and "hops" not in names
