@@ -271,3 +271,12 @@ def test_near_places(spark):
     found = neighbours.near_places(points, 1.0, full=200).cache()
     assert found.count() <= 40 and sum(len(r.nodes) * len(r.others) for r in found.collect()) == 1 + 900 * 300 + 2 * 2 * 300 * 300
     assert neighbours.radius_graph(points, 1.0, full=200).distinct().count() == 900 * 299 + 2 * 2 * 300 * 300
+
+
+def test_proposals_are_hashed(spark):
+    """The grouping of proposed edges hashes numbers; it does not sort."""
+    now = spark.createDataFrame([("r", 1, 2)], "run_id string, src long, dst long")
+    wanted = spark.createDataFrame([("r", 1, 2, 7, 0), ("r", 1, 3, 7, 0), ("r", 4, 5, 8, 3), ("r", 5, 4, 8, 3), ("r", 4, 5, 9, 4), ("r", 6, 6, 9, 4)], "run_id string, x long, y long, key long, h long")
+    found = nulls._swapped(now, wanted)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(8, "r")]
