@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from fluxfield.plans.staging import BROADCAST_BYTES, Rounds, observed, row_bytes, stored
 
 
-def contracted(near: DataFrame, kept: DataFrame) -> DataFrame:
+def contracted(near: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """(src, end, length, inner) for every edge of near that leads to an end of its chain.
 
-    near is symmetric, without loops and repeats. Nodes with two neighbours are inner unless they are among the kept
-    ones; all others are ends. Following an edge through inner nodes, `end` is the first end and `length` the edges on
+    near is symmetric, without loops and repeats; all edges that leave a node may be missing, which makes it an end that
+    no way starts from. Nodes with two neighbours are inner unless they are among the kept ones; all others are ends. Following an edge through inner nodes, `end` is the first end and `length` the edges on
     the way; `inner` tells whether src is inner itself. Edges of rings without an end, and ways back to src, are left
     out. Pointers are doubled, so rounds grow with the logarithm of the longest chain; each round writes only the edges
     that it moved.
     """
     degrees = near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("lo"), F.max("dst").alias("hi"))
-    inner = degrees.where("n = 2").drop("n").join(kept.select("node"), "node", "left_anti")
+    inner = degrees.where("n = 2").drop("n")
+    if kept is not None:
+        inner = inner.join(kept.select("node"), "node", "left_anti")
     inner, size = observed(inner, "inner", n=F.count(F.lit(1)), bytes=F.sum(row_bytes(inner)))
     if not size["n"]:
         return near.select("src", F.col("dst").alias("end"), F.lit(1).alias("length"), F.lit(False).alias("inner"))

@@ -68,3 +68,24 @@ def test_ways_of_chains(spark):
     near = graph.symmetric(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 3), (3, 9), (3, 8), (20, 21), (21, 22), (22, 20)], "src long, dst long")).where("src <> dst")
     ways = chains.contracted(near, spark.createDataFrame([], "node long"))
     assert sorted(map(tuple, ways.collect())) == [(0, 3, 3, False), (1, 0, 1, True), (1, 3, 2, True), (2, 0, 2, True), (2, 3, 1, True), (3, 0, 3, False), (3, 8, 1, False), (3, 9, 1, False), (8, 3, 1, False), (9, 3, 1, False)]
+
+
+def test_edges_that_leave_sources_are_dropped(spark, monkeypatch):
+    """Of a long path whose nodes are sources but for the last few, only edges of these are written for the search."""
+    written, counted = [], distances.counted
+    monkeypatch.setattr(distances, "counted", lambda df, name: written.append((name, *(found := counted(df, name)))) or found)
+    path = spark.range(1000).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS weight")
+    found = distances.hop_distances(path, spark.range(991).selectExpr("id AS node", "id % 7 AS component"))
+    assert found.where("distance <> greatest(node - 990, 0) OR component <> least(node, 990) % 7").isEmpty() and found.count() == 1001
+    assert [(name, n) for name, _, n in written] == [("near", 19)]
+
+
+def test_labels_write_an_edge_once(spark, monkeypatch):
+    """Edges inside the mask are written one way, without loops, zero weights and null ends; lone nodes stay."""
+    written, counted = [], distances.counted
+    monkeypatch.setattr(distances, "counted", lambda df, name: written.append((name, *(found := counted(df, name)))) or found)
+    rows = [(1, 2, 1.0), (2, 3, -1.0), (3, 3, 1.0), (5, 6, 0.0), (8, 9, 1.0), (None, 5, 1.0), (7, 7, 2.0)]
+    mask = spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 6, 7, 8, 8)], "node long")
+    got = distances.component_labels(spark.createDataFrame(rows, "src long, dst long, weight double"), mask)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 6), (7, 7), (8, 8)]
+    assert [(name, n) for name, _, n in written] == [("inside", 2)]
