@@ -20,7 +20,7 @@ from fluxfield.sources import sinks
 from fluxfield.sources.edges import scan_edges, validate_edges
 from fluxfield.sources.metadata import enrich, load_metadata, project_attributes
 
-from .staging import stored
+from .staging import counted, stored, wide
 
 
 @dataclass(frozen=True)
@@ -52,9 +52,10 @@ def first_field(edges: DataFrame, config: DefectConfig) -> tuple[DataFrame, Data
 
 
 def defect_run(edges: DataFrame, config: DefectConfig = DefectConfig()) -> DefectRun:
-    edges = stored(edges, "run-edges")
-    residual, first = first_field(edges, config)
-    first = stored(first, "first")
+    edges, n = counted(edges, "run-edges")
+    with wide(edges.sparkSession, n):
+        residual, first = first_field(edges, config)
+        first = stored(first, "first")
     return DefectRun(first, kernel_flow(edges, first, KernelParams(config.hops, None, config.deadzone), config.steps), residual)
 
 
@@ -129,13 +130,15 @@ def geometry_report(edges: DataFrame, state: DataFrame, changes: DataFrame) -> t
 
 def gauge_sweep(edges: DataFrame, deadzones: list[float], baselines: list[str], steps: int = 20) -> Flow:
     """The flow for every baseline and dead zone, as runs of one set of joins; run ids are baseline:deadzone."""
-    edges = stored(edges, "sweep-edges")
+    edges, n = counted(edges, "sweep-edges")
     first, eps = None, {}
-    for b in baselines:
-        for d in deadzones:
-            run = f"{b}:{d:g}"
-            one = first_field(edges, DefectConfig(b, d))[1].withColumn("run_id", F.lit(run))
-            first, eps[run] = one if first is None else first.unionByName(one), d
+    with wide(edges.sparkSession, n):
+        for b in baselines:
+            for d in deadzones:
+                run = f"{b}:{d:g}"
+                # Each is written by itself, so that no task works out several at once.
+                one = stored(first_field(edges, DefectConfig(b, d))[1], "first").withColumn("run_id", F.lit(run))
+                first, eps[run] = one if first is None else first.unionByName(one), d
     return kernel_flow(edges, first, KernelParams(deadzone=eps), steps)
 
 
