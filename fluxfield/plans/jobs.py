@@ -204,7 +204,10 @@ def degree_deadzone(edges: DataFrame, per_strength: float) -> DataFrame:
 
 def node_index(nodes: DataFrame) -> DataFrame:
     """(node, node_index) by the order of ids."""
-    return stored(dense_index(nodes.select("node").distinct(), [F.col("node")]), "node-index")
+    # Written first, since ranges are found by a pass of their own.
+    nodes, n = counted(nodes.select("node").distinct(), "nodes")
+    with wide(nodes.sparkSession, n):
+        return stored(dense_index(nodes, [F.col("node")]), "node-index")
 
 
 def block_run(edges: DataFrame, blocks: DataFrame, out: str, **how) -> DataFrame:

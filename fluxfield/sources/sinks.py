@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxfield.plans.staging import stored
+
 
 def write_table(df: DataFrame, path: str, run_id: str | None = None, fmt: str = "parquet", partition_by: list[str] | None = None, order_by: list[str] | None = None) -> None:
     """Write df under path, ordered within files, by run and by the columns of partition_by."""
@@ -24,8 +26,9 @@ def write_curve(curve: DataFrame, path: str, **how) -> None:
 
 
 def _indexed(df: DataFrame, index: DataFrame) -> DataFrame:
-    """df with node_index from (node, node_index), and the node as body_id."""
-    return df.join(index.select("node", "node_index"), "node").withColumnRenamed("node", "body_id")
+    """df with node_index from (node, node_index), and the node as body_id; written, since putting rows in order reads
+    them twice."""
+    return stored(df.join(index.select("node", "node_index"), "node").withColumnRenamed("node", "body_id"), "indexed")
 
 
 def write_state(state: DataFrame, index: DataFrame, path: str, **how) -> None:
