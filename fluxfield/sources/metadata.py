@@ -33,13 +33,14 @@ def align(nodes: DataFrame, meta: DataFrame, order: str | Column = "row_order")
     return nodes.select("node").join(last_row(meta, order), "node", "left")
 
 
-def partition_labels(aligned: DataFrame, fields: list[str]) -> DataFrame:
-    """(node, field, label) for the named fields; an unknown field is a KeyError."""
+def partition_labels(aligned: DataFrame, fields: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(node, field, label) for the named fields, or other keys than the node; an unknown field is a KeyError."""
+    keys = keys or ["node"]
     for f in fields:
         if f not in aligned.columns:
             raise KeyError(f)
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields])
-    return aligned.select("node", F.explode(pairs).alias("p")).select("node", "p.field", "p.label")
+    return aligned.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.field", "p.label")
 
 
 def with_numbers(aligned: DataFrame, fields: list[str]) -> DataFrame:
