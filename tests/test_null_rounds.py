@@ -3,7 +3,8 @@
 import pytest
 from test_models import EDGES, brute_rewired, graph
 
-from fluxfield.operators import nulls
+from fluxfield.operators import kernel, nulls
+from fluxfield.plans import jobs, staging
 
 
 @pytest.mark.parametrize("bits, sent", [(40, None), (3, None), (40, -1)])
@@ -37,3 +38,16 @@ def test_a_round_writes_edges_once(spark, monkeypatch):
     assert found.edges.count() == rows and named["pairs"] == 3 and named["rewired"] == 1
     assert written["rewired"] == rows and written["pairs"] <= 3 * (rows // 2 + rows // nulls.BUCKET_EDGES)
     assert sum(n for name, n in written.items() if name not in ("rewired", "pairs")) < rows / 20
+
+
+def test_null_runs_write_first_fields_wide(spark, monkeypatch):
+    """First fields of all copies get partitions by their edges, and the flow does not write the copies again."""
+    parts, names, write = {}, [], jobs.stored
+    monkeypatch.setattr(staging, "PART_ROWS", 20)
+    monkeypatch.setattr(jobs, "stored", lambda df, name="table": (parts.update({name: int(spark.conf.get("spark.sql.shuffle.partitions"))}), write(df, name))[1])
+    count = kernel.counted
+    monkeypatch.setattr(kernel, "counted", lambda df, name: names.append(name) or count(df, name))
+    rows = graph(40, 150, 5)
+    flow, found = jobs.null_runs(spark.createDataFrame(rows, EDGES), 2, 1, 1, 1e-9, 2)
+    assert parts["null-first"] == 15 and "flow-edges" not in names
+    assert found.edges.count() == 300 and flow.status.count() == 2
